@@ -277,14 +277,15 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     by_subset = keys.join(hubs, ["key", "overlap"]).where(f"id <> hub.id and {den} * overlap >= {num} * (n + hub.n - overlap)").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
     large = sets.where(F.col("n") >= least_overlap(most + 1, num, den))
-    entries = large.select("id", "n", F.slice("lead", 1, FIRST).alias("first"), F.posexplode("lead").alias("pos", "token"))
+    entries = large.select("id", "n", F.posexplode("lead").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = stored(entries.join(lists, "token"), "lists")
+    leads = large.select("id", F.slice("lead", 1, FIRST).alias("first"))
 
-    near = met.where(F.col("pos") < FIRST).select("token", "id", "n", F.element_at("first", 1).alias("family"))
+    near = met.where(F.col("pos") < FIRST).join(leads, "id").select("token", "id", "n", F.element_at("first", 1).alias("family"))
     near_lists = near.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.min("n").alias("low"), F.max("n").alias("high")).where("c > 1")
     near = stored(near.join(near_lists, "token"), "near")
-    later = _in_blocks(met.select("token", "id", "n", "pos", "first", "m"), F.ceil(F.col("m") / BLOCK_ENTRIES))
+    later = _in_blocks(met.join(leads, "id").select("token", "id", "n", "pos", "first", "m"), F.ceil(F.col("m") / BLOCK_ENTRIES))
     x, y = later.where("chunk = ca").alias("x"), later.where("chunk = cb").alias("y")
     need = f"ceil({num} * (x.n + y.n) / {num + den})"
     pairs = stored(
