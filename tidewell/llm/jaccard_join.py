@@ -8,8 +8,9 @@ Equal sets are one class, and everything below works on classes. Two sets link w
   suffices, however many sets share a key.
 * Large sets: inverted lists over each set's first shingles in a global order (rare ones by hash, then frequent ones). As the
   overlap is at least ``num / den`` of either size, linked sets meet in some list. Sets are brought once to the lists of their first
-  FIRST shingles, where each list is scanned for exact overlaps, hot lists in blocks, and only a forest of links leaves a
-  task; pairs that meet later only are compared one by one.
+  FIRST shingles, and to all lists that are long, where each list is scanned for exact overlaps, in blocks, and only a forest of
+  links leaves a task; pairs that meet later only are compared one
+  by one, if they share SHARED entries and enough shingles are left behind the first of them.
 * The boundary: the size at which the number of subset keys, summed over the sizes as they occur, starts to cost more
   than list entries and their scans do. Sets just below it, whose partners may be above, are in both parts.
 
@@ -40,14 +41,18 @@ from .textbytes import shingle_sets
 
 #: Leading shingles whose lists get whole sets.
 FIRST = 4
+#: Lists longer than this get whole sets for all their entries, as comparing their pairs one by one would grow with the square.
+HOT = 128
+#: List entries that a pair must share: each set has so many entries, less one, beyond those that make linked sets meet.
+SHARED = 3
 #: Sizes for which subsets may be enumerated.
 MOST_SMALL = 29
 #: Cost of an entry of a list against that of a subset key: it is counted, moved again, and scanned.
 ENTRY_COST = 6
 #: Frequent shingles known at most, and those that one task reports.
 FREQUENT, REPORTED = 1 << 18, 1 << 15
-#: Shingles in a block of a list, and entries in a block of the later lists.
-BLOCK_SHINGLES, BLOCK_ENTRIES = 600_000, 4096
+#: Shingles in a block of a list.
+BLOCK_SHINGLES = 600_000
 #: Bits of a filter of ids at most.
 FILTER_BITS = 1 << 24
 #: Bytes of text handled at once.
@@ -103,7 +108,7 @@ def _profiles(width: int, num: int, den: int, frequent: np.ndarray):
                 for s in shingle_sets(lot.column(1), width):
                     n.append(len(s))
                     mark.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    lead.append(_ordered(s, frequent)[: len(s) - least_overlap(len(s), num, den) + 1].view(np.int64))
+                    lead.append(_ordered(s, frequent)[: len(s) - least_overlap(len(s), num, den) + SHARED].view(np.int64))
                     small.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
                 yield pa.record_batch([lot.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))], ["id", "n", "mark", "lead", "small"])
 
@@ -282,19 +287,22 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     met = stored(entries.join(lists, "token"), "lists")
     leads = large.select("id", F.slice("lead", 1, FIRST).alias("first"))
 
-    near = met.where(F.col("pos") < FIRST).join(leads, "id").select("token", "id", "n", F.element_at("first", 1).alias("family"))
-    near_lists = near.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.min("n").alias("low"), F.max("n").alias("high")).where("c > 1")
+    near = met.where((F.col("pos") < FIRST) | (F.col("m") > HOT)).join(leads, "id").select("token", "id", "n", F.element_at("first", 1).alias("family"))
+    near_lists = near.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
+    near_lists = near_lists.where("c > 1 and (one <> last or one = token)").drop("one", "last")  # else all have met in the list of their first
     near = stored(near.join(near_lists, "token"), "near")
-    later = _in_blocks(met.join(leads, "id").select("token", "id", "n", "pos", "first", "m"), F.ceil(F.col("m") / BLOCK_ENTRIES))
-    x, y = later.where("chunk = ca").alias("x"), later.where("chunk = cb").alias("y")
-    need = f"ceil({num} * (x.n + y.n) / {num + den})"
+    later = met.where(F.col("m") <= HOT).join(leads, "id").select("token", "id", "n", "pos", "first")
+    x, y = later.alias("x"), later.alias("y")
+    need = f"ceil({num} * (na + nb) / {num + den})"
+    side = [F.struct(f"{k}.id", f"{k}.n", f"{k}.pos") for k in "xy"]
     pairs = stored(
-        x.join(y, ["token", "ca", "cb"])
-        .where(f"(ca <> cb or x.id < y.id) and (x.pos >= {FIRST} or y.pos >= {FIRST})")
-        .where(f"least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and least(x.n - x.pos, y.n - y.pos) >= {need}")
-        .where("not arrays_overlap(x.first, y.first)")
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct(),
+        x.join(y, "token")
+        .where(f"x.id < y.id and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and not arrays_overlap(x.first, y.first)")
+        .select(side[0].alias("a"), side[1].alias("b"))
+        .groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+        .agg(F.count("*").alias("c"), F.max("a.pos").alias("pa"), F.max("b.pos").alias("pb"))
+        .where(f"c >= least({SHARED}, {need}) and c + least(na - pa, nb - pb) - 1 >= {need}")  # what is left behind the last of them
+        .select("a", "b"),
         "pairs",
     )
     wanted = near.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
