@@ -7,10 +7,11 @@ Equal sets are one class, and everything below works on classes. Two sets link w
   key the smallest is the hub: if two of them link by that key's overlap, both link to the hub, so a row per set and key
   suffices, however many sets share a key.
 * Large sets: inverted lists over each set's first shingles in a global order (rare ones by hash, then frequent ones). As the
-  overlap is at least ``num / den`` of either size, linked sets meet in some list. Sets are brought once to the lists of their first
-  FIRST shingles, and to all lists that are long, where each list is scanned for exact overlaps, in blocks, and only a forest of
-  links leaves a task; pairs that meet later only are compared one
-  by one, if they share SHARED entries and enough shingles are left behind the first of them.
+  overlap is at least ``num / den`` of either size, linked sets meet in some list. A long list gets whole sets and is scanned, in
+  blocks, for exact overlaps; only a forest of links leaves a task, so no list makes a row for each of its pairs. Short lists give
+  pairs: those that meet at one of their FIRST shingles, as far as their parity bits (a lower bound of the difference) allow
+  a link, and those that meet later only, if they share SHARED entries and leave enough behind the last of them. The exact
+  overlap decides all of these.
 * The boundary: the size at which the number of subset keys, summed over the sizes as they occur, starts to cost more
   than list entries and their scans do. Sets just below it, whose partners may be above, are in both parts.
 
@@ -39,8 +40,10 @@ from .components import components
 from .scratch import ship, stored, table
 from .textbytes import shingle_sets
 
-#: Leading shingles whose lists get whole sets.
+#: Leading shingles at which most linked sets meet.
 FIRST = 4
+#: Words of 64 parity bits of a set.
+PARITIES = 16
 #: Lists longer than this get whole sets for all their entries, as comparing their pairs one by one would grow with the square.
 HOT = 128
 #: List entries that a pair must share: each set has so many entries, less one, beyond those that make linked sets meet.
@@ -100,17 +103,24 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~hot], s[hot]])
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set falls into each bucket. Two sets differ in as many shingles at least as these in bits."""
+    odd = np.bincount((s & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _profiles(width: int, num: int, den: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in _lots(batch):
-                n, mark, lead, small = [], [], [], []
+                n, mark, lead, small, parity = [], [], [], [], []
                 for s in shingle_sets(lot.column(1), width):
                     n.append(len(s))
                     mark.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     lead.append(_ordered(s, frequent)[: len(s) - least_overlap(len(s), num, den) + SHARED].view(np.int64))
+                    parity.append(_parity(s))
                     small.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
-                yield pa.record_batch([lot.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64()))], ["id", "n", "mark", "lead", "small"])
+                yield pa.record_batch([lot.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["id", "n", "mark", "lead", "small", "parity"])
 
     return run
 
@@ -271,9 +281,9 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     rows = docs.where("id is not null").select("id", "text")
     top = rows.mapInArrow(_common(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64))
-    found = stored(docs.mapInArrow(_profiles(width, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>"), "profiles")
+    found = stored(docs.mapInArrow(_profiles(width, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>, parity array<long>"), "profiles")
     classes = found.where("mark is not null and id is not null").groupBy("mark").agg(F.min("id").alias("least"))
-    sets = stored(found.join(classes, "mark").where("id = least").dropDuplicates(["mark"]).select("id", "n", "lead", "small"), "sets")
+    sets = stored(found.join(classes, "mark").where("id = least").dropDuplicates(["mark"]).select("id", "n", "lead", "small", "parity"), "sets")
 
     sizes = {r.n: r.c for r in sets.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     most = boundary(sizes, num, den)
@@ -285,26 +295,36 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     entries = large.select("id", "n", F.posexplode("lead").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = stored(entries.join(lists, "token"), "lists")
-    leads = large.select("id", F.slice("lead", 1, FIRST).alias("first"))
-
-    near = met.where((F.col("pos") < FIRST) | (F.col("m") > HOT)).join(leads, "id").select("token", "id", "n", F.element_at("first", 1).alias("family"))
-    near_lists = near.groupBy("token").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
-    near_lists = near_lists.where("c > 1 and (one <> last or one = token)").drop("one", "last")  # else all have met in the list of their first
-    near = stored(near.join(near_lists, "token"), "near")
-    later = met.where(F.col("m") <= HOT).join(leads, "id").select("token", "id", "n", "pos", "first")
-    x, y = later.alias("x"), later.alias("y")
+    # Pairs that meet in the short lists of the first shingles, once each, as far as their parities allow a link.
     need = f"ceil({num} * (na + nb) / {num + den})"
-    side = [F.struct(f"{k}.id", f"{k}.n", f"{k}.pos") for k in "xy"]
-    pairs = stored(
-        x.join(y, "token")
-        .where(f"x.id < y.id and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and not arrays_overlap(x.first, y.first)")
-        .select(side[0].alias("a"), side[1].alias("b"))
-        .groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
-        .agg(F.count("*").alias("c"), F.max("a.pos").alias("pa"), F.max("b.pos").alias("pb"))
+    fits = f"x.id < y.id and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+    apart = " + ".join(f"bit_count(x.p{k} ^ y.p{k})" for k in range(PARITIES))
+    marks = large.select("id", F.slice("lead", 1, FIRST).alias("first"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES)])
+    early = met.where((F.col("pos") < FIRST) & (F.col("m") <= HOT)).select("token", "id", "n").join(marks, "id")
+    meeting = (
+        early.alias("x")
+        .join(early.alias("y"), "token")
+        .where(f"{fits} and {apart} <= x.n + y.n - 2 * ceil({num} * (x.n + y.n) / {num + den}) and array_min(array_intersect(x.first, y.first)) = token")
+        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    )
+    # Pairs that share no first shingle: they must share enough others.
+    later = met.where(F.col("m") <= HOT).join(large.select("id", F.slice("lead", 1, FIRST).alias("first")), "id").select("token", "id", "n", "pos", "first")
+    rest = (
+        later.alias("x")
+        .join(later.alias("y"), "token")
+        .where(f"{fits} and not arrays_overlap(x.first, y.first)")
+        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        .agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
         .where(f"c >= least({SHARED}, {need}) and c + least(na - pa, nb - pb) - 1 >= {need}")  # what is left behind the last of them
-        .select("a", "b"),
-        "pairs",
     )
+    bits = marks.drop("first")
+    rest = rest.join(bits.withColumnRenamed("id", "a").alias("x"), "a").join(bits.withColumnRenamed("id", "b").alias("y"), "b").where(f"{apart} <= na + nb - 2 * {need}").select("a", "b")
+    pairs = stored(meeting.union(rest), "pairs")
+
+    hot = met.where(F.col("m") > HOT).join(large.select("id", F.col("lead")[0].alias("family")), "id").select("token", "id", "n", "family")
+    hot_lists = hot.groupBy("token").agg(F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
+    hot_lists = hot_lists.where("one <> last or one = token").drop("one", "last")  # else all have met in the list of their first
+    near = stored(hot.join(hot_lists, "token"), "near")
     wanted = near.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     held = stored(rows.mapInArrow(_flagged(width, id_filter(wanted)), "id long, shingles binary").join(wanted, "id", "left_semi").dropDuplicates(["id", "shingles"]), "held")
     blocks = _in_blocks(near.select("token", "id", "family", "shingles"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).drop("shingles").join(held, "id")
