@@ -2,5 +2,161 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import yaml
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions.embedding import HashEmbedding, bucket, cosine, point_id, sign, token_counts
+from tidewell.operators.documents import semantic_documents
+from tidewell.operators.lineage import lineage
+from tidewell.operators.retrieval import reconcile, retrieval_metrics, search, search_all
+from tidewell.plans import physical, warehouse
+from tidewell.plans.planner import ANALYSIS_TERMS, LINEAGE_TERMS, intent_column
+from tidewell.sources.catalog import DEFAULT, load_catalog
+
+_UNION = """
+SELECT 'store' AS sales_channel, o_custkey AS customer_sk, year(o_orderdate)::BIGINT AS calendar_year, l_extendedprice::DECIMAL(15,2) AS net_paid
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_custkey IS NOT NULL
+UNION ALL
+SELECT 'catalog', o_custkey, year(o_orderdate)::BIGINT, l_extendedprice::DECIMAL(15,2)
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'N' AND o_custkey IS NOT NULL
+UNION ALL
+SELECT 'web', o_custkey, year(o_orderdate)::BIGINT, l_extendedprice::DECIMAL(15,2)
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A' AND o_custkey IS NOT NULL
+"""
+_REVENUE = f"""
+SELECT customer_sk, calendar_year,
+  coalesce(sum(net_paid) FILTER (WHERE sales_channel = 'store'), 0)::DECIMAL(38,2) AS store_net_paid,
+  coalesce(sum(net_paid) FILTER (WHERE sales_channel = 'catalog'), 0)::DECIMAL(38,2) AS catalog_net_paid,
+  coalesce(sum(net_paid) FILTER (WHERE sales_channel = 'web'), 0)::DECIMAL(38,2) AS web_net_paid,
+  sum(net_paid)::DECIMAL(38,2) AS total_net_paid
+FROM ({_UNION}) AS u GROUP BY customer_sk, calendar_year
+"""
+
+
+def _edges(spark: SparkSession) -> DataFrame:
+    return load_catalog().frame(spark, "lineage")
+
+
+def _values(kind: str, *columns: str) -> str:
+    quote = lambda v: "'" + str(v).replace("'", "''") + "'"
+    rows = ", ".join(f"({k}, {', '.join(quote(r[c]) for c in columns)})" for k, r in enumerate(load_catalog().records[kind]))
+    return f"(VALUES {rows}) AS t(ord, {', '.join(columns)})"
+
+
+def _walk(start: str, here: str, there: str) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT * FROM {_values("lineage", "id", "source_column_id", "target_column_id")}), w AS (
+  SELECT 1 AS lvl, id, source_column_id, target_column_id FROM e WHERE {here} = '{start}'
+  UNION SELECT lvl + 1, e.id, e.source_column_id, e.target_column_id FROM w JOIN e ON e.{here} = w.{there} WHERE lvl < 5
+) SELECT min(lvl)::INT AS lvl, id, source_column_id, target_column_id FROM w GROUP BY id, source_column_id, target_column_id
+"""
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", "embedding")
+
+
+def _query_vector(spark: SparkSession, d: str) -> list[float]:
+    return list(_vectors(spark, d).where("vec_id = 0").first().embedding)
+
+
+def cosine_topk(spark: SparkSession, d: str, **filters) -> DataFrame:
+    index = _vectors(spark, d).withColumnRenamed("vec_id", "document_id")
+    return search(index, _query_vector(spark, d), 10, **filters).select(F.col("document_id").alias("vec_id"), F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _topk_sql(where: str) -> str:
+    return f"""
+WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), s AS (
+  SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], qe::DOUBLE[]) AS c FROM embeddings, q WHERE {where}
+), r AS (SELECT vec_id, c, row_number() OVER (ORDER BY c DESC, vec_id) AS rank FROM s)
+SELECT vec_id, round(c, 5) AS score, rank FROM r WHERE rank <= 10
+"""
+
+
+def _index(spark: SparkSession) -> tuple[DataFrame, HashEmbedding]:
+    provider = HashEmbedding(128)
+    return reconcile(semantic_documents(spark, load_catalog()), None, provider)[0], provider
+
+
+def recall_mrr(spark: SparkSession, d: str) -> DataFrame:
+    """Recall and reciprocal rank of the shipped retrieval cases over the catalog's documents."""
+    index, provider = _index(spark)
+    cases = yaml.safe_load((DEFAULT.parent / "retrieval_cases.yaml").read_text())
+    asked = spark.createDataFrame([(c["id"], c["query"]) for c in cases], "case_id string, text string")
+    relevant = spark.createDataFrame([(c["id"], r) for c in cases for r in c["relevant_document_ids"]], "case_id string, document_id string")
+    return retrieval_metrics(search_all(index, provider.embed(asked, "case_id", "text"), 10), relevant)
+
+
+def physical_validation(spark: SparkSession, d: str) -> DataFrame:
+    tables = warehouse.sources(spark, d)
+    counts = physical.validate_physical(load_catalog(), tables | {"customer_revenue_yearly": warehouse.revenue(tables)})
+    return spark.createDataFrame([(k, v) for k, v in counts.items()], "entity string, n long")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def intents(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", intent_column(F.coalesce("text", F.lit(""))).alias("intent"))
+
+
+def _contains(terms: tuple[str, ...]) -> str:
+    return " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in terms)
+
+
+_TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS token FROM documents"
+
+QUERIES = {
+    "customer_revenue_yearly": lambda s, d: warehouse.revenue_one_scan(s, d),
+    "customer_revenue_by_channel_union": lambda s, d: warehouse.revenue(warehouse.sources(s, d)),
+    "channel_union_all": lambda s, d: warehouse.channel_union(warehouse.sources(s, d)),
+    "reconciliation_failures": lambda s, d: warehouse.unreconciled(warehouse.revenue_one_scan(s, d)).agg(F.count("*").alias("failures")),
+    "top_customers_by_year": lambda s, d: warehouse.top_customers(warehouse.revenue_one_scan(s, d), warehouse.sources(s, d)["customer"], 2001, 10),
+    "table_row_counts": lambda s, d: warehouse.row_counts(warehouse.sources(s, d)),
+    "set_intersect": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")).intersect(s.read.parquet(f"{d}/orders.parquet").select("o_custkey")),
+    "set_except": lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k")).exceptAll(s.read.parquet(f"{d}/orders.parquet").select("o_custkey").distinct()),
+    "set_union": lambda s, d: s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("name")).union(s.read.parquet(f"{d}/region.parquet").select("r_name")).distinct(),
+    "limit_offset": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").offset(5).limit(20),
+    "lineage_upstream": lambda s, d: lineage(_edges(s), "revenue.total_net_paid").select("lvl", "id", "source_column_id", "target_column_id"),
+    "lineage_downstream": lambda s, d: lineage(_edges(s), "web_sales.net_paid", upstream=False).select("lvl", "id", "source_column_id", "target_column_id"),
+    "semantic_documents": lambda s, d: semantic_documents(s, load_catalog()).select("document_id", "document_type", "content", point_id(F.col("document_id")).alias("point_id")),
+    "physical_validation": physical_validation,
+    "token_counts": lambda s, d: token_counts(_docs(s, d), "doc_id", "text"),
+    "hash_bucket_sign": lambda s, d: token_counts(_docs(s, d), "doc_id", "text").select("token").distinct().select("token", bucket(F.col("token"), 64).alias("bucket"), sign(F.col("token")).alias("sign")),
+    "hash_embedding_cells": lambda s, d: HashEmbedding(64).cells(_docs(s, d), "doc_id", "text"),
+    "cosine_topk": lambda s, d: cosine_topk(s, d),
+    "filtered_topk": lambda s, d: cosine_topk(s, d, label=[1, 2, 3]),
+    "cosine_self": lambda s, d: _vectors(s, d).select("vec_id", F.round(cosine(F.col("embedding"), F.col("embedding")), 5).alias("score")),
+    "stale_ids_anti_join": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id").join(s.read.parquet(f"{d}/labels.parquet"), "doc_id", "left_anti"),
+    "recall_mrr": recall_mrr,
+    "intent_classify": intents,
+}
+
+_HASH = "(('0x' || substr(sha256(token), 1, 16))::UBIGINT % 64)::INT"
+_SIGN = "CASE WHEN ('0x' || substr(sha256(token), 17, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END"
+ORACLE_SQL: dict[str, str] = {
+    "customer_revenue_yearly": _REVENUE,
+    "customer_revenue_by_channel_union": _REVENUE,
+    "channel_union_all": _UNION,
+    "reconciliation_failures": f"SELECT count(*) AS failures FROM ({_REVENUE}) AS r WHERE store_net_paid + catalog_net_paid + web_net_paid <> total_net_paid",
+    "top_customers_by_year": f"SELECT customer_sk, c_name AS customer_name, total_net_paid FROM ({_REVENUE}) AS r JOIN customer ON c_custkey = customer_sk WHERE calendar_year = 2001 ORDER BY total_net_paid DESC NULLS LAST, customer_sk LIMIT 10",
+    "table_row_counts": """SELECT 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'order_dates', count(*) FROM orders
+UNION ALL SELECT CASE l_returnflag WHEN 'R' THEN 'store_sales' WHEN 'N' THEN 'catalog_sales' ELSE 'web_sales' END, count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'N', 'A') GROUP BY 1""",
+    "set_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",
+    "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_union": "SELECT n_name AS name FROM nation UNION SELECT r_name FROM region",
+    "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20 OFFSET 5",
+    "lineage_upstream": _walk("revenue.total_net_paid", "target_column_id", "source_column_id"),
+    "lineage_downstream": _walk("web_sales.net_paid", "source_column_id", "target_column_id"),
+    "token_counts": f"SELECT doc_id, token, count(*) AS n FROM ({_TOKENS}) AS t GROUP BY doc_id, token",
+    "hash_bucket_sign": f"SELECT DISTINCT token, {_HASH} AS bucket, {_SIGN} AS sign FROM ({_TOKENS}) AS t",
+    "hash_embedding_cells": f"SELECT doc_id, {_HASH} AS bucket, sum({_SIGN})::BIGINT AS value FROM ({_TOKENS}) AS t GROUP BY 1, 2 HAVING sum({_SIGN}) <> 0",
+    "cosine_topk": _topk_sql("true"),
+    "filtered_topk": _topk_sql("label IN (1, 2, 3)"),
+    "cosine_self": "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS score FROM embeddings",
+    "stale_ids_anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "intent_classify": f"SELECT conv_id, turn, CASE WHEN {_contains(LINEAGE_TERMS)} THEN 'lineage' WHEN {_contains(ANALYSIS_TERMS)} THEN 'analysis' ELSE 'discovery' END AS intent FROM conversations",
+}
