@@ -41,7 +41,7 @@ def wide_lines(rows: DataFrame, threshold: int = THRESHOLD, log_buckets: int = L
 
 def remove_boilerplate(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """(id, n_lines, n_removed, text) of every document, with the lines of wide spread removed."""
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("")).alias("site"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n")).alias("site"))
     base = base.withColumn("text_hash", F.xxhash64("text"))  # with the id it names the row; rows that agree in both are alike
     h1, h2 = _key(F.trim(F.col("line")))
     lines = base.select("id", "text_hash", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
