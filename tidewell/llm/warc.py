@@ -2,7 +2,7 @@
 
 Writing: of the pages with equal payloads of ``least_bytes`` or more the one with the largest id is a response record, the others are
 revisit records that name it and hold no payload. Spark's text writer puts the records into files, with the blank lines that end a
-record as its line separator, so any store works and only committed files are seen.
+record as its line separator, so any store works and only committed files are seen. Files are gzipped; places are those in the unpacked bytes.
 
 Reading: a task looks at a file's bytes for every place where the magic stands at a line's start, and emits it as a candidate
 with the place where its successor must begin if it is a record. Whether it is one is settled by pointer jumping from the
@@ -17,6 +17,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -79,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     equal = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").drop("n")
     told = rows.join(equal, "digest", "left").withColumn("revisit", F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")))
     lines = told.select("id", "url", "html", "digest", "response", "revisit").mapInArrow(_records, "value string")
-    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).text(path)
+    lines.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 def candidates(data: bytes) -> Iterator[tuple[int, int, dict[bytes, bytes], int]]:
@@ -100,6 +101,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             data = content.as_buffer().to_pybytes()
+            data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
             rows = []
             for at, after, fields, block in candidates(data):
                 kind = fields.get(b"WARC-Type", b"").decode()
