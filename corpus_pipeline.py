@@ -33,8 +33,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def kept(batches):
         judge = langid._predicted(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 text = part.column(at).cast(pa.string())
                 for answer in judge([pa.record_batch([text, text], ["id", "text"])]):
                     lang, unsure = answer.column("lang_pred").to_pylist(), answer.column("ambiguous").to_pylist()

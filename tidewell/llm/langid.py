@@ -149,8 +149,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _predicted(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
                 has = np.array([bool(t and _LETTER.search(t)) for t in batch.column(1).to_pylist()], bool)
                 lang, score, unsure = [UNKNOWN] * len(has), np.zeros(len(has)), np.ones(len(has), bool)
                 if model.languages and has.any():

@@ -22,7 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) ")
 _ELSEWHERE = r"(^|[^!-~À-ÖØ-öø-ɏ]) "
 #: Words whose ids a worker keeps at most; beyond it the memory starts anew.
-MOST_WORDS = 1_200_000
+MOST_WORDS = 600_000
 #: Bytes of text handled at once; a longer text is alone.
 LOT = 6_000_000
 
