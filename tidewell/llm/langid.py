@@ -5,7 +5,8 @@ text is trained (ridge regression to -1 and 1). A text's language is the codewor
 as much as the bit's classifier was right in cross-checking on the training rows; the gap to the next codeword tells how sure
 that is, and a small gap is flagged as ambiguous.
 
-Training uses a bounded sample: for each language the rows of the ``per_language`` smallest hashes of the id.
+Training uses a bounded sample: for each language the ids of the ``per_language`` smallest hashes, which are sought below a bound
+of the hash that about ``SPARE`` times as many ids of the language have, so the window that ranks them does not grow with the table.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every text is ``und``; with
 one language all others are that; ids may be null (never held out, never learned from) or repeat, each row is answered; an
@@ -27,6 +28,8 @@ from .textbytes import CHUNK, as_bytes
 
 #: Hashed n-grams; rows to learn from for a language; languages at most, by how many rows they have.
 FEATURES, PER_LANGUAGE, MOST_LANGUAGES = 4096, 600, 256
+#: The smallest hashes are sought among so many times the ids wanted of a language, whatever its size.
+SPARE = 4
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -136,10 +139,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the labelled rows of ``docs``; at most ``per_language`` of each of at most MOST_LANGUAGES languages."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    size = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("id").alias("ids"))
+    common = size.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang", (F.lit(SPARE * per_language) / F.col("ids")).alias("share"))
+    near = rows.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(common), "lang").where("h / 18446744073709551616D + 0.5D <= share")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = rows.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(common), "lang", "left_semi").withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang")
-    picked = docs.sparkSession.createDataFrame(chosen.distinct().collect(), chosen.schema)  # at most per_language * MOST_LANGUAGES
+    chosen = near.select("id", "lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang")
+    picked = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most per_language * MOST_LANGUAGES
     learn = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").dropDuplicates(["id", "lang"]).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
     learn.sort()
     x = np.stack([np.frombuffer(r.x, np.float16) for r in learn]).astype(np.float32) if learn else np.zeros((0, FEATURES), np.float32)
