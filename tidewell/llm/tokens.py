@@ -21,6 +21,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) ")
 _ELSEWHERE = r"(^|[^!-~À-ÖØ-öø-ɏ]) "
+_MARKS = ".,;:!?"
 #: Words whose ids a worker keeps at most; beyond it the memory starts anew.
 MOST_WORDS = 600_000
 #: Bytes of text handled at once; a longer text is alone.
@@ -61,19 +62,28 @@ class WordTokenizer:
         self.starts, self.lengths, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def _keep(self, lists: list[list[int]]) -> range:
-        size = sum(map(len, lists))
+        own = np.fromiter(map(len, lists), np.int32, len(lists))
+        return self._keep_flat(np.fromiter((i for x in lists for i in x), np.uint32, own.sum()), own)
+
+    def _keep_flat(self, flat: np.ndarray, own: np.ndarray) -> range:
+        size = len(flat)
         while self.filled + size > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) > len(self.starts):
+        while self.n + len(own) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        own = np.fromiter(map(len, lists), np.int32, len(lists))
-        new = slice(self.n, self.n + len(lists))
-        self.ids[self.filled : self.filled + size] = np.fromiter((i for x in lists for i in x), np.uint32, size)
+        new = slice(self.n, self.n + len(own))
+        self.ids[self.filled : self.filled + size] = flat
         self.lengths[new] = own
         self.starts[new] = self.filled + np.cumsum(own) - own
-        self.n, self.filled = self.n + len(lists), self.filled + size
+        self.n, self.filled = self.n + len(own), self.filled + size
         return range(new.start, new.stop)
 
+    def _ids_of(self, slot: np.ndarray) -> np.ndarray:
+        """The ids of these slots, one after another."""
+        length = self.lengths[slot].astype(np.int64)
+        ends = np.cumsum(length)
+        return self.ids[np.repeat(self.starts[slot] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
         out = []
         for i in range(0, len(texts), 4096):
@@ -84,10 +94,23 @@ class WordTokenizer:
         """Slots of words that follow a space."""
         slots = self.slots
         new = [w for w in words if w not in slots]
-        letters, other = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        letters, other, marked, stems = [], [], [], []
+        for w in new:
+            if w.isalpha():
+                letters.append(w)
+            elif (stem := w.rstrip(_MARKS)).isalpha():  # the pre-tokenizer parts letters from marks
+                marked.append(w)
+                stems.append(stem)
+            else:
+                other.append(w)
+        letters += set(stems).difference(slots, letters)
         merge = self.inner.model.tokenize  # a word of letters is one piece of the pre-tokenizer: its merges alone give its ids
         slots.update(zip(letters, self._keep([[k.id for k in merge((b" " + w.encode()).decode("latin-1").translate(_LETTERS))] for w in letters]), strict=True))
         slots.update(zip(other, self._keep(self._encode([" " + w for w in other])), strict=True))
+        if marked:
+            tails = self._of_firsts([w[len(k) :] for w, k in zip(marked, stems, strict=True)])
+            parts = np.stack([np.fromiter(map(slots.__getitem__, stems), np.int64, len(stems)), tails], axis=1)
+            slots.update(zip(marked, self._keep_flat(self._ids_of(parts.ravel()), self.lengths[parts].sum(1)), strict=True))
         return np.fromiter(map(slots.__getitem__, words), np.int64, len(words))
 
     def _of_firsts(self, words: list[str]) -> np.ndarray:
@@ -118,9 +141,7 @@ class WordTokenizer:
         slot_of[where] = self._of_words([distinct[k] for k in where.tolist()])
         slot = slot_of[codes]
         slot[at[:-1]] = self._of_firsts([distinct[k] for k in firsts.tolist()])
-        length = self.lengths[slot].astype(np.int64)
-        ends = np.cumsum(length)
-        flat = self.ids[np.repeat(self.starts[slot] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        flat, ends = self._ids_of(slot), np.cumsum(self.lengths[slot].astype(np.int64))
         bounds = np.concatenate([[0], ends])[at]
         order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
         out: list = [None] * len(texts)
