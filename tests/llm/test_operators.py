@@ -284,6 +284,30 @@ def test_lattice(spark):
     assert (best.argmin(1) == 0).all()
 
 
+def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((200, 16)), 2, axis=0) + 0.15 * rng.standard_normal((400, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    keys = lattice.cells(unit)
+    members = defaultdict(list)
+    for k, row in enumerate(keys.tolist()):
+        for c in set(row):
+            members[c].append(k)
+    want = np.zeros(400, int)
+    for p in range(400):
+        for q in range(p):
+            if unit[p] @ unit[q] >= 0.95 and np.isin(keys[p], keys[q]).any():
+                want[[p, q]] += 1
+    got = np.zeros(400, int)
+    for c, at in members.items():
+        at = rng.permutation(at)
+        block = pa.table({"cell": pa.array([c] * len(at)), "ca": [0] * len(at), "cb": [0] * len(at), "id": pa.array(at), "chunk": [0] * len(at), "weight": [1] * len(at), "vector": pa.array([unit[k].tobytes() for k in at]), "keys": pa.array([keys[k].tolist() for k in at], pa.list_(pa.int64()))})
+        for r in lattice._linked(0.95)(block).to_pylist():
+            if r["n"] is not None:
+                got[r["a"]] += r["n"]
+    assert want.sum() > 100 and got.tolist() == want.tolist()
+
+
 def _brute(rows, width, num, den):
     sets = defaultdict(list)
     for i, t in rows:

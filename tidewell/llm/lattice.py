@@ -2,8 +2,8 @@
 
 Unit vectors are projected to eight dimensions by random orthonormal maps, one for each table, and decoded to the nearest point of the
 E8 lattice. A vector belongs to its own cell and to the neighbouring cells that it lies nearest to. Vectors that share a cell
-of some table are compared by cosine in double precision; of several shared cells only the first counts, so a link is
-counted once without listing the pairs. What leaves a task is a count for each vector and a forest of links. Equal vectors are one class
+of some table are compared by cosine in double precision; of several shared cells only the one of the least hash counts,
+whatever the order of the rows, so a link is counted once without listing the pairs. What leaves a task is a count for each vector and a forest of links. Equal vectors are one class
 with a weight, and a crowded cell is compared in blocks.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
@@ -120,7 +120,6 @@ def _linked(least: float):
         ids, chunk, weight = (block.column(c).to_numpy() for c in ("id", "chunk", "weight"))
         unit = _unit(block.column("vector"))
         keys = np.stack([np.asarray(k.values) for k in block.column("keys")])
-        nth = np.argmax(keys == cell, axis=1)
         m = len(ids)
         links, root, forest = np.zeros(m, np.int64), np.arange(m), []
 
@@ -140,7 +139,7 @@ def _linked(least: float):
             for lo in range(0, len(x), 20_000):
                 p, q = x[lo : lo + 20_000], y[lo : lo + 20_000]
                 same = (keys[p][:, :, None] == keys[q][:, None, :]).any(2)  # the cells of p that q shares
-                first[lo : lo + 20_000] = same.argmax(1) == nth[p]
+                first[lo : lo + 20_000] = np.where(same, keys[p], np.iinfo(np.int64).max).min(1) == cell
             x, y = x[first], y[first]
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
