@@ -344,6 +344,18 @@ def test_jaccard(spark, none, rows, width, num, hot, monkeypatch):
         assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_jaccard_of_passages_that_many_share(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 6)
+    texts = []
+    for i in range(8):
+        for j in range(8):
+            words = [f"a{i}x{k}" for k in range(20)] + [f"b{j}x{k}" for k in range(20)]
+            texts += [" ".join(words[k:]) for k in range(3 if i == j else 1)]  # only two shingles are not frequent
+    table = list(enumerate(texts))
+    out = jaccard_join.jaccard_components(spark.createDataFrame(table, "doc_id long, text string").coalesce(1), 3, 90, 100).collect()
+    assert Counter(tuple(r) for r in out) == _brute(table, 3, 90, 100)
+
+
 def test_boundary_weighs_cost():
     assert jaccard_join.boundary({s: 10 for s in range(1, 60)}, 90, 100) == 8  # sets of 9 have partners of 10, so they are in the lists anyway
     assert jaccard_join.boundary({}, 90, 100) >= 0

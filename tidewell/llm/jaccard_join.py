@@ -321,7 +321,10 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     rest = rest.join(bits.withColumnRenamed("id", "a").alias("x"), "a").join(bits.withColumnRenamed("id", "b").alias("y"), "b").where(f"{apart} <= na + nb - 2 * {need}").select("a", "b")
     pairs = stored(meeting.union(rest), "pairs")
 
-    hot = met.where(F.col("m") > HOT).join(large.select("id", F.col("lead")[0].alias("family")), "id").select("token", "id", "n", "family")
+    # A set's family is its first shingle, if that one's list is long too: pairs of a family meet there. In a short list they might not be paired, as the
+    # least of their common first shingles may have a long one.
+    families = met.where((F.col("pos") == 0) & (F.col("m") > HOT)).select("id", F.col("token").alias("family"))
+    hot = met.where(F.col("m") > HOT).select("token", "id", "n").join(families, "id", "left").withColumn("family", F.coalesce("family", "token"))
     hot_lists = hot.groupBy("token").agg(F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
     hot_lists = hot_lists.where("one <> last or one = token").drop("one", "last")  # else all have met in the list of their first
     near = stored(hot.join(hot_lists, "token"), "near")
