@@ -252,6 +252,29 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_beside_words_of_their_own():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    finds = lambda t: [(n, i, j) for n, _, i, j in scanner.scan(t)]
+    assert finds("All content here. All rights reserved.") == [("all-rights-reserved", 3, 6)]
+    assert finds("This project is released under the MIT License. See the bundled license") == [("MIT-line", 3, 8)]
+    mit = licenses.TEMPLATES["MIT"].split()
+    edited = " ".join(mit[:-4]) + " river" * 110 + " " + " ".join(mit[-4:])  # the missing words stand later on
+    assert finds(edited) == [("MIT", 0, len(licenses.words_of(" ".join(mit[:-4]))))]
+    assert [n for n, *_ in scanner.scan(" ".join([*mit, *mit[:-4], *["river"] * 5, *mit]))] == ["MIT"] * 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.lists(st.sampled_from("abcdefgz"), max_size=12)] * 3, st.integers(0, 9), st.integers(0, 9))
+def test_a_license_is_found_wherever_enough_words_lie_close(before, amid, behind, at, without):
+    template = list("abcabdeafg")
+    words = [*before, *template[:at], *amid[:6], *(w for k, w in enumerate(template) if k >= at and k != without), *behind]
+    scanner = licenses.Scanner({"x": " ".join(template)})
+    close = [len(licenses._common(template, words[k : k + 15], 0, 0)) for k in range(len(words))]
+    found = scanner.scan(" ".join(words))
+    assert bool(found) == (max(close, default=0) >= 9)
+    assert not found or max(f[1] for f in found) == max(close) / 10
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcdef"), max_size=14), st.lists(st.sampled_from("abcdef"), max_size=14))
 def test_alignment_is_a_common_subsequence(a, b):

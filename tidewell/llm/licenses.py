@@ -2,10 +2,13 @@
 
 Words are runs of letters and digits, in lower case. A license counts as found where at least ``coverage`` of its template's words are
 aligned, in order, with words of the text that lie close together. A find misses at most that share of the template, so one of
-a few rare words of the template must be there; every place in the whole text where one of them stands gives a window, windows that
-meet are one, and each is aligned: words that occur once in the window and once in the template are anchors, the longest
-increasing subsequence of the anchors' places is kept, and the gaps between them are aligned in the same way; a gap without
-anchors is matched from its ends and then by longest common subsequence, as gaps are no longer than a template.
+a few rare words of the template must be there; every place in the whole text where one of them stands gives a window, and windows
+that meet are one. Of a window, only stretches are looked at that hold enough of the template's words near each other. A short
+stretch is aligned by patience: words that occur once in it and once in the template are anchors, the longest increasing
+subsequence of the anchors' places is kept, and the gaps between them are aligned in the same way; a gap without anchors is
+matched from its ends and then by longest common subsequence. If that finds the template word for word, what lies before
+and behind is looked at in the same way. All other stretches get an exact table, carried from word to word: of the alignments of
+each beginning of the template that miss so many of its words, the latest start. So a word that matches far off hides nothing.
 
 Edge cases: a null text or one without words has no finds; a license that stands twice is reported twice, unless the second
 starts within a template's length of the first, where the better is kept; ids may be null or repeat, each row is scanned by
@@ -134,6 +137,7 @@ class Scanner:
         return max(1, -int(-self.coverage * len(self.words[name]) // 1))
 
     def windows(self, words: list[bytes]) -> Iterator[tuple[str, int, int]]:
+        """(license, start, end): the surroundings of sought words, those that meet as one."""
         places: dict[str, list[int]] = defaultdict(list)
         sought = self.sought
         for k, w in enumerate(words):
@@ -142,23 +146,88 @@ class Scanner:
                     places[name].append(k)
         for name, at in places.items():
             reach = int(STRETCH * len(self.words[name])) + 1
+            i, j = at[0] - reach, at[0]
             for p in at:
-                yield name, max(0, p - reach), min(len(words), p + reach + 1)
+                if p - reach > j + reach + 1:
+                    yield name, max(0, i), j + reach + 1
+                    i = p - reach
+                j = p
+            yield name, max(0, i), min(len(words), j + reach + 1)
+
+    def stretches(self, name: str, words: list[bytes], i: int, j: int) -> Iterator[tuple[int, int]]:
+        """Parts of a window outside which no find lies: as many words as a find spans hold enough of the template's, in any order."""
+        room = Counter(self.words[name])
+        reach, least = self.span(name), self.least(name)
+        enough, start, end = 0, -1, -1
+        for k in range(i, j):
+            if (w := words[k]) in room:
+                room[w] -= 1
+                enough += room[w] >= 0
+            if k - reach >= i and (w := words[k - reach]) in room:
+                enough -= room[w] >= 0
+                room[w] += 1
+            if enough >= least:
+                low = max(i, k - reach + 1)
+                if start >= 0 and low > end:
+                    yield start, end
+                    start = -1
+                start, end = low if start < 0 else start, k + 1
+        if start >= 0:
+            yield start, end
+
+    def span(self, name: str) -> int:
+        """Words of the text from the first of a find to its last, at most."""
+        return -int(-STRETCH * len(self.words[name]) // 1)
+
+    def exact(self, name: str, words: list[bytes], i: int, j: int) -> Iterator[tuple[float, int, int]]:
+        """(coverage, first word, end): for each place in [i, j) where a find may end, the one that misses least, as late a start as can be."""
+        template = self.words[name]
+        size, reach = len(template), self.span(name)
+        most = size - self.least(name)
+        at: dict[bytes, list[int]] = defaultdict(list)
+        for r in range(size - 1, -1, -1):
+            at[template[r]].append(r)
+        start = [[-1] * (most + 1) for _ in range(size + 1)]  # by words of the template that are behind, and by how many of these are missed
+        for k in range(i, j):
+            ended: set[int] = set()
+            for r in at.get(words[k], ()):
+                for d in range(min(r, most) + 1):
+                    s = k if r == d else start[r][d]
+                    if s < 0 or k - s >= reach:
+                        continue
+                    x, e = r + 1, d
+                    while x <= size and e <= most and s > start[x][e]:
+                        start[x][e] = s
+                        if x == size:
+                            ended.add(e)
+                        x, e = x + 1, e + 1
+            if ended:
+                e = min(ended)
+                yield (size - e) / size, start[size][e], k + 1
+
+    def finds(self, name: str, words: list[bytes], i: int, j: int) -> Iterator[tuple[float, int, int]]:
+        template = self.words[name]
+        for a, b in self.stretches(name, words, i, j):
+            if b - a <= 4 * len(template):
+                pairs = align(template, words[a:b], 0, a)
+                if len(pairs) == len(template) == pairs[-1][1] + 1 - pairs[0][1]:
+                    first, end = pairs[0][1], pairs[-1][1] + 1
+                    yield from self.finds(name, words, a, first)
+                    yield 1.0, first, end
+                    yield from self.finds(name, words, end, b)
+                    continue
+            yield from self.exact(name, words, a, b)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, end) of each find, by place."""
         words = words_of(text)
         found: dict[str, list[tuple[float, int, int]]] = defaultdict(list)
         for name, i, j in self.windows(words):
-            template = self.words[name]
-            pairs = align(template, words[i:j], 0, i)
-            if len(pairs) < self.least(name) or pairs[-1][1] - pairs[0][1] >= STRETCH * len(template):
-                continue
-            hit = (len(pairs) / len(template), pairs[0][1], pairs[-1][1] + 1)
-            if found[name] and hit[1] - found[name][-1][1] < len(template):
-                found[name][-1] = max(found[name][-1], hit, key=lambda h: (h[0], h[1] - h[2]))
-            else:
-                found[name].append(hit)
+            for hit in self.finds(name, words, i, j):
+                if found[name] and hit[1] - found[name][-1][1] < len(self.words[name]):
+                    found[name][-1] = max(found[name][-1], hit, key=lambda h: (h[0], h[1] - h[2]))
+                else:
+                    found[name].append(hit)
         return sorted(((name, *h) for name, hits in found.items() for h in hits), key=lambda h: (h[2], h[0]))
 
 
