@@ -307,6 +307,12 @@ def test_lattice(spark):
     assert (best.argmin(1) == 0).all()
 
 
+def test_lattice_links_within_each_length(spark):
+    rows = [(k, [1.0, 2.0, 3.0] if k % 2 else [2.0, 4.0, 6.0]) for k in range(4)] + [(k, [float(i % 7) + 1 for i in range(12)]) for k in range(10, 16)] + [(0, [5.0] * 12), (20, [3.0])]
+    out = Counter((r.vec_id, r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert out == Counter([(k, 3, 0) for k in range(4)] + [(k, 5, 10) for k in range(10, 16)] + [(0, 0, 0), (20, 0, 20)])
+
+
 def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     rng = np.random.default_rng(8)
     x = np.repeat(rng.standard_normal((200, 16)), 2, axis=0) + 0.15 * rng.standard_normal((400, 16))

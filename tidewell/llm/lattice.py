@@ -7,7 +7,7 @@ whatever the order of the rows, so a link is counted once without listing the pa
 with a weight, and a crowded cell is compared in blocks.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
-component; vectors of other lengths than the commonest link with nothing either; a repeated id stands for one vector per row with the same id, whose
+component; vectors of different lengths don't link; a repeated id stands for one vector per row with the same id, whose
 rows share a component; a null id has a null component; an empty table gives an empty result; other columns are not read.
 """
 
@@ -107,9 +107,12 @@ def _members(tables: int, each: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
-                b = whole.slice(i, 1024)
-                keys = cells(_unit(b.column(2)), tables, each, scale)
-                yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(list(keys), pa.list_(pa.int64()))], ["id", "weight", "vector", "keys"])
+                lot = whole.slice(i, 1024)
+                dims = lot.column(3).to_numpy()
+                for n in np.unique(dims):
+                    b = lot.filter(pa.array(dims == n))
+                    keys = cells(_unit(b.column(2)), tables, each, scale)
+                    yield pa.record_batch([*b.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["id", "weight", "vector", "dims", "keys"])
 
     return run
 
@@ -150,7 +153,7 @@ def _linked(least: float):
                     forest.append((int(ids[p]), int(ids[q])))
         some = np.flatnonzero(links)
         a = [*ids[some].tolist(), *(p for p, _ in forest)]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array([None] * len(some) + [q for _, q in forest], pa.int64()), "n": pa.array([*links[some].tolist(), *([None] * len(forest))], pa.int64())})
+        return pa.table({"dims": pa.array([unit.shape[1]] * len(a), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array([None] * len(some) + [q for _, q in forest], pa.int64()), "n": pa.array([*links[some].tolist(), *([None] * len(forest))], pa.int64())})
 
     return run
 
@@ -160,24 +163,22 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     found = stored(rows.mapInArrow(_marked, "id long, mark binary, vector binary, dims int"), "vectors")
-    usual = found.where("dims is not null").groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(1).select("dims").collect()
-    sound = found.where(F.col("id").isNotNull() & (F.col("dims") == (usual[0].dims if usual else 0)))
-    classes = stored(sound.groupBy("mark").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
-    one = sound.join(classes, "mark").where("id = least").dropDuplicates(["mark"]).select("id", "weight", "vector")
-    members = stored(one.mapInArrow(_members(tables, each, scale), "id long, weight long, vector binary, keys array<long>"), "members")
-    held = members.select("id", F.explode("keys").alias("cell"))
-    crowd = held.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
-    put = held.join(crowd, "cell").withColumn("chunks", F.ceil(F.col("m") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    sound = found.where("id is not null and mark is not null")
+    classes = stored(sound.groupBy("mark", "dims").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
+    one = sound.join(classes, ["mark", "dims"]).where("id = least").dropDuplicates(["mark"]).select("id", "weight", "vector", "dims")
+    members = stored(one.mapInArrow(_members(tables, each, scale), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
+    held = members.select("id", "dims", F.explode("keys").alias("cell"))
+    crowd = held.groupBy("cell", "dims").agg(F.count("*").alias("m")).where("m > 1")
+    put = held.join(crowd, ["cell", "dims"]).withColumn("chunks", F.ceil(F.col("m") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("m", "chunks", "other")
-    told = stored(put.join(members, "id").groupBy("cell", "ca", "cb").applyInArrow(_linked(least), "a long, b long, n long"), "links")
-    counts = told.where("n is not null").groupBy(F.col("a").alias("least")).agg(F.sum("n").alias("other"))
-    of = sound.join(classes, "mark").select("id", "mark", "least", "weight")
+    told = stored(put.join(members, ["id", "dims"]).groupBy("cell", "dims", "ca", "cb").applyInArrow(_linked(least), "dims int, a long, b long, n long"), "links")
+    counts = told.where("n is not null").groupBy(F.col("a").alias("least"), "dims").agg(F.sum("n").alias("other"))
+    of = sound.join(classes, ["mark", "dims"]).select("id", "mark", "least", "weight")
     same = of.groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
     repeated = of.join(same, "id").select(F.col("least").alias("a"), F.col("first").alias("b"))
     joined = components(told.where("b is not null").select("a", "b").union(repeated))
-    linked = classes.join(counts, "least", "left").join(joined, F.col("least") == F.col("node"), "left").select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("c"))
-    alone = F.col("id").isNull() | F.coalesce(F.col("dims") != (usual[0].dims if usual else 0), F.lit(True))
-    out = found.select("id", F.when(~alone, F.col("mark")).alias("mark")).join(linked, "mark", "left")
+    linked = classes.join(counts, ["least", "dims"], "left").join(joined, F.col("least") == F.col("node"), "left").select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("c"))
+    out = found.select("id", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")).join(linked, "mark", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
