@@ -13,12 +13,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidewell.llm import bpe_tree, exact_dedup, jaccard_join, langid, lattice, licenses, line_dedup, packing, token_files, warc
 from tidewell.llm.components import components
 from tidewell.llm.elias_fano import EliasFano
 from tidewell.llm.scratch import fresh_path
-from tidewell.llm.tokens import tokenizer_path, word_tokenizer
+from tidewell.llm.tokens import WordTokenizer, tokenizer_path, word_tokenizer
 
 RNG = random.Random(5)
 WORDS = "the of and licence River über été naïve x 42 don't we'll".split()
@@ -32,9 +33,9 @@ def _text(n: int) -> str:
 def _rows() -> list[tuple]:
     base = [_text(n) for n in (3, 9, 30, 60, 200, 1500, 12, 40)]
     near = [" ".join(b.split()[:-1] + ["changed"]) for b in base]
-    texts = [None, "", "   ", "1 2 3", *base, *base[:4], *near, " " + base[2], base[3].upper(), "a" * 5000]
+    texts = [None, "", "   ", "1 2 3", "a <|endoftext|> b", *base, *base[:4], *near, " " + base[2], base[3].upper(), "a" * 5000]
     rows = [(k, t, "en" if k % 2 else None, f"s{k % 3}" if k % 7 else None, None, 1, "x", 2) for k, t in enumerate(texts)]
-    return [*rows, rows[5], rows[8], (None, base[0], None, None, None, 1, "x", 2)]
+    return [*rows, rows[6], rows[9], (None, base[0], None, None, None, 1, "x", 2)]
 
 
 @pytest.fixture(scope="module")
@@ -54,7 +55,7 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def plain():
-    return word_tokenizer(tokenizer_path()).inner
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as the library makes it, none of our settings
 
 
 def _ids(plain, text):
@@ -65,6 +66,17 @@ def test_word_tokenizer_equals_the_library(plain):
     parts = ["a", "the", " ", " ", "  ", "\n", "'", "'re", "s", "9", "é", "!!", "中", " b", "　", "\x1c", "ª", "<|endoftext|>"]
     texts = ["".join(RNG.choice(parts) for _ in range(RNG.randint(0, 50))) for _ in range(400)]
     assert [x.tolist() for x in word_tokenizer(tokenizer_path()).encode(pa.array(texts))] == [_ids(plain, t) for t in texts]
+    assert _ids(plain, "a <|endoftext|> b") == [64, 220, 50256, 275]
+    plain.encode_special_tokens = True
+    assert [x.tolist() for x in word_tokenizer(tokenizer_path(), special_as_text=True).encode(pa.array(texts))] == [_ids(plain, t) for t in texts]
+    plain.encode_special_tokens = False
+
+
+def test_word_tokenizer_of_long_texts_in_several_lots(plain, monkeypatch):
+    monkeypatch.setattr("tidewell.llm.tokens.LOT", 2000)
+    monkeypatch.setattr("tidewell.llm.tokens.MOST_WORDS", 50)
+    texts = [_text(3000), None, "", "<|endoftext|>", _text(500) + "<|endoftext|>" + _text(900), "x" * 30_000, *[_text(40) for _ in range(200)]]
+    assert [x.tolist() for x in WordTokenizer(tokenizer_path()).encode(pa.array(texts))] == [_ids(plain, t) for t in texts]
 
 
 def test_packing(docs, none, rows, plain):

@@ -4,6 +4,9 @@ A text is cut before every space that follows a visible ASCII character or a Lat
 starts a new piece there: none of its alternatives holds a space but at its start or in a run of white space, and none looks
 further ahead than that run or the two letters after an apostrophe. So the pieces' ids, concatenated, are the text's ids. A
 text with a space elsewhere is cut by the same rule with a regular expression.
+
+A special string of the file that stands in a text is what the library makes of it in a plain call: its own id. With
+``special_as_text`` it is ordinary text, as the library's ``encode_special_tokens`` has it.
 """
 
 from __future__ import annotations
@@ -45,13 +48,18 @@ _LETTERS = _byte_letters()
 
 
 class WordTokenizer:
-    """Encodes texts to ids of a byte-level BPE file of the tokenizers library; its special strings are ordinary text."""
+    """Encodes texts to ids of a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
+        self.inner.encode_special_tokens = True  # words are cut off a text after its special strings
+        added = {} if special_as_text else self.inner.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("special strings that reach into the words beside them are not supported")
+        self.special = {t.content: i for i, t in added.items()}
+        self.special_cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.vocabulary = self.inner.get_vocab_size()
         self._reset()
 
@@ -149,9 +157,7 @@ class WordTokenizer:
             out[k] = flat[i:j]
         return out
 
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each row of a string column, in order, as unsigned 32-bit integers; a null is an empty text."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+    def _lots(self, texts: pa.Array) -> Iterator[np.ndarray]:
         size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         i = 0
         while i < len(texts):
@@ -159,8 +165,27 @@ class WordTokenizer:
             yield from self._lot(texts[i:j])
             i = j
 
+    def _around_special(self, text: str) -> np.ndarray:
+        parts = self.special_cut.split(text)
+        between = list(self._lots(pa.array(parts[::2], pa.large_string())))
+        marks = [np.array([self.special[m]], np.uint32) for m in parts[1::2]]
+        return np.concatenate([x for pair in zip(between, [*marks, np.zeros(0, np.uint32)], strict=True) for x in pair])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row of a string column, in order, as unsigned 32-bit integers; a null is an empty text."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        held = np.zeros(len(texts), bool)
+        for mark in self.special:
+            held |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        i = 0
+        for k in [*np.flatnonzero(held).tolist(), len(texts)]:
+            yield from self._lots(texts[i:k])
+            if k < len(texts):
+                yield self._around_special(texts[k].as_py())
+            i = k + 1
+
 
 @cache
-def word_tokenizer(path: str) -> WordTokenizer:
+def word_tokenizer(path: str, special_as_text: bool = False) -> WordTokenizer:
     """One for each Python worker, so that later tasks find the words of earlier ones."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, special_as_text)
