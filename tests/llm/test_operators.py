@@ -406,3 +406,50 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
+
+
+def _labelled(languages, each, seed):
+    rng = random.Random(seed)
+    words = {k: ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(60)] for k in range(languages)}
+    return [(i, " ".join(rng.choice(words[i % languages]) for _ in range(rng.randint(8, 40))), f"l{i % languages:03d}") for i in range(languages * each)]
+
+
+def test_language_id_of_more_languages_than_any_cap(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SUMMED", 1000)
+    rows = _labelled(300, 16, 9)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    model = langid.fit(df.where(~langid.held_out()))
+    assert len(model.languages) == 300
+    out = {r.doc_id: r for r in langid.predict(df.where(langid.held_out()), model).collect()}
+    assert np.mean([out[k].lang_pred == lang for k, _, lang in rows if k in out]) >= 0.95
+
+
+def test_both_forms_of_the_normal_equations_agree(spark):
+    rows = _labelled(5, 40, 4)
+    df = spark.createDataFrame([*rows, (7, rows[7][1], "l001"), (7, "another text", "l002")], "doc_id long, text string, lang string")
+    learn = langid.training_rows(df)
+    x = sorted(learn.select("lang", "x").collect())
+    a = langid.Model.fit(langid._vectors(pa.array([r.x for r in x], pa.binary())), [r.lang for r in x])
+    b = langid.fit_by_products(learn, len(x), a.languages)
+    assert np.abs(a.weights - b.weights).max() < 1e-3 and np.abs(a.bias - b.bias).max() < 1e-6 and np.abs(a.trust - b.trust).max() < 0.05
+
+
+def test_decoding_is_the_codeword_of_least_weighted_loss():
+    rng = np.random.default_rng(2)
+    codes = langid.codewords(9)
+    model = langid.Model([str(k) for k in range(9)], codes, rng.standard_normal((langid.FEATURES, codes.shape[1])).astype(np.float32), rng.standard_normal(codes.shape[1]), rng.random(codes.shape[1]), 0.05)
+    x = rng.random((12, langid.FEATURES)).astype(np.float32) / 64
+    best, score, unsure = model.predict(x)
+    for k in range(12):
+        margin = [float(sum(float(a) * float(b) for a, b in zip(x[k], w, strict=True)) + c) for w, c in zip(model.weights.T, model.bias, strict=True)]
+        loss = [sum(t * np.log1p(np.exp(-3 * m * c)) for t, m, c in zip(model.trust, margin, code, strict=True)) for code in codes]
+        near = sorted(loss)
+        assert np.isclose(loss[best[k]], near[0]) and 0 < score[k] <= 1
+        assert abs(near[1] - near[0] - 0.05) < 1e-4 or unsure[k] == (near[1] - near[0] < 0.05)
+
+
+def test_gram_counts_of_long_texts_in_chunks(monkeypatch):
+    raw = np.frombuffer(_text(5000).encode(), np.uint8)
+    whole = langid.gram_counts(raw)
+    monkeypatch.setattr(langid, "CHUNK", 1000)
+    assert (langid.gram_counts(raw) == whole).all()

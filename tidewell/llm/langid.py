@@ -5,8 +5,11 @@ text is trained (ridge regression to -1 and 1). A text's language is the codewor
 as much as the bit's classifier was right in cross-checking on the training rows; the gap to the next codeword tells how sure
 that is, and a small gap is flagged as ambiguous.
 
-Training uses a bounded sample: for each language the ids of the ``per_language`` smallest hashes, which are sought below a bound
-of the hash that about ``SPARE`` times as many ids of the language have, so the window that ranks them does not grow with the table.
+Training uses a bounded sample: for each language, however many there are, the ids of the ``per_language`` smallest hashes, which
+are sought below a bound of the hash that about ``SPARE`` times as many ids of the language have, so the window that ranks them
+does not grow with the table. The ridge's normal equations are solved in the smaller of their two forms: by the rows' products where there are
+no more rows than features, else by the features' products, which the executors sum fold by fold. So the driver holds two or three square
+matrices of FEATURES, whatever the languages' number.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; without training rows every text is ``und``; with
 one language all others are that; ids may be null (never held out, never learned from) or repeat, each row is answered; an
@@ -23,13 +26,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import ship, table
+from .scratch import ship, stored, table
 from .textbytes import CHUNK, as_bytes
 
-#: Hashed n-grams; rows to learn from for a language; languages at most, by how many rows they have.
-FEATURES, PER_LANGUAGE, MOST_LANGUAGES = 4096, 600, 256
+#: Hashed n-grams; rows to learn from for a language.
+FEATURES, PER_LANGUAGE = 4096, 600
+#: Parts of the training rows that are judged by what the others teach; rows of which one task sums the products.
+FOLDS, SUMMED = 4, 16_384
 #: The smallest hashes are sought among so many times the ids wanted of a language, whatever its size.
 SPARE = 4
+#: Of the square weights in the fit; a gap of losses below which the answer is ambiguous.
+RIDGE, UNSURE = 0.02, 0.05
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -80,12 +87,12 @@ def codewords(languages: int, seed: int = 7) -> np.ndarray:
         return (((splits[None, :] >> np.arange(languages)[:, None]) & 1) * 2 - 1).astype(np.int8)
     rng, bits = np.random.default_rng(seed), 4 * int(np.ceil(np.log2(languages))) + 11
     best, far = None, -1
-    for _ in range(64):
+    for _ in range(64 if languages <= 1024 else 2):
         c = rng.choice(np.array([-1, 1], np.int8), (languages, bits))
-        c = c[:, np.abs(c.sum(0)) < languages]
-        apart = ((c[:, None] != c[None]).sum(2) + c.shape[1] * np.eye(languages, dtype=int)).min()
+        c = c[:, np.abs(c.sum(0, dtype=np.int64)) < languages].astype(np.float32)
+        apart = min((c.shape[1] - np.delete(c @ c[k], k).max()) / 2 for k in range(languages))
         if apart > far:
-            best, far = c, apart
+            best, far = c.astype(np.int8), apart
     return best
 
 
@@ -94,12 +101,25 @@ class Model:
         self.languages, self.codes, self.weights, self.bias, self.trust, self.unsure = languages, codes, weights, bias, trust, unsure
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: list[str], ridge: float = 0.02, folds: int = 4, unsure: float = 0.05) -> Model:
+    def of(cls, languages: list[str], codes: np.ndarray, weights: np.ndarray, bias: np.ndarray, right: np.ndarray, unsure: float) -> Model:
+        """``right``: the share of training rows of which each bit's classifier, taught by the other folds, was right."""
+        error = np.clip(1 - right, 0.005, 0.495)
+        trust = np.log((1 - error) / error)
+        return cls(languages, codes, weights.astype(np.float32), bias, trust / trust.sum(), unsure)
+
+    @classmethod
+    def blank(cls, languages: list[str], codes: np.ndarray, unsure: float) -> Model:
+        """Of no or one language: nothing to tell apart."""
+        return cls(languages, codes, np.zeros((FEATURES, 0), np.float32), np.zeros(0), np.zeros(0), unsure)
+
+    @classmethod
+    def fit(cls, x: np.ndarray, labels: list[str], ridge: float = RIDGE, folds: int = FOLDS, unsure: float = UNSURE) -> Model:
+        """By the products of the rows with each other."""
         languages = sorted(set(labels))
         codes = codewords(len(languages))
-        y = codes[[languages.index(k) for k in labels]].astype(np.float64) if labels else np.zeros((0, 0))
         if not codes.size:
-            return cls(languages, codes, np.zeros((FEATURES, 0), np.float32), np.zeros(0), np.zeros(0), unsure)
+            return cls.blank(languages, codes, unsure)
+        y = codes[[languages.index(k) for k in labels]].astype(np.float64)
         mean = y.mean(0)
         gram = (x @ x.T).astype(np.float64)
         fold, right = np.arange(len(y)) % folds, np.zeros(y.shape)
@@ -108,19 +128,16 @@ class Model:
             if i.any() and j.any():
                 a = np.linalg.solve(gram[np.ix_(i, i)] + ridge * np.eye(i.sum()), (y - mean)[i])
                 right[j] = np.sign(gram[np.ix_(j, i)] @ a + mean) == y[j]
-        error = np.clip(1 - right.mean(0), 0.005, 0.495)
-        trust = np.log((1 - error) / error)
         a = np.linalg.solve(gram + ridge * np.eye(len(y)), y - mean)
-        return cls(languages, codes, (x.T @ a).astype(np.float32), mean, trust / trust.sum(), unsure)
+        return cls.of(languages, codes, x.T @ a, mean, right.mean(0), unsure)
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, score from 0 to 1, whether it is ambiguous."""
         if len(self.languages) < 2:
             return np.zeros(len(x), int), np.ones(len(x)), np.zeros(len(x), bool)
         margin = x @ self.weights + self.bias
-        loss = np.zeros((len(x), len(self.languages)))
-        for k, code in enumerate(self.codes):
-            loss[:, k] = np.log1p(np.exp(-3 * margin * code)) @ self.trust
+        one = (self.codes.T > 0).astype(np.float64)
+        loss = (np.log1p(np.exp(-3 * margin)) * self.trust) @ one + (np.log1p(np.exp(3 * margin)) * self.trust) @ (1 - one)
         best = loss.argmin(1)
         odds = np.exp(-4 * (loss - loss.min(1, keepdims=True)))
         two = np.partition(loss, 1, axis=1)
@@ -135,20 +152,104 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0), pa.array([v.astype(np.float16).tobytes() for v in features(batch.column(1))], pa.binary())], ["lang", "x"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the labelled rows of ``docs``; at most ``per_language`` of each of at most MOST_LANGUAGES languages."""
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in column]).astype(np.float32) if len(column) else np.zeros((0, FEATURES), np.float32)
+
+
+def _targets(column: pa.Array, at: dict[str, int], codes: np.ndarray) -> np.ndarray:
+    return codes[[at[k] for k in column.to_pylist()]].astype(np.float32)
+
+
+def _products(at: dict[str, int], codes: np.ndarray, strip: int = 256):
+    """The sums, by fold, of the products of rows' features with each other, with their codewords, and of the codewords; in strips."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            fold, x = b.column(2).to_numpy(), _vectors(b.column(1))
+            y = _targets(b.column(0), at, codes)
+            for f in np.unique(fold).tolist():
+                own = np.concatenate([x[fold == f], np.ones(((fold == f).sum(), 1), np.float32)], axis=1)  # the last feature is 1
+                part = own.T @ np.concatenate([own, y[fold == f]], axis=1)
+                sums[f] = sums[f] + part if f in sums else part
+        for f, part in sums.items():
+            for k in range(0, FEATURES + 1, strip):
+                yield pa.record_batch([pa.array([f], pa.int32()), pa.array([k], pa.int32()), pa.array([part[k : k + strip].tobytes()], pa.binary())], ["fold", "strip", "sums"])
+
+    return run
+
+
+def _added(block: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), np.float32) for v in block.column("sums"))
+    return pa.table({"fold": block.column("fold")[:1], "strip": block.column("strip")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _judged(at: dict[str, int], codes: np.ndarray, taught: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """How many rows of a task each bit's classifier of the other folds is right of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right = np.zeros(codes.shape[1], np.int64)
+        for b in batches:
+            fold, x = b.column(2).to_numpy(), _vectors(b.column(1))
+            y = _targets(b.column(0), at, codes)
+            for f, (weights, bias) in taught.items():
+                right += (np.sign(x[fold == f] @ weights + bias) == y[fold == f]).sum(0)
+        yield pa.record_batch([pa.array(range(len(right)), pa.int32()), pa.array(right)], ["bit", "right"])
+
+    return run
+
+
+def fit_by_products(learn: DataFrame, n: int, languages: list[str], unsure: float = UNSURE) -> Model:
+    """The same ridge by the products of the features, summed by the executors; ``learn`` has (lang, x, fold)."""
+    codes = codewords(len(languages))
+    if not codes.size:
+        return Model.blank(languages, codes, unsure)
+    at = {k: i for i, k in enumerate(languages)}
+    tasks = max(1, -(-n // SUMMED))
+    parts = learn.repartition(tasks, "fold", F.pmod(F.xxhash64("x"), F.lit(tasks))).mapInArrow(_products(at, codes), "fold int, strip int, sums binary")
+    sums = stored(parts.groupBy("fold", "strip").applyInArrow(_added, "fold int, strip int, sums binary"), "products")  # FOLDS matrices, whatever the rows
+
+    def matrix(fold: int) -> np.ndarray:
+        own = sorted(sums.where(F.col("fold") == fold).select("strip", "sums").toLocalIterator())
+        return np.concatenate([np.frombuffer(r.sums, np.float32) for r in own]).reshape(FEATURES + 1, -1) if own else np.zeros((FEATURES + 1, FEATURES + 1 + codes.shape[1]), np.float32)
+
+    whole = sum(matrix(f) for f in range(FOLDS))
+    mean = whole[-1, FEATURES + 1 :] / n
+
+    def weights(m: np.ndarray) -> np.ndarray:
+        left = m[:-1, :FEATURES].astype(np.float64)
+        left[np.diag_indices(FEATURES)] += RIDGE
+        return np.linalg.solve(left, m[:-1, FEATURES + 1 :] - m[:-1, FEATURES : FEATURES + 1] * mean).astype(np.float32)
+
+    taught = {f: (weights(whole - matrix(f)), mean) for f in range(FOLDS)}
+    right = np.zeros(codes.shape[1])
+    for r in learn.mapInArrow(_judged(at, codes, taught), "bit int, right long").groupBy("bit").agg(F.sum("right").alias("right")).collect():
+        right[r.bit] = r.right / n
+    return Model.of(languages, codes, weights(whole), mean, right, unsure)
+
+
+def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
+    """(lang, x, fold) of at most ``per_language`` labelled rows of each language."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null and text is not null")
-    size = rows.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("id").alias("ids"))
-    common = size.orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang", (F.lit(SPARE * per_language) / F.col("ids")).alias("share"))
-    near = rows.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(common), "lang").where("h / 18446744073709551616D + 0.5D <= share")
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
+    share = stored(size.select("lang", (F.lit(SPARE * per_language) / F.col("ids")).alias("share")), "languages")  # a table, so that its size tells whether it is broadcast
+    near = rows.select("id", "lang", F.xxhash64("id").alias("h")).join(share, "lang").where("h / 18446744073709551616D + 0.5D <= share")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = near.select("id", "lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang")
-    picked = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)  # at most per_language * MOST_LANGUAGES
-    learn = rows.join(F.broadcast(picked), ["id", "lang"], "left_semi").dropDuplicates(["id", "lang"]).select("lang", "text").mapInArrow(_featured, "lang string, x binary").collect()
-    learn.sort()
-    x = np.stack([np.frombuffer(r.x, np.float16) for r in learn]).astype(np.float32) if learn else np.zeros((0, FEATURES), np.float32)
-    return Model.fit(x, [r.lang for r in learn])
+    chosen = stored(near.select("id", "lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= per_language).select("id", "lang"), "chosen")
+    picked = rows.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    learn = picked.select("lang", "text").mapInArrow(_featured, "lang string, x binary")
+    return stored(learn.withColumn("fold", F.pmod(F.xxhash64("x", "lang"), F.lit(FOLDS)).cast("int")), "training")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
+    """A model of the labelled rows of ``docs``, of all their languages."""
+    learn = training_rows(docs, id_col, text_col, lang_col, per_language)
+    n = learn.count()
+    if n > FEATURES:
+        return fit_by_products(learn, n, sorted(r.lang for r in learn.select("lang").distinct().collect()))
+    rows = sorted(learn.select("lang", "x").collect())  # FEATURES rows at most
+    return Model.fit(_vectors(pa.array([r.x for r in rows], pa.binary())), [r.lang for r in rows])
 
 
 def _predicted(model: Model):
