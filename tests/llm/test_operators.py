@@ -12,10 +12,11 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
+from pyspark.sql import functions as F
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewell.llm import bpe_tree, exact_dedup, jaccard_join, langid, lattice, licenses, line_dedup, packing, token_files, warc
+from tidewell.llm import bpe_tree, exact_dedup, jaccard_join, langid, lattice, licenses, line_dedup, packing, spread, textbytes, token_files, warc
 from tidewell.llm.components import components
 from tidewell.llm.elias_fano import EliasFano
 from tidewell.llm.scratch import fresh_path
@@ -378,6 +379,7 @@ def test_jaccard(spark, none, rows, width, num, hot, monkeypatch):
         for _ in range(RNG.choice([0, 1, 1, 2, 4, 9])):
             words[RNG.randrange(len(words))] = f"z{RNG.randint(0, 50)}"
         more.append((100 + k, " ".join(words), None, None, None, 1, "x", 2))
+    more += [(100 + RNG.randrange(60), " ".join(base[: RNG.choice([25, 60, 120])]), None, None, None, 1, "x", 2) for _ in range(8)]  # repeat an id with another text
     table = [*rows, *more]
     out = jaccard_join.jaccard_components(spark.createDataFrame(table, SCHEMA).repartition(4), width, num, 100).collect()
     assert Counter(tuple(r) for r in out) == _brute([(r[0], r[1]) for r in table], width, num, 100)
@@ -453,3 +455,48 @@ def test_gram_counts_of_long_texts_in_chunks(monkeypatch):
     whole = langid.gram_counts(raw)
     monkeypatch.setattr(langid, "CHUNK", 1000)
     assert (langid.gram_counts(raw) == whole).all()
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    rows = [(0, a), (1, b), (2, f"{a} x y z"), (3, f"{b} x y z"), (4, a.upper())]
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert out == {0: (1, 0), 1: (1, 1), 2: (2, 2), 3: (2, 3), 4: (1, 0)}
+
+
+def test_word_hashes_follow_their_definition(monkeypatch):
+    monkeypatch.setattr(textbytes, "CHUNK", 64)
+    monkeypatch.setattr(textbytes, "LONG_WORD", 40)
+    texts = [None, "", "  ", _text(200), "é" * 30 + " x", "A\x0bB\x1cC\x85D", "y" * 500, "Y" * 500 + " z"]
+    base = textbytes.secret()
+    hashes, at = textbytes.word_hashes(*textbytes.as_bytes(pa.array(texts)), base)
+    names = {}
+    for i, j, t in zip(at[:-1], at[1:], texts, strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        assert len(words) == j - i
+        for w, h in zip(words, hashes[i:j].tolist(), strict=True):
+            assert names.setdefault(w, h) == h
+            if len(w.encode()) <= 40:
+                value = sum(c * pow(base, k, textbytes.PRIME) for k, c in enumerate(w.encode())) % textbytes.PRIME
+                assert h == int(textbytes.mixed(np.array([(value + len(w.encode()) * 0xD6E8FEB86659FD93) % 2**64], np.uint64))[0])
+    assert len(set(names.values())) == len(names)
+
+
+def test_crowded_and_null_keys_are_looked_up_once(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k % 50}" if k % 4 else None) for k in range(5000)], "id long, key string")
+    answers = rows.where("key is not null and key <> 'k3'").groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("least"))
+    out = spread.looked_up(rows, answers, ["key"], "m", 5000)
+    assert sorted(map(tuple, out.select("id", "key", "least").collect()), key=str) == sorted(map(tuple, rows.join(answers.drop("m"), "key", "left").select("id", "key", "least").collect()), key=str)
+
+
+def test_a_filter_passes_all_that_is_in_it(spark, monkeypatch):
+    monkeypatch.setattr(spread, "FEWEST", 1 << 8)
+    monkeypatch.setattr(spread, "SEGMENT", 1 << 10)
+    bits = spread.hash_filter(spark.range(500).select(F.xxhash64("id").alias("h")), 500)
+    inside = np.array([r.h for r in spark.range(500).select(F.xxhash64("id").alias("h")).collect()])
+    outside = np.array([r.h for r in spark.range(1000, 6000).select(F.xxhash64("id").alias("h")).collect()])
+    assert spread.passes(inside, bits).all() and spread.passes(outside, bits).mean() < 0.15
+    assert not spread.passes(outside, spread.hash_filter(spark.range(0).select(F.xxhash64("id").alias("h")), 0)).any()

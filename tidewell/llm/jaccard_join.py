@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import ship, stored, table
-from .textbytes import shingle_sets
+from .spread import hash_filter, looked_up, passes
+from .textbytes import secret, shingle_sets
 
 #: Leading shingles at which most linked sets meet.
 FIRST = 4
@@ -56,8 +57,6 @@ ENTRY_COST = 6
 FREQUENT, REPORTED = 1 << 18, 1 << 15
 #: Shingles in a block of a list.
 BLOCK_SHINGLES = 600_000
-#: Bits of a filter of ids at most.
-FILTER_BITS = 1 << 24
 #: Bytes of text handled at once.
 LOT = 4_000_000
 
@@ -76,12 +75,12 @@ def _lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def _common(width: int):
+def _common(width: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for lot in _lots(batch):
-                sets = list(shingle_sets(lot.column(1), width))
+                sets = list(shingle_sets(lot.column(1), width, base))
                 t, c = np.unique(np.concatenate(sets) if sets else tokens[:0], return_counts=True)
                 t, c = t[c > 1], c[c > 1]
                 both, back = np.unique(np.concatenate([tokens, t]), return_inverse=True)
@@ -109,14 +108,18 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _profiles(width: int, num: int, den: int, frequent: np.ndarray):
+def _mark(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
+def _profiles(width: int, base: int, num: int, den: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in _lots(batch):
                 n, mark, lead, small, parity = [], [], [], [], []
-                for s in shingle_sets(lot.column(1), width):
+                for s in shingle_sets(lot.column(1), width, base):
                     n.append(len(s))
-                    mark.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    mark.append(_mark(s.tobytes()))
                     lead.append(_ordered(s, frequent)[: len(s) - least_overlap(len(s), num, den) + SHARED].view(np.int64))
                     parity.append(_parity(s))
                     small.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
@@ -125,46 +128,18 @@ def _profiles(width: int, num: int, den: int, frequent: np.ndarray):
     return run
 
 
-def _flagged(width: int, bits: np.ndarray):
+def _flagged(width: int, base: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(_passes(ids, bits)))
+            batch = batch.filter(pa.array(passes(ids, bits)))
             for lot in _lots(batch):
-                yield pa.record_batch([lot.column(0), pa.array([s.tobytes() for s in shingle_sets(lot.column(1), width)], pa.binary())], ["id", "shingles"])
+                sets = [s.tobytes() for s in shingle_sets(lot.column(1), width, base)]
+                yield pa.record_batch([lot.column(0), pa.array(map(_mark, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "mark", "shingles"])
 
     return run
 
 
-def _slot(ids: np.ndarray, size: int) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(40)).astype(np.int64) & (size - 1)
-
-
-def _passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = _slot(ids, len(bits) * 64)
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for the hash of each id, in words of 64; at most FILTER_BITS. What it passes needlessly is dropped by a later join."""
-    n = ids.count()
-    size = min(1 << 24, FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size // 64, np.uint64)
-        for b in batches:
-            at = _slot(b.column(0).to_numpy(), size)
-            np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        k = np.flatnonzero(out)
-        yield pa.record_batch([pa.array(k), pa.array(out[k].view(np.int64))], ["k", "w"])
-
-    bits = np.zeros(size // 64, np.uint64)
-    for r in ids.mapInArrow(words, "k long, w long").groupBy("k").agg(F.bit_or("w").alias("w")).collect():
-        bits[r.k] = np.int64(r.w).astype(np.uint64)
-    return bits
-
-
 def _subset_keys(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,22 +173,27 @@ def boundary(sizes: dict[int, int], num: int, den: int) -> int:
 
 
 def _scan(num: int, den: int):
-    """Links within a block of a list: the shingles' own lists are scanned for each set's exact overlaps."""
+    """Links within a block of a list: the shingles' own lists are scanned for a set's exact overlaps with all others.
+
+    A set that has been scanned has been compared with all. So the sets that need no scan are those of the largest component found so
+    far, which are linked whatever their pairs are, or else those of one family, which are compared in its own list. A block of
+    near copies of one text is done after a few scans.
+    """
 
     def run(block: pa.Table) -> pa.Table:
         token = block.column("token")[0].as_py()
-        ids, family = (block.column(c).to_numpy() for c in ("id", "family"))
-        _, one = np.unique(ids, return_index=True)
+        ids, family, h = (block.column(c).to_numpy() for c in ("id", "family", "h"))
+        _, one = np.unique(np.stack([ids, h]), axis=1, return_index=True)
         sets = [np.frombuffer(block.column("shingles")[int(k)].as_buffer(), np.uint64) for k in one]
         ids, family = ids[one], family[one]
         n = np.array(list(map(len, sets)), np.int64)
         m = len(n)
         out: list[tuple[int, int]] = []
         groups, of, members = np.unique(family, return_inverse=True, return_counts=True)
-        done = members.copy()
-        done[groups == token] = 0  # only here do these meet first
-        skip = of == int(done.argmax()) if done.max(initial=0) > 1 else np.zeros(m, bool)
-        if m > 1 and not skip.all():
+        members = np.where(groups == token, 0, members)  # only here do these meet first
+        known = of == int(members.argmax()) if members.max(initial=0) > 1 else np.zeros(m, bool)
+        by_family = 2 * known.sum() >= m
+        if m > 1 and not known.all():
             flat = np.concatenate(sets)
             owner = np.repeat(np.arange(m), n)
             order = np.argsort(flat, kind="stable")
@@ -225,30 +205,34 @@ def _scan(num: int, den: int):
             keep = shared[lists]
             of_set = lists[keep][np.argsort(owner[keep], kind="stable")]
             at = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=m))])
-            root = np.arange(m)
-
-            def top(x: int) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = int(root[x])
-                return x
-
-            for a in range(m):
-                if skip[a]:
-                    continue
-                mine = of_set[at[a] : at[a + 1]]
-                if not len(mine):
-                    continue
-                size = length[mine]
-                ends = np.cumsum(size)
-                met = owner[np.repeat(first[mine] - (ends - size), size) + np.arange(ends[-1])]
-                overlap = np.bincount(met, minlength=m)
-                linked = np.flatnonzero(den * overlap >= num * (n[a] + n - overlap))
-                for b in linked[(linked < a) | skip[linked]].tolist():
-                    x, y = top(a), top(b)
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
+            component, size = np.arange(m), np.ones(m, np.int64)
+            big = -1  # the largest component, once it holds more than one set
+
+            todo = np.argsort(np.abs(n - np.median(n)), kind="stable")  # sets of middling size link with most
+            todo = todo[~known[todo]] if by_family else todo
+            while len(todo):
+                later = []
+                for a in todo.tolist():
+                    if not by_family and component[a] == big:
+                        later.append(a)
+                        continue
+                    mine = of_set[at[a] : at[a + 1]]
+                    if not len(mine):
+                        continue
+                    lengths = length[mine]
+                    ends = np.cumsum(lengths)
+                    met = owner[np.repeat(first[mine] - (ends - lengths), lengths) + np.arange(ends[-1])]
+                    overlap = np.bincount(met, minlength=m)
+                    linked = np.flatnonzero(den * overlap >= num * (n[a] + n - overlap))
+                    own, fresh = component[linked], component[a]
+                    for c in np.unique(own[own != fresh]).tolist():
+                        b = int(linked[np.flatnonzero(own == c)[0]])
                         out.append((int(ids[a]), int(ids[b])))
+                        component[component == c] = fresh
+                        size[fresh] += size[c]
+                    if size[fresh] > 1 and (big < 0 or component[big] != big or size[fresh] > size[big]):
+                        big = int(fresh)
+                todo = np.array([a for a in later if component[a] != big], np.int64)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
@@ -276,14 +260,18 @@ def _in_blocks(rows: DataFrame, chunks) -> DataFrame:
     return rows.withColumn("other", other).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("other", "chunks")
 
 
-def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tuple[DataFrame, DataFrame]:
     """Profiles (id, n, mark, least) of the rows, where ``least`` is the smallest id of an equal set; links (a, b) between those."""
     rows = docs.where("id is not null").select("id", "text")
-    top = rows.mapInArrow(_common(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "token").limit(FREQUENT)
+    top = rows.mapInArrow(_common(width, base), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64))
-    found = stored(docs.mapInArrow(_profiles(width, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>, parity array<long>"), "profiles")
-    classes = found.where("mark is not null and id is not null").groupBy("mark").agg(F.min("id").alias("least"))
-    sets = stored(found.join(classes, "mark").where("id = least").dropDuplicates(["mark"]).select("id", "n", "lead", "small", "parity"), "sets")
+    found = stored(docs.mapInArrow(_profiles(width, base, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>, parity array<long>"), "profiles")
+    # Equal sets are reduced within each task before they move: a class's row is that of its least id.
+    known = found.where("mark is not null and id is not null")
+    whole = known.groupBy("mark").agg(F.min_by(F.struct("id", "n", "lead", "small", "parity"), "id").alias("s"), F.count("*").alias("copies"))
+    whole = stored(whole.select("mark", "copies", "s.*"), "sets")
+    sets = whole.withColumn("h", F.xxhash64("mark")).drop("mark", "copies")  # with the id it names a set: rows that repeat an id may differ
+    classes = whole.select("mark", F.col("id").alias("least"), "copies")
 
     sizes = {r.n: r.c for r in sets.where(F.col("n") <= 2 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     most = boundary(sizes, num, den)
@@ -292,56 +280,61 @@ def set_links(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFram
     by_subset = keys.join(hubs, ["key", "overlap"]).where(f"id <> hub.id and {den} * overlap >= {num} * (n + hub.n - overlap)").select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
     large = sets.where(F.col("n") >= least_overlap(most + 1, num, den))
-    entries = large.select("id", "n", F.posexplode("lead").alias("pos", "token"))
+    entries = large.select("id", "h", "n", F.posexplode("lead").alias("pos", "token"))
     lists = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     met = stored(entries.join(lists, "token"), "lists")
     # Pairs that meet in the short lists of the first shingles, once each, as far as their parities allow a link.
+    pair = [F.col("x.id").alias("a"), F.col("x.h").alias("ha"), F.col("y.id").alias("b"), F.col("y.h").alias("hb")]
     need = f"ceil({num} * (na + nb) / {num + den})"
     fits = f"x.id < y.id and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
     apart = " + ".join(f"bit_count(x.p{k} ^ y.p{k})" for k in range(PARITIES))
-    marks = large.select("id", F.slice("lead", 1, FIRST).alias("first"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES)])
-    early = met.where((F.col("pos") < FIRST) & (F.col("m") <= HOT)).select("token", "id", "n").join(marks, "id")
+    marks = large.select("id", "h", F.slice("lead", 1, FIRST).alias("first"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES)])
+    early = met.where((F.col("pos") < FIRST) & (F.col("m") <= HOT)).select("token", "id", "h", "n").join(marks, ["id", "h"])
     meeting = (
         early.alias("x")
         .join(early.alias("y"), "token")
         .where(f"{fits} and {apart} <= x.n + y.n - 2 * ceil({num} * (x.n + y.n) / {num + den}) and array_min(array_intersect(x.first, y.first)) = token")
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        .select(*pair)
     )
     # Pairs that share no first shingle: they must share enough others.
-    later = met.where(F.col("m") <= HOT).join(large.select("id", F.slice("lead", 1, FIRST).alias("first")), "id").select("token", "id", "n", "pos", "first")
+    later = met.where(F.col("m") <= HOT).join(large.select("id", "h", F.slice("lead", 1, FIRST).alias("first")), ["id", "h"]).select("token", "id", "h", "n", "pos", "first")
     rest = (
         later.alias("x")
         .join(later.alias("y"), "token")
         .where(f"{fits} and not arrays_overlap(x.first, y.first)")
-        .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        .groupBy(*pair, F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         .agg(F.count("*").alias("c"), F.max("x.pos").alias("pa"), F.max("y.pos").alias("pb"))
         .where(f"c >= least({SHARED}, {need}) and c + least(na - pa, nb - pb) - 1 >= {need}")  # what is left behind the last of them
     )
     bits = marks.drop("first")
-    rest = rest.join(bits.withColumnRenamed("id", "a").alias("x"), "a").join(bits.withColumnRenamed("id", "b").alias("y"), "b").where(f"{apart} <= na + nb - 2 * {need}").select("a", "b")
+    rest = rest.join(bits.withColumnsRenamed({"id": "a", "h": "ha"}).alias("x"), ["a", "ha"]).join(bits.withColumnsRenamed({"id": "b", "h": "hb"}).alias("y"), ["b", "hb"]).where(f"{apart} <= na + nb - 2 * {need}").select("a", "ha", "b", "hb")
     pairs = stored(meeting.union(rest), "pairs")
 
     # A set's family is its first shingle, if that one's list is long too: pairs of a family meet there. In a short list they might not be paired, as the
     # least of their common first shingles may have a long one.
-    families = met.where((F.col("pos") == 0) & (F.col("m") > HOT)).select("id", F.col("token").alias("family"))
-    hot = met.where(F.col("m") > HOT).select("token", "id", "n").join(families, "id", "left").withColumn("family", F.coalesce("family", "token"))
+    families = met.where((F.col("pos") == 0) & (F.col("m") > HOT)).select("id", "h", F.col("token").alias("family"))
+    hot = met.where(F.col("m") > HOT).select("token", "id", "h", "n").join(families, ["id", "h"], "left").withColumn("family", F.coalesce("family", "token"))
     hot_lists = hot.groupBy("token").agg(F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
     hot_lists = hot_lists.where("one <> last or one = token").drop("one", "last")  # else all have met in the list of their first
     near = stored(hot.join(hot_lists, "token"), "near")
-    wanted = near.select("id").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    held = stored(rows.mapInArrow(_flagged(width, id_filter(wanted)), "id long, shingles binary").join(wanted, "id", "left_semi").dropDuplicates(["id", "shingles"]), "held")
-    blocks = _in_blocks(near.select("token", "id", "family", "shingles"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).drop("shingles").join(held, "id")
+    wanted = stored(near.select("id", "h").union(pairs.select("a", "ha")).union(pairs.select("b", "hb")).distinct(), "wanted")
+    held = stored(rows.mapInArrow(_flagged(width, base, hash_filter(wanted.select("id"), wanted.count())), "id long, mark binary, shingles binary").select("id", F.xxhash64("mark").alias("h"), "shingles").join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), "held")
+    blocks = _in_blocks(near.select("token", "id", "h", "family", "shingles"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).drop("shingles").join(held, ["id", "h"])
     scanned = blocks.groupBy("token", "ca", "cb").applyInArrow(_scan(num, den), "a long, b long")
-    one = pairs.join(held.withColumnsRenamed({"id": "a", "shingles": "s"}), "a").join(held.withColumnsRenamed({"id": "b", "shingles": "t"}), "b")
+    one = pairs.join(held.withColumnsRenamed({"id": "a", "h": "ha", "shingles": "s"}), ["a", "ha"]).join(held.withColumnsRenamed({"id": "b", "h": "hb", "shingles": "t"}), ["b", "hb"])
     compared = one.select("a", "b", "s", "t").mapInArrow(_compared(num, den), "a long, b long")
-    return found.join(classes, "mark", "left").select("id", "n", "least"), by_subset.union(scanned).union(compared)
+    told = looked_up(found.select("id", "n", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")), classes, ["mark"], "copies", found.count())
+    return told.select("id", "n", "least"), by_subset.union(scanned).union(compared)
+
 
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
+    """A row for each row of ``docs``: the id, n_shingles, component_id (the smallest id that links reach, itself included).
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: the id, n_shingles, component_id (the smallest id that links reach, itself included)."""
+    ``base`` is that of the words' hashes; each call has a secret one of its own unless it is given.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles, links = set_links(rows, width, num, den)
+    profiles, links = set_links(rows, width, num, den, base or secret())
     profiles = stored(profiles, "classes")
     same = profiles.where("least is not null").groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
     repeated = profiles.join(same, "id").select(F.col("least").alias("a"), F.col("first").alias("b"))

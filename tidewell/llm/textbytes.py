@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,19 +14,21 @@ import pyarrow as pa
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+#: The modulus of word hashes, a prime.
+PRIME = (1 << 61) - 1
+#: A longer word is digested by blake2b, as the sums over its bytes would not fit.
+LONG_WORD = 1 << 22
 #: Bytes handled at once; bounds the temporary arrays at about 60 times this.
 CHUNK = 1 << 20
 
 
-def _byte_values() -> np.ndarray:
-    """A fixed random 64-bit value for each byte; A-Z have those of a-z."""
-    values = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[65:91] = values[97:123]
-    return values
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] = _LOWER[97:123]
 
 
-_VALUES = _byte_values()
+def secret() -> int:
+    """A base for word hashes that nobody knows beforehand: with it two given words have one hash in fewer than length / 2**61 cases."""
+    return secrets.randbelow(PRIME - 2**40) + 2**40
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,11 +51,27 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _MULT, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+def _times(x: np.ndarray, y: int) -> np.ndarray:
+    """x * y modulo PRIME, of numbers below it."""
+    low, high = np.uint64(0x7FFFFFFF), np.uint64(31)
+    y0, y1 = np.uint64(y & 0x7FFFFFFF), np.uint64(y >> 31)
+    x0, x1 = x & low, x >> high
+    middle = _folded(x1 * y0 + x0 * y1)  # below 2**62
+    return _folded(_folded(x1 * y1 * np.uint64(2)) + _folded(x0 * y0) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << high))
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The low 31 and the high 30 bits of the base's powers; ``size`` is a power of two."""
+    out = np.array([1], np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, _times(out, pow(base, len(out), PRIME))])
+    return out & np.uint64(0x7FFFFFFF), out >> np.uint64(31)
 
 
 def _spans(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -77,10 +98,11 @@ def _spans(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, in order, and each row's offsets among the words.
 
-    Words are what lies between bytes 32 and 9 to 13; A-Z count as a-z.
+    Words are what lies between bytes 32 and 9 to 13; A-Z count as a-z. A hash is the polynomial of a word's bytes at ``base``,
+    modulo a prime: unlike one modulo a power of two, it has no words that collide whatever the base is.
     """
     hashes, starts = [], []
     edges = at[:-1]
@@ -97,11 +119,21 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         length = np.diff(np.append(begin, j - i))
         place = np.arange(begin[0], j - i) - np.repeat(begin, length)
         body = part[begin[0] :]
-        value = _VALUES[body] * _powers(int(length.max()))[place]
+        longest = int(length.max())
+        low, high = _powers(base, 1 << max(6, min(longest, LONG_WORD) - 1).bit_length())
+        value = _LOWER[body]
         value[~word[begin[0] :]] = 0
-        sums = np.add.reduceat(value, begin - begin[0])
-        chars = np.add.reduceat(word[begin[0] :].astype(np.int64), begin - begin[0]).astype(np.uint64)
-        hashes.append(mixed(sums + chars * np.uint64(0xD6E8FEB86659FD93)))
+        if longest > LONG_WORD:
+            place = np.minimum(place, LONG_WORD - 1)
+        edge = begin - begin[0]
+        chars = np.add.reduceat(word[begin[0] :].astype(np.int64), edge)
+        sums = _folded(np.add.reduceat(value * low[place], edge))
+        sums = _folded(sums + _times(_folded(np.add.reduceat(value * high[place], edge)), 1 << 31))
+        if longest > LONG_WORD:
+            for k in np.flatnonzero(chars > LONG_WORD).tolist():
+                text = _LOWER[body[edge[k] : edge[k] + chars[k]]].astype(np.uint8).tobytes()
+                sums[k] = int.from_bytes(hashlib.blake2b(text, digest_size=8, key=base.to_bytes(8, "little")).digest(), "little")
+        hashes.append(mixed(sums + chars.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         starts.append(begin + i)
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -109,12 +141,12 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, np.searchsorted(s, at).astype(np.int64)
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, width: int, base: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its word shingles.
 
     A row of fewer words than ``width`` has its whole sequence as one shingle; one without words has none.
     """
-    words, at = word_hashes(*as_bytes(column))
+    words, at = word_hashes(*as_bytes(column), base)
     n = len(words)
     runs = np.zeros(0, np.uint64)
     if n >= width:
