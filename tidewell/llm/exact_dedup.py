@@ -4,8 +4,9 @@ Each text, normalised, is cut where its own bytes say so; a chunk's identifier i
 recipe is the ordered list of its chunks' identifiers. Texts are equal when their recipes are equal, so only recipes move
 between executors, never the long texts. The identifiers are verified: the bytes of every chunk that two recipes share are
 compared, each distinct chunk moved once from each task, and if two chunks had one identifier the pass is repeated with
-another key and longer identifiers. A group's answer is found from partial aggregates; the rows of a large group are then dealt out
-in slices, each of which gets that answer.
+another key and longer identifiers. Which texts have a shared recipe is told by a filter whose size follows their number; what it
+passes needlessly is only compared in vain. A group's answer is found from partial aggregates; the rows of a large group are then
+dealt out in slices, each of which gets that answer.
 
 Edge cases: a null text counts as empty; an empty text has the recipe of no chunks and equals other empty ones; a null id
 sorts after all others, so it stays only in a group that has no other; rows that repeat an id and a text are both returned,
@@ -25,15 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import ship, stored, table
+from .spread import hash_filter, looked_up, passes
 
 _ONE_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _RUN = re.compile(b"  +")
 #: A boundary follows a 4-byte window whose product's top bits are 0: chunks of 1 KB on average.
 BOUNDARY_BITS, WINDOW, LEAST, MOST = 10, 4, 256, 8192
-#: Bits of the filter of recipes that occur twice; what it passes needlessly is only compared in vain.
-FILTER_BITS = 1 << 20
-#: Recipes that hold more than one in so many rows are dealt out in slices of about that share.
-SLICES = 1000
 
 
 def normalised(text: bytes) -> bytes:
@@ -73,26 +71,27 @@ def _identifier(key: int, size: int):
     return lambda chunk: hashlib.blake2b(chunk, digest_size=size, key=salt).digest()
 
 
-def _bit(recipe: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(recipe, digest_size=4).digest(), "little") % FILTER_BITS
+def _short(recipe: bytes) -> int:
+    """A hash of 63 bits, for the filter only."""
+    return int.from_bytes(hashlib.blake2b(recipe, digest_size=8).digest(), "little") >> 1
 
 
 def _recipes(key: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _identifier(key, size)
         for batch in batches:
-            sha, recipe, bit = [], [], []
+            sha, recipe, short = [], [], []
             for text in batch.column(1):
                 t = normalised(text.as_buffer().to_pybytes()) if text.is_valid else b""
                 sha.append(hashlib.sha256(t).hexdigest())
                 recipe.append(b"".join(map(of, _chunks(t))))
-                bit.append(_bit(recipe[-1]))
-            yield pa.record_batch([batch.column(0), pa.array(sha, pa.string()), pa.array(recipe, pa.binary()), pa.array(bit, pa.int32())], ["id", "sha", "recipe", "bit"])
+                short.append(_short(recipe[-1]))
+            yield pa.record_batch([batch.column(0), pa.array(sha, pa.string()), pa.array(recipe, pa.binary()), pa.array(short, pa.int64())], ["id", "sha", "recipe", "short"])
 
     return run
 
 
-def _shared_chunks(key: int, size: int, bits: bytes):
+def _shared_chunks(key: int, size: int, bits: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sent = _identifier(key, size), set()
         for batch in batches:
@@ -101,8 +100,7 @@ def _shared_chunks(key: int, size: int, bits: bytes):
                 t = normalised(text.as_buffer().to_pybytes()) if text.is_valid else b""
                 parts = list(_chunks(t))
                 names = list(map(of, parts))
-                b = _bit(b"".join(names))
-                if bits[b >> 3] >> (b & 7) & 1:
+                if passes(np.array([_short(b"".join(names))]), bits)[0]:
                     for k, chunk in zip(names, parts, strict=True):
                         if (k, check := hashlib.sha1(chunk).digest()) in sent:
                             continue
@@ -115,44 +113,28 @@ def _shared_chunks(key: int, size: int, bits: bytes):
     return run
 
 
-def _verified(docs: DataFrame, id_col: str, text_col: str, id_bytes: int, key: int) -> tuple[DataFrame, int, dict[int, int]]:
-    """(id, sha, recipe, bit) with verified identifiers; how often they had to be keyed anew; the slices of each crowded bit."""
+def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16, key: int = 1) -> tuple[DataFrame, int]:
+    """(id, sha, recipe) with verified identifiers, and how often they had to be keyed anew."""
     ship(docs.sparkSession)
-    again = 0
+    again, kind = 0, docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     while True:
-        kind = docs.schema[id_col].dataType.simpleString()
-        found = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_recipes(key, id_bytes), f"id {kind}, sha string, recipe binary, bit int"), "recipes")
-        repeated = found.groupBy("recipe").agg(F.count("*").alias("n"), F.first("bit").alias("bit")).where("n > 1")
-        bits = bytearray(FILTER_BITS // 8)
-        total, crowded = found.count(), {}
-        for r in repeated.groupBy("bit").agg(F.sum("n").alias("n")).collect():  # at most FILTER_BITS rows
-            bits[r.bit >> 3] |= 1 << (r.bit & 7)
-            if r.n * SLICES > total:
-                crowded[r.bit] = min(r.n, -(-r.n * SLICES // total))
-        chunks = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_shared_chunks(key, id_bytes, bytes(bits)), "k binary, chunk binary")
+        found = stored(texts.mapInArrow(_recipes(key, id_bytes), f"id {kind}, sha string, recipe binary, short long"), "recipes")
+        repeated = stored(found.groupBy("recipe").agg(F.count("*").alias("n"), F.first("short").alias("short")).where("n > 1").select("short"), "repeated")
+        bits = hash_filter(repeated, repeated.count())
+        chunks = texts.select("text").mapInArrow(_shared_chunks(key, id_bytes, bits), "k binary, chunk binary")
         clash = chunks.groupBy("k").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high")
-        if not any(bits) or clash.isEmpty():
-            return found, again, crowded
+        if not bits.any() or clash.isEmpty():
+            return found.drop("short"), again
         key, id_bytes, again = key + 1, min(64, id_bytes * 2), again + 1
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16, key: int = 1) -> tuple[DataFrame, int]:
-    """(id, sha, recipe) with verified identifiers, and how often they had to be keyed anew."""
-    found, again, _ = _verified(docs, id_col, text_col, id_bytes, key)
-    return found.drop("bit"), again
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_bytes: int = 16) -> DataFrame:
     """One row for each document: its id, keep_id (the smallest id of its equals), group_size, kept, text_sha256."""
-    found, _, crowded = _verified(docs, id_col, text_col, id_bytes, 1)
-    many = F.lit(1)
-    if crowded:  # at most SLICES bits
-        many = F.coalesce(F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])[F.col("bit")], F.lit(1))
-    groups = found.groupBy("recipe").agg(F.first("bit").alias("bit"), F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = groups.select("recipe", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), many - 1)).alias("slice"))
-    rows = found.withColumn("slice", F.pmod(F.monotonically_increasing_id(), many).cast("int"))
+    found, _ = recipes(docs, id_col, text_col, id_bytes)
+    groups = stored(found.groupBy("recipe").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1").withColumn("n", F.col("group_size")), "groups")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
-    joined = rows.join(groups, ["recipe", "slice"], "left").withColumn("keep_id", keep)
+    joined = looked_up(found, groups, ["recipe"], "n", found.count()).withColumn("keep_id", keep)
     return joined.select(F.col("id").alias(id_col), "keep_id", F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
