@@ -238,19 +238,31 @@ def test_bpe_tree(docs, none, rows):
     assert out == want and bpe_tree.bpe_encode(none).count() == 0
 
 
-def test_line_dedup(docs, none, rows):
-    split = lambda t: [] if t is None else t.split("\n")
+def _lines_left(rows, threshold):
+    split, trim = (lambda t: [] if t is None else t.split("\n")), lambda x: x.strip(" \t\n\v\f\r")
     sites = defaultdict(set)
     for r in rows:
         for x in split(r[1]):
-            if x.strip(" "):
-                sites[x.strip(" ")].add(r[3])
+            if trim(x):
+                sites[trim(x)].add(r[3])
     want = Counter()
     for r in rows:
-        kept = [x for x in split(r[1]) if len(sites.get(x.strip(" "), ())) < 3]
+        kept = [x for x in split(r[1]) if len(sites.get(trim(x), ())) < threshold]
         want[(r[0], len(split(r[1])), len(split(r[1])) - len(kept), None if r[1] is None else "\n".join(kept))] += 1
-    out = Counter(tuple(r) for r in line_dedup.remove_boilerplate(docs, threshold=3).collect())
-    assert out == want and line_dedup.remove_boilerplate(none).count() == 0
+    return want
+
+
+def test_line_dedup(spark, docs, none, rows):
+    ends = [(900 + k, f"a line of all\r\n own {k}\n\ta line of all" if k % 2 else "a line of all\n", None, f"e{k}", None, 1, "x", 2) for k in range(6)]
+    rows = [*rows, *ends]
+    out = Counter(tuple(r) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, SCHEMA), threshold=3).collect())
+    assert out == _lines_left(rows, 3) and line_dedup.remove_boilerplate(none).count() == 0
+
+
+def test_line_dedup_where_sketches_are_inexact(spark):
+    rows = [(k, "\n".join(f"line {n}" for n in (290, 296, 299, 300, 301, 305, 380) if k < n), None, f"site {k}") for k in range(400)]
+    out = Counter(tuple(r) for r in line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), threshold=300).collect())
+    assert out == _lines_left(rows, 300)
 
 
 def test_licenses(spark, none):
