@@ -334,6 +334,30 @@ def test_lattice(spark):
     assert (best.argmin(1) == 0).all()
 
 
+@pytest.mark.parametrize("dims", [8, 64, 200])
+def test_lattice_finds_pairs_just_above_the_bound_by_every_plan(dims):
+    rng = np.random.default_rng(dims)
+    a = rng.standard_normal((300, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal(a.shape)
+    off -= (off * a).sum(1, keepdims=True) * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    for _, plan in lattice.PLANS:
+        x, y = lattice.cells(a, plan), lattice.cells(b, plan)
+        assert np.mean([np.isin(p, q).any() for p, q in zip(x, y, strict=True)]) >= 0.97
+
+
+def test_lattice_recall_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((700, 32))
+    off = rng.standard_normal(a.shape) * np.linspace(0.05, 0.4, 700)[:, None]
+    x = np.concatenate([a, a + off, a[:40], rng.standard_normal((300, 32))])
+    out = {r.vec_id: r.n_links for r in lattice.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert near.sum() > 800 and all(out[k] <= n for k, n in enumerate(near.tolist())) and sum(out.values()) >= 0.97 * near.sum()
+
+
 def test_lattice_links_within_each_length(spark):
     rows = [(k, [1.0, 2.0, 3.0] if k % 2 else [2.0, 4.0, 6.0]) for k in range(4)] + [(k, [float(i % 7) + 1 for i in range(12)]) for k in range(10, 16)] + [(0, [5.0] * 12), (20, [3.0])]
     out = Counter((r.vec_id, r.n_links, r.component_id) for r in lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
@@ -344,7 +368,7 @@ def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     rng = np.random.default_rng(8)
     x = np.repeat(rng.standard_normal((200, 16)), 2, axis=0) + 0.15 * rng.standard_normal((400, 16))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    keys = lattice.cells(unit)
+    keys = lattice.cells(unit, lattice.Plan(6, 1, 4, 0.6))
     members = defaultdict(list)
     for k, row in enumerate(keys.tolist()):
         for c in set(row):
@@ -357,7 +381,7 @@ def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     got = np.zeros(400, int)
     for c, at in members.items():
         at = rng.permutation(at)
-        block = pa.table({"cell": pa.array([c] * len(at)), "ca": [0] * len(at), "cb": [0] * len(at), "id": pa.array(at), "chunk": [0] * len(at), "weight": [1] * len(at), "vector": pa.array([unit[k].tobytes() for k in at]), "keys": pa.array([keys[k].tolist() for k in at], pa.list_(pa.int64()))})
+        block = pa.table({"cell": pa.array([c] * len(at)), "ca": [0] * len(at), "cb": [0] * len(at), "dims": pa.array([16] * len(at), pa.int32()), "id": pa.array(at), "chunk": [0] * len(at), "weight": [1] * len(at), "vector": pa.array([unit[k].tobytes() for k in at]), "keys": pa.array([keys[k].tolist() for k in at], pa.list_(pa.int64()))})
         for r in lattice._linked(0.95)(block).to_pylist():
             if r["n"] is not None:
                 got[r["a"]] += r["n"]

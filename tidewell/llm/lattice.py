@@ -1,10 +1,12 @@
 """Near-duplicate vectors by lattice hashing.
 
-Unit vectors are projected to eight dimensions by random orthonormal maps, one for each table, and decoded to the nearest point of the
-E8 lattice. A vector belongs to its own cell and to the neighbouring cells that it lies nearest to. Vectors that share a cell
+Unit vectors are projected to eight dimensions by random orthonormal maps, several for each table, and each projection is decoded to
+the nearest point of the E8 lattice; a table's cell is the points of all its projections. A vector belongs to its own cell and to
+the neighbouring cells that it lies nearest to. The more vectors there are, the more projections make up a cell, and the more
+tables there are to make up for it (PLANS), so that a vector meets about as many others at any size. Vectors that share a cell
 of some table are compared by cosine in double precision; of several shared cells only the one of the least hash counts,
-whatever the order of the rows, so a link is counted once without listing the pairs. What leaves a task is a count for each vector and a forest of links. Equal vectors are one class
-with a weight, and a crowded cell is compared in blocks.
+whatever the order of the rows, so a link is counted once without listing the pairs. What leaves a task is a count for each vector
+and a forest of links. Equal vectors are one class with a weight, and a crowded cell is compared in blocks.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
 component; vectors of different lengths don't link; a repeated id stands for one vector per row with the same id, whose
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,27 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import ship, stored, table
+from .spread import looked_up
 
-#: Tables; cells of each that a vector is in; the lattice's scale against a projected unit vector's expected length.
-TABLES, CELLS, SCALE = 6, 4, 0.6
+
+class Plan(NamedTuple):
+    """Tables; projections of each; cells of each that a vector is in; the lattice's scale against a projected unit vector's expected length."""
+
+    tables: int
+    blocks: int
+    each: int
+    scale: float
+
+
+#: Up to so many different vectors: the plan. Of pairs at a cosine of just 0.95, all of these bring at least 0.99 into a cell.
+PLANS = [(2**16, Plan(8, 2, 4, 0.7)), (2**21, Plan(12, 3, 4, 0.8)), (2**25, Plan(16, 4, 8, 0.8)), (2**30, Plan(20, 5, 8, 0.8)), (2**63, Plan(24, 6, 8, 0.8))]
 BLOCK = 2048
+#: Pairs whose keys are compared at once.
+PAIRS = 4000
+
+
+def plan_for(vectors: int) -> Plan:
+    return next(p for n, p in PLANS if vectors <= n)
 
 
 def _least_vectors() -> np.ndarray:
@@ -62,48 +82,63 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(((x - a) ** 2).sum(1, keepdims=True) <= ((x - b) ** 2).sum(1, keepdims=True), a, b)
 
 
-def cells(unit: np.ndarray, tables: int = TABLES, each: int = CELLS, scale: float = SCALE, seed: int = 11) -> np.ndarray:
-    """Hashes of the cells of each vector: ``each`` of every table, the own one first."""
+def _projection(rng: np.random.Generator, dims: int) -> np.ndarray:
+    m = np.linalg.qr(rng.standard_normal((dims, min(dims, 8))))[0]
+    return np.pad(m, ((0, 0), (0, 8 - m.shape[1])))
+
+
+def cells(unit: np.ndarray, plan: Plan, seed: int = 11) -> np.ndarray:
+    """Hashes of the cells of each vector: ``plan.each`` of every table, the own one first, then those with one nearest point changed."""
     rng, out = np.random.default_rng(seed), []
-    dims = unit.shape[1]
-    width = scale * np.sqrt(min(8, dims) / dims)
-    for t in range(tables):
-        m = np.linalg.qr(rng.standard_normal((dims, 8)))[0] if dims >= 8 else np.pad(np.linalg.qr(rng.standard_normal((dims, dims)))[0], ((0, 0), (0, 8 - dims)))
-        x = unit @ m / width + rng.random(8)
-        own = nearest_e8(x)
-        gain = (x - own) @ _LEAST.T
-        near = np.argsort(-gain, axis=1)[:, : each - 1]
-        for k in range(each):
-            p = (2 * (own if k == 0 else own + _LEAST[near[:, k - 1]])).astype(np.int64)
-            h = np.full(len(x), (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
-            for c in range(8):
-                h = (h ^ p[:, c].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(29)
+    n, dims = unit.shape
+    width = plan.scale * np.sqrt(min(8, dims) / dims)
+    more, row = plan.each - 1, np.arange(n)
+    for t in range(plan.tables):
+        own, near, gains = [], [], []
+        for _ in range(plan.blocks):
+            x = unit @ _projection(rng, dims) / width + rng.random(8)
+            own.append(nearest_e8(x))
+            gain = (x - own[-1]) @ _LEAST.T  # the more, the nearer lies that neighbour
+            near.append(np.argpartition(-gain, more, axis=1)[:, :more])
+            gains.append(np.take_along_axis(gain, near[-1], 1))
+        changed = np.argsort(-np.concatenate(gains, axis=1), axis=1, kind="stable")[:, :more]
+        for k in range(plan.each):
+            h = np.full(n, (t + 1) * 0x9E3779B97F4A7C15 % 2**64, np.uint64)
+            for b in range(plan.blocks):
+                p = own[b]
+                if k:
+                    block, at = changed[:, k - 1] // more, changed[:, k - 1] % more
+                    p = np.where((block == b)[:, None], p + _LEAST[near[b][row, at]], p)
+                p = (2 * p).astype(np.int64)
+                for c in range(8):
+                    h = (h ^ p[:, c].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(29)
             out.append(h.view(np.int64))
-    return np.stack(out, 1) if out else np.zeros((len(unit), 0), np.int64)
+    return np.stack(out, 1)
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's vector in bytes and the digest of its unit form; null where it can't link."""
+    """Each row's vector in bytes, of 4-byte floats where these hold it exactly, and its digest; null where it can't link."""
     for batch in batches:
         raw, mark, dims = [], [], []
         for v in batch.column(1).to_pylist():
             x = np.array([np.nan if c is None else c for c in v or []], np.float64)
             sound = len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-            data = x.tobytes() if sound else None
-            raw.append(data)
             dims.append(len(x) if sound else None)
-            mark.append(hashlib.blake2b(data, digest_size=16).digest() if sound else None)
+            mark.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if sound else None)
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            raw.append((short if (short == x).all() else x).tobytes() if sound else None)
         yield pa.record_batch([batch.column(0), pa.array(mark, pa.binary()), pa.array(raw, pa.binary()), pa.array(dims, pa.int32())], ["id", "mark", "vector", "dims"])
 
 
-def _unit(raw) -> np.ndarray:
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in raw])
+def _unit(raw, dims: int) -> np.ndarray:
+    x = np.stack([np.frombuffer(v.as_buffer(), np.float32 if len(v.as_buffer()) == 4 * dims else np.float64).astype(np.float64) for v in raw])
     x = x / np.abs(x).max(1, keepdims=True)  # before squares, which may overflow
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _members(tables: int, each: int, scale: float):
+def _members(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 1024):
@@ -111,7 +146,7 @@ def _members(tables: int, each: int, scale: float):
                 dims = lot.column(3).to_numpy()
                 for n in np.unique(dims):
                     b = lot.filter(pa.array(dims == n))
-                    keys = cells(_unit(b.column(2)), tables, each, scale)
+                    keys = cells(_unit(b.column(2), int(n)), plan)
                     yield pa.record_batch([*b.columns, pa.array(list(keys), pa.list_(pa.int64()))], ["id", "weight", "vector", "dims", "keys"])
 
     return run
@@ -121,7 +156,7 @@ def _linked(least: float):
     def run(block: pa.Table) -> pa.Table:
         cell, ca, cb = (block.column(c)[0].as_py() for c in ("cell", "ca", "cb"))
         ids, chunk, weight = (block.column(c).to_numpy() for c in ("id", "chunk", "weight"))
-        unit = _unit(block.column("vector"))
+        unit = _unit(block.column("vector"), block.column("dims")[0].as_py())
         keys = np.stack([np.asarray(k.values) for k in block.column("keys")])
         m = len(ids)
         links, root, forest = np.zeros(m, np.int64), np.arange(m), []
@@ -139,10 +174,10 @@ def _linked(least: float):
             keep = (x < y) & ((chunk[x] != chunk[y]) if ca != cb else True)
             x, y = x[keep], y[keep]
             first = np.ones(len(x), bool)
-            for lo in range(0, len(x), 20_000):
-                p, q = x[lo : lo + 20_000], y[lo : lo + 20_000]
+            for lo in range(0, len(x), PAIRS):
+                p, q = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
                 same = (keys[p][:, :, None] == keys[q][:, None, :]).any(2)  # the cells of p that q shares
-                first[lo : lo + 20_000] = np.where(same, keys[p], np.iinfo(np.int64).max).min(1) == cell
+                first[lo : lo + PAIRS] = np.where(same, keys[p], np.iinfo(np.int64).max).min(1) == cell
             x, y = x[first], y[first]
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
@@ -158,27 +193,29 @@ def _linked(least: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, each: int = CELLS, scale: float = SCALE) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", plan: Plan | None = None) -> DataFrame:
     """A row for each row: the id, n_links, component_id (the smallest id that links reach, itself included), kept."""
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     found = stored(rows.mapInArrow(_marked, "id long, mark binary, vector binary, dims int"), "vectors")
-    sound = found.where("id is not null and mark is not null")
-    classes = stored(sound.groupBy("mark", "dims").agg(F.min("id").alias("least"), F.count("*").alias("weight")), "classes")
-    one = sound.join(classes, ["mark", "dims"]).where("id = least").dropDuplicates(["mark"]).select("id", "weight", "vector", "dims")
-    members = stored(one.mapInArrow(_members(tables, each, scale), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
-    held = members.select("id", "dims", F.explode("keys").alias("cell"))
+    sound, total = found.where("id is not null and mark is not null"), found.count()
+    # Equal vectors are reduced within each task before they move.
+    whole = stored(sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight")).select("mark", "dims", "s.*", "weight"), "classes")
+    classes, copies = whole.select("mark", "dims", F.col("id").alias("least"), "weight"), F.col("weight").alias("copies")
+    members = stored(whole.select("id", "weight", "vector", "dims").mapInArrow(_members(plan or plan_for(whole.count())), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
+    held = members.select("id", "dims", F.explode(F.array_distinct("keys")).alias("cell"))
     crowd = held.groupBy("cell", "dims").agg(F.count("*").alias("m")).where("m > 1")
     put = held.join(crowd, ["cell", "dims"]).withColumn("chunks", F.ceil(F.col("m") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("m", "chunks", "other")
     told = stored(put.join(members, ["id", "dims"]).groupBy("cell", "dims", "ca", "cb").applyInArrow(_linked(least), "dims int, a long, b long, n long"), "links")
     counts = told.where("n is not null").groupBy(F.col("a").alias("least"), "dims").agg(F.sum("n").alias("other"))
-    of = sound.join(classes, ["mark", "dims"]).select("id", "mark", "least", "weight")
+    of = looked_up(sound.select("id", "mark"), classes.select("mark", "least", copies), ["mark"], "copies", total)
     same = of.groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
     repeated = of.join(same, "id").select(F.col("least").alias("a"), F.col("first").alias("b"))
     joined = components(told.where("b is not null").select("a", "b").union(repeated))
-    linked = classes.join(counts, ["least", "dims"], "left").join(joined, F.col("least") == F.col("node"), "left").select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("c"))
-    out = found.select("id", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")).join(linked, "mark", "left")
+    linked = classes.join(counts, ["least", "dims"], "left").join(joined, F.col("least") == F.col("node"), "left")
+    linked = stored(linked.select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("c"), copies), "linked")
+    out = looked_up(found.select("id", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")), linked, ["mark"], "copies", total)
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
