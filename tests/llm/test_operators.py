@@ -144,7 +144,17 @@ def test_language_id(spark, none, docs):
 def test_elias_fano(values):
     v = sorted(values)
     e, _ = EliasFano.read(memoryview(EliasFano.of(np.array(v, np.uint64), (v[-1] if v else 0) + 1).to_bytes()))
-    assert e.all().tolist() == v and [e.select(k) for k in range(len(v))] == v
+    i, j = len(v) // 3, len(v) - len(v) // 4
+    assert e.select_range(0, len(v)).tolist() == v and e.select_range(i, j).tolist() == v[i:j] and [e.select(k) for k in range(len(v))] == v
+
+
+def test_elias_fano_over_many_samples():
+    rng = np.random.default_rng(6)
+    v = np.cumsum(rng.choice([0, 0, 1, 5, 4000], 5000)).astype(np.uint64)
+    e, _ = EliasFano.read(memoryview(EliasFano.of(v, int(v[-1]) + 1).to_bytes()))
+    assert (e.select_range(0, 5000) == v).all() and (e.select_range(700, 2100) == v[700:2100]).all() and e.select_range(9, 9).size == 0
+    assert [e.select(k) for k in range(0, 5000, 37)] == v[::37].tolist()
+    assert len(e.to_bytes()) * 8 < 5000 * (2 + np.log2(v[-1] / 5000)) + 5000 / 8 + 400
 
 
 def test_token_files(spark, docs, none, rows, plain):
@@ -162,7 +172,7 @@ def test_token_files(spark, docs, none, rows, plain):
         assert r.start == at
         at += r.n_tokens
     shard = token_files.Shard(token_files.pack_shard([None, 3, 9], [np.arange(3), np.arange(0), np.arange(70000, 70004)], 4))
-    assert shard.document(2).tolist() == list(range(70000, 70004)) and shard.doc_ids() == [None, 3, 9]
+    assert shard.spans(1, 3)[0].tolist() == [3, 3] and shard.spans(1, 3)[1].tolist() == [3, 7] and shard.document(2).tolist() == list(range(70000, 70004)) and shard.doc_ids() == [None, 3, 9]
     empty = fresh_path(spark, "t")
     token_files.write_token_files(none, empty)
     assert token_files.read_token_files(spark, empty).count() == 0

@@ -2,12 +2,13 @@
 
 Documents lie in ascending id order over all shards. A shard is a byte string: a head (magic, bytes an id, documents, of which
 the first have a null id, ids, smallest document id), the Elias-Fano codes of the documents' ends and of their ids, then the
-ids with 2 bytes each where the vocabulary allows it, else 4. Spark writes the shards as rows of Parquet files, so that any
-store works, a lost task is written again, and only committed shards are ever seen; ``tokens_before`` of a row counts the ids
-before it in its range of documents.
+ids with 2 bytes each where the vocabulary allows it, else 4. Texts are encoded where they are read; what is range-sorted by
+document is their ids, about half as many bytes. Spark writes the shards as rows of Parquet files, so that any store works, a
+lost task is written again, and only committed shards are ever seen; ``tokens_before`` of a row counts the ids before it in its
+range of documents. A reader finds documents' places by select, which decodes no boundary but near the wanted ones.
 
 Edge cases: a null text counts as empty and has the end id only; null ids come first; rows that repeat an id are ordered by
-their texts; an empty table gives no shards and an empty result; other columns are not read.
+their token ids; an empty table gives no shards and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .scratch import fresh_path, ship, table
+from .scratch import fresh_path, ship, stored, table
 from .tokens import tokenizer_path, word_tokenizer
 
 MAGIC = b"TWIDS001"
@@ -58,27 +59,47 @@ class Shard:
         self.ids = np.frombuffer(data, "<u2" if self.width == 2 else "<u4", self.total, at)
 
     def doc_ids(self) -> list[int | None]:
-        known = (self.gaps.all() + np.array(self.base, np.int64).astype(np.uint64)).astype(np.int64)
+        known = (self.gaps.select_range(0, self.gaps.n) + np.array(self.base, np.int64).astype(np.uint64)).astype(np.int64)
         return [None] * self.nulls + known.tolist()
 
+    def spans(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of documents first to last - 1 start and end."""
+        ends = self.ends.select_range(first, last).astype(np.int64)
+        before = self.ends.select(first - 1) if first else 0
+        return np.concatenate([[before], ends[:-1]]).astype(np.int64)[: last - first], ends
+
     def document(self, k: int) -> np.ndarray:
         return self.ids[self.ends.select(k - 1) if k else 0 : self.ends.select(k)]
 
 
-def _writer(path: str, end_id: int | None, shard_ids: int):
+def _width(vocabulary: int, end_id: int | None) -> int:
+    return 2 if max(vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
+
+
+def _encoded(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
-        width = 2 if max(tok.vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
-        part, before, docs, kept, n = TaskContext.get().partitionId(), 0, [], [], 0
+        kind = "<u2" if _width(tok.vocabulary, end_id) == 2 else "<u4"
         tail = [] if end_id is None else [end_id]
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                yield pa.record_batch([part.column(0), pa.array([np.append(ids, tail).astype(kind).tobytes() for ids in tok.encode(part.column(1))], pa.binary())], ["id", "ids"])
+
+    return run
+
+
+def _writer(width: int, shard_ids: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, docs, kept, n = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([pack_shard(docs, kept, width)], pa.binary())], ["part", "tokens_before", "n_tokens", "shard"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs.append(doc)
-                kept.append(np.append(ids, tail).astype(np.uint16 if width == 2 else np.uint32))
+                kept.append(np.frombuffer(ids.as_buffer().to_pybytes(), "<u2" if width == 2 else "<u4"))
                 n += len(kept[-1])
                 if n >= shard_ids:
                     yield shard()
@@ -93,8 +114,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Write the ids of every text, each with ``end_id`` behind it (none if that is None), to shards under ``path``."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
-    ordered.mapInArrow(_writer(tokenizer or tokenizer_path(), end_id, shard_ids), "part int, tokens_before long, n_tokens long, shard binary").write.parquet(path)
+    ids = stored(rows.mapInArrow(_encoded(tokenizer or tokenizer_path(), end_id), "id long, ids binary"), "ids")  # a table, as the range sort samples it before it reads it
+    ordered = ids.repartitionByRange("id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"), "ids")
+    width = _width(word_tokenizer(tokenizer or tokenizer_path()).vocabulary, end_id)
+    ordered.mapInArrow(_writer(width, shard_ids), "part int, tokens_before long, n_tokens long, shard binary").write.parquet(path)
 
 
 def _reader(bases: dict[int, int]):
@@ -102,8 +125,7 @@ def _reader(bases: dict[int, int]):
         for batch in batches:
             for part, before, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = Shard(memoryview(data.as_buffer()))
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
+                starts, ends = s.spans(0, s.n)
                 crc = [zlib.crc32(s.ids[i:j].astype("<u4")) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch([pa.array(s.doc_ids(), pa.int64()), pa.array(starts + (bases[part] + before)), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
