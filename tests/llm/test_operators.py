@@ -178,13 +178,23 @@ def test_token_files(spark, docs, none, rows, plain):
     assert token_files.read_token_files(spark, empty).count() == 0
 
 
-def test_warc(spark):
-    trap = "x\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    pages = [(1, "http://a/ b", "<p>é</p>", 7), (2, None, None, 7), (3, "u", "", 7), (4, "u", trap, 7), (5, "u", trap, 7), (None, "u", trap, 7), (6, "u", "<p>é</p>", 7), (6, "u", "<p>é</p>", 7), (8, "u", "WARC/1.0\r\n" * 50, 7)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int")
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_warc(spark, compression):
+    trap = "x\r\n\r\nWARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    pages = [(1, "http://a/ b", "<p>é</p>", 7), (2, None, None, 7), (3, "u", "", 7), (4, "u", trap, 7), (5, "u", trap, 7), (None, "u", trap, 7), (6, "u", "<p>é</p>", 7), (6, "u", "<p>é</p>", 7), (8, "u", "WARC/1.0\r\n" * 50, 7), (9, "u", "WARC/1.0\r\n\r\n" * 90, 7), (10, "u", "\r\n\r\n", 7), (11, "u", "\n\r\n\r\n\r" + "y" * 3000, 7), (12, "u", trap * 40 + "z", 7)]
+    pages += [(100 + k, f"u{k}", "w" * k + trap[: k % 30], 7) for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(2)
     path = fresh_path(spark, "w")
-    warc.write_archives(df, path, file_records=3)
-    out = Counter(tuple(r) for r in warc.read_archives(spark, path).collect())
+    warc.write_archives(df, path, file_records=50, compression=compression)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # files that are not packed are read in many splits
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        out = Counter(tuple(r) for r in warc.read_archives(spark, path).collect())
+        splits = warc.pieces(spark, path).select("file", "block").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert splits >= (10 if compression == "none" else 2)
     best = defaultdict(lambda: -1)
     for p, _, h, _ in pages:
         best[h or ""] = max(best[h or ""], -1 if p is None else p)
@@ -194,12 +204,20 @@ def test_warc(spark):
         revisit = p != first
         want[(p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if revisit else "response", first if revisit else None)] += 1
     assert out == want
-    data = warc.record(1, "u", trap.encode(), "d", None, False) + b"\r\n\r\n"
-    assert len(list(warc.candidates(data))) == 2
-    assert warc.reachable(np.array([0, 5, 9, 20]), np.array([9, 7, 20, 31])) [0].tolist() == [True, False, True, True]
+
+
+def test_warc_of_nothing_and_of_broken_files(spark):
+    assert warc.reachable(np.array([0, 5, 9, 20]), np.array([9, 7, 20, 31]))[0].tolist() == [True, False, True, True]
+    df = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(5)], "page_id long, url string, html string").coalesce(1)
     none = fresh_path(spark, "w")
     warc.write_archives(df.limit(0), none)
     assert warc.read_archives(spark, none).count() == 0
+    good = warc.record(1, "u", b"abc", base64.b32encode(hashlib.sha1(b"abc").digest()).decode(), None, False).decode()
+    for text in (good.replace("abc", "abd"), good + "abc", good[:-1], good + "\r\n\r\nWARC/1.0\r\nContent-Length: x", "no record"):
+        path = fresh_path(spark, "w")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+        with pytest.raises(Exception, match="the chain of records ends|is not what the record says"):
+            warc.read_archives(spark, path).collect()
 
 
 def _check_exact(out, rows):
