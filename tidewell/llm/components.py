@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import discard, stored
 from .spread import looked_up
 
 
@@ -31,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         new = stored(small.select("e.*").where("u <> v").distinct(), "links")
+        discard(edges)
         edges, before, was = new, was, _told(new)
         if was == before:
             break

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import ship, stored, table
+from .scratch import discard, ship, stored, table
 from .spread import hash_filter, looked_up, passes
 from .textbytes import secret, shingle_sets
 
@@ -56,7 +56,7 @@ ENTRY_COST = 6
 #: Frequent shingles known at most, and those that one task reports.
 FREQUENT, REPORTED = 1 << 18, 1 << 15
 #: Shingles in a block of a list.
-BLOCK_SHINGLES = 600_000
+BLOCK_SHINGLES = 400_000
 #: Bytes of text handled at once.
 LOT = 4_000_000
 
@@ -260,8 +260,8 @@ def _in_blocks(rows: DataFrame, chunks) -> DataFrame:
     return rows.withColumn("other", other).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("other", "chunks")
 
 
-def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tuple[DataFrame, DataFrame]:
-    """Profiles (id, n, mark, least) of the rows, where ``least`` is the smallest id of an equal set; links (a, b) between those."""
+def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Profiles (id, n, least) of the rows, where ``least`` is the smallest id of an equal set; links (a, b) between those; tables both read."""
     rows = docs.where("id is not null").select("id", "text")
     top = rows.mapInArrow(_common(width, base), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64))
@@ -324,7 +324,7 @@ def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tup
     one = pairs.join(held.withColumnsRenamed({"id": "a", "h": "ha", "shingles": "s"}), ["a", "ha"]).join(held.withColumnsRenamed({"id": "b", "h": "hb", "shingles": "t"}), ["b", "hb"])
     compared = one.select("a", "b", "s", "t").mapInArrow(_compared(num, den), "a long, b long")
     told = looked_up(found.select("id", "n", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")), classes, ["mark"], "copies", found.count())
-    return told.select("id", "n", "least"), by_subset.union(scanned).union(compared)
+    return told.select("id", "n", "least"), by_subset.union(scanned).union(compared), [found, whole, met, pairs, near, wanted, held]
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
@@ -334,11 +334,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    profiles, links = set_links(rows, width, num, den, base or secret())
+    profiles, links, read = set_links(rows, width, num, den, base or secret())
     profiles = stored(profiles, "classes")
     same = profiles.where("least is not null").groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
     repeated = profiles.join(same, "id").select(F.col("least").alias("a"), F.col("first").alias("b"))
     found = components(links.union(repeated))
+    discard(*read)
     return profiles.join(found, F.col("least") == F.col("node"), "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "least", "id")).alias("component_id")
     )
@@ -346,3 +347,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda k: array_to_string(words[k : k + 2], ' '))) END AS shingles
+  FROM w
+), flat AS MATERIALIZED (SELECT doc_id, len(shingles) AS n, hash(unnest(shingles)) AS h FROM s),
+common AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM flat AS x JOIN flat AS y ON x.h = y.h AND x.doc_id < y.doc_id
+  WHERE 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), links AS MATERIALIZED (SELECT a, b FROM common UNION ALL SELECT b, a FROM common),
+reach AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON r.to_id = l.a
+)
+SELECT s.doc_id, len(shingles) AS n_shingles, m.component_id
+FROM s JOIN (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id) AS m ON s.doc_id = m.doc_id
+"""

@@ -221,3 +221,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
 def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs; the operator equals it where it finds all links, as it does on tables of this size (see the README for its recall).
+ORACLE = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x, v AS y WHERE x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95
+), reach AS (
+  SELECT vec_id, vec_id AS to_id FROM embeddings
+  UNION SELECT r.vec_id, p.b FROM reach AS r JOIN pairs AS p ON r.to_id = p.a
+), m AS (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON m.vec_id = n.a
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_lattice_near_dedup": lattice.op9_lattice_near_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
-ORACLE_SQL = {"op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op4_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_lattice_near_dedup": lattice.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}

@@ -26,9 +26,9 @@ _CUT = re.compile(r"(?<=[!-~À-ÖØ-öø-ɏ]) ")
 _ELSEWHERE = r"(^|[^!-~À-ÖØ-öø-ɏ]) "
 _MARKS = ".,;:!?"
 #: Words whose ids a worker keeps at most; beyond it the memory starts anew.
-MOST_WORDS = 600_000
+MOST_WORDS = 400_000
 #: Bytes of text handled at once; a longer text is alone.
-LOT = 6_000_000
+LOT = 3_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

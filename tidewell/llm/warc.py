@@ -217,3 +217,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
+
+
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), g AS (
+  SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS first FROM p
+), d AS (SELECT *, list_transform(range(0, 8), lambda k: ('0x' || substr(h, (1 + 5 * k)::BIGINT, 5))::BIGINT) AS parts FROM g)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(flatten(list_transform(parts, lambda v: [v // 32768, v // 1024 % 32, v // 32 % 32, v % 32])), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + k, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
