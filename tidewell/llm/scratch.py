@@ -58,14 +58,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 
 _shipped: set[str] = set()
+#: Rows and bytes that go to a Python worker at once: texts and sets are long, and a batch is held on both sides. The defaults are Spark's.
+_ARROW = [("spark.sql.execution.arrow.maxRecordsPerBatch", "2000", "10000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16777216b", "67108864b")]
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each Spark application."""
+    """Give the executors this package, and their Python workers smaller batches, once for each Spark application."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
+    for name, value, default in _ARROW:  # only where the user has not chosen otherwise
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
     top = Path(__file__).resolve().parents[1]
     archive = os.path.join(tempfile.mkdtemp(prefix="tidewell-zip-"), "tidewell.zip")
     with zipfile.ZipFile(archive, "w") as z:
