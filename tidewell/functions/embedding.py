@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: the namespace of URLs for name-based UUIDs.
@@ -12,12 +12,16 @@ NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
 class EmbeddingProvider(Protocol):
-    """Anything that turns a text column into unit vectors of ``dimensions``."""
+    """Anything that turns texts into unit vectors of ``dimensions``."""
 
+    provider_name: str
+    model_name: str
     dimensions: int
 
     def embed(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame: ...
 
+    def embed_query(self, spark: SparkSession, text: str) -> list[float]: ...
+
 
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
@@ -47,10 +51,12 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class HashEmbedding:
     """Signed bucket sums of token counts, scaled to length 1; a text without tokens has the zero vector."""
 
+    provider_name = "hash"
+
     def __init__(self, dimensions: int = 64):
         if dimensions < 2:
             raise ValueError("an embedding needs two dimensions at least")
-        self.dimensions = dimensions
+        self.dimensions, self.model_name = dimensions, f"signed-sha256-{dimensions}"
 
     def cells(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, bucket, value): the bucket sums that are not 0. Tokens are hashed once for each document."""
@@ -58,16 +64,14 @@ class HashEmbedding:
         sums = token_counts(docs, id_col, text_col).groupBy(id_col, bucket(t, self.dimensions).alias("bucket")).agg(F.sum(sign(t) * F.col("n")).cast("long").alias("value"))
         return sums.where("value <> 0")
 
-    def vector(self, text: Column) -> Column:
-        """The vector of a text, within its row: no shuffle."""
-        signed = F.transform(terms(text), lambda t: F.struct(bucket(t, self.dimensions).alias("b"), sign(t).alias("s")))
-        zeros = F.array_repeat(F.lit(0.0), self.dimensions)
-        sums = F.transform(zeros, lambda z, k: F.aggregate(F.filter(signed, lambda x: x["b"] == k), z, lambda acc, x: acc + x["s"]))
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + x * x))
-        return F.transform(sums, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-
     def embed(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        return docs.select(F.col(id_col), self.vector(F.col(text_col)).alias("embedding"))
+        """(id, embedding) of every row's id: the cells are summed first, then laid out once for each id."""
+        cells = self.cells(docs, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", F.col("value").cast("double")))).alias("cells"), F.sqrt(F.sum(F.col("value").cast("double") * F.col("value"))).alias("norm"))
+        placed = F.transform(F.sequence(F.lit(0), F.lit(self.dimensions - 1)), lambda k: F.coalesce(F.try_element_at("cells", k) / F.col("norm"), F.lit(0.0)))
+        return docs.select(id_col).distinct().join(cells, id_col, "left").select(id_col, placed.alias("embedding"))
+
+    def embed_query(self, spark: SparkSession, text: str) -> list[float]:
+        return list(self.embed(spark.createDataFrame([(0, text)], "id int, text string"), "id", "text").first().embedding)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -1,22 +1,137 @@
-"""The vector index: reconciliation with the wanted documents, filtered cosine search, and its evaluation."""
+"""The vector index: a stored table of documents and vectors, filtered cosine search, and the measures of its evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.embedding import EmbeddingProvider, cosine, point_id
 
+#: Queries that ``search_all`` takes at once; each is compared with the whole index, in one pass over it.
+MOST_QUERIES = 1000
+#: Scores that agree in so many decimals are equal, so that ranks don't depend on the order of a sum.
+DECIMALS = 12
+
+
+class IndexUnavailable(RuntimeError):
+    """An index that is not there or does not fit its use."""
+
+
+@dataclass(frozen=True)
+class IndexSummary:
+    name: str
+    dimensions: int
+    points: int
+
+
+class VectorIndex:
+    """Documents and their vectors under ``path``/``name``, in a store that Spark reads and writes.
+
+    Every change writes a new version and then a new pointer to it, so readers see a whole index, the old one or the new one.
+    Only this index's own folder is ever written to.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str, provider: EmbeddingProvider):
+        self.spark, self.name, self.provider = spark, name, provider
+        self.folder = f"{path.rstrip('/')}/{name}"
+
+    def _files(self):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        return jvm, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _latest(self) -> int:
+        """The number of the last pointer that was written whole; 0 if there is none."""
+        jvm, path, fs = self._files()
+        pointers = jvm.org.apache.hadoop.fs.Path(path, "pointers")
+        if not fs.exists(pointers):
+            return 0
+        done = [f.getPath().getName() for f in fs.listStatus(pointers) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+        return max(map(int, done), default=0)
+
+    def exists(self) -> bool:
+        return self._latest() > 0
+
+    def _state(self) -> dict:
+        if not (n := self._latest()):
+            raise IndexUnavailable(f"there is no index {self.name!r}; index the catalog first")
+        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{n}", wholetext=True).first()[0])
+
+    def _point(self, version: str | None) -> None:
+        told = json.dumps({"version": version, "dimensions": self.provider.dimensions, "distance": "cosine", "model": self.provider.model_name})
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.folder}/pointers/{self._latest() + 1}")
+
+    def create(self) -> None:
+        """Make an empty index; one that is there is left as it is."""
+        if not self.exists():
+            self._point(None)
 
-def reconcile(docs: DataFrame, index: DataFrame | None, provider: EmbeddingProvider) -> tuple[DataFrame, dict[str, int]]:
-    """The index of exactly the wanted documents, and counts: documents_indexed, points_deleted, points_total."""
-    vectors = provider.embed(docs, "document_id", "content")
-    wanted = docs.join(vectors, "document_id").dropDuplicates(["document_id"]).withColumn("point_id", point_id(F.col("document_id")))
-    stale = 0 if index is None else index.select("point_id").join(wanted.select("point_id"), "point_id", "left_anti").count()
-    return wanted, {"documents_indexed": docs.count(), "points_deleted": stale, "points_total": wanted.count()}
+    def points(self) -> DataFrame | None:
+        """The indexed documents, null if there are none yet."""
+        version = self._state()["version"]
+        return None if version is None else self.spark.read.parquet(f"{self.folder}/{version}")
 
+    def point_ids(self) -> DataFrame:
+        points = self.points()
+        return self.spark.createDataFrame([], "point_id string") if points is None else points.select("point_id")
 
-def search(index: DataFrame, query_vector: list[float], limit: int = 5, **filters: list[str] | None) -> DataFrame:
+    def summary(self) -> IndexSummary:
+        return IndexSummary(self.name, self._state()["dimensions"], self.point_ids().count())
+
+    def _put(self, rows: DataFrame) -> None:
+        version = f"v-{uuid.uuid4().hex[:12]}"
+        rows.write.parquet(f"{self.folder}/{version}")
+        self._point(version)
+
+    def delete(self, stale: DataFrame) -> int:
+        """Take out the points whose ids ``stale`` (point_id) holds; how many these were."""
+        points = self.points()
+        if points is None:
+            return 0
+        n = points.join(stale, "point_id", "left_semi").count()
+        if n:
+            self._put(points.join(stale, "point_id", "left_anti"))
+        return n
+
+    def index(self, docs: DataFrame) -> dict[str, int]:
+        """Make the index hold exactly these documents; counts: documents_indexed, documents_deleted, points_total."""
+        self.create()
+        if (known := self._state()["dimensions"]) != self.provider.dimensions:
+            raise IndexUnavailable(f"the index has {known} dimensions, the provider {self.provider.dimensions}")
+        before = self.point_ids()
+        wanted, counts = reconcile(docs, before, self.provider)
+        self._put(wanted)
+        return counts | {"points_total": self.point_ids().count()}
+
+    def search(self, query: str, limit: int = 5, document_types: list[str] | None = None, domains: list[str] | None = None, asset_ids: list[str] | None = None) -> DataFrame:
+        """The nearest documents to a text, as ``search`` gives them."""
+        points = self.points()
+        if points is None:
+            raise IndexUnavailable(f"the index {self.name!r} is empty; index the catalog first")
+        return search(points, self.provider.embed_query(self.spark, query), limit, document_type=document_types, domain=domains, asset_id=asset_ids)
+
+
+def assert_ready(spark: SparkSession) -> None:
+    """Fail with a word of help if the session does not answer."""
+    try:
+        spark.range(1).count()
+    except Exception as e:
+        raise IndexUnavailable("the Spark session does not answer; start one and try again") from e
+
+
+def reconcile(docs: DataFrame, existing: DataFrame | None, provider: EmbeddingProvider) -> tuple[DataFrame, dict[str, int]]:
+    """The points of exactly the wanted documents, and counts: documents_indexed, documents_deleted, points_total."""
+    one = docs.dropDuplicates(["document_id"])
+    wanted = one.join(provider.embed(one, "document_id", "content"), "document_id").withColumn("point_id", point_id(F.col("document_id")))
+    stale = 0 if existing is None else existing.select("point_id").join(wanted.select("point_id"), "point_id", "left_anti").count()
+    return wanted, {"documents_indexed": docs.count(), "documents_deleted": stale, "points_total": one.count()}
+
+
+def search(index: DataFrame, query_vector: list[float], limit: int = 5, **filters: list | None) -> DataFrame:
     """(rank, document_id, score, ...) of the nearest documents: filters are lists of allowed values, which all must hold; ties by id."""
     if limit < 1:
         raise ValueError("the limit must be 1 at least")
@@ -24,27 +139,37 @@ def search(index: DataFrame, query_vector: list[float], limit: int = 5, **filter
         if allowed:
             index = index.where(F.col(name).isin(list(allowed)))
     q = F.array(*[F.lit(float(x)) for x in query_vector])
-    top = index.withColumn("score", F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0))).orderBy(F.desc("score"), "document_id").limit(limit)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "document_id")))
+    top = index.withColumn("score", F.round(F.coalesce(cosine(F.col("embedding"), q), F.lit(0.0)), DECIMALS)).orderBy(F.desc("score"), "document_id").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "document_id")))  # ``limit`` rows
 
 
 def search_all(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(case_id, document_id, score, rank) for a stated set of queries (case_id, embedding), all at once."""
-    scored = index.select("document_id", "embedding").join(F.broadcast(queries.withColumnRenamed("embedding", "q"))).select("case_id", "document_id", F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "document_id"))).where(F.col("rank") <= limit)
+    """(case_id, document_id, score, rank) for a stated set of queries (case_id, embedding), all in one pass over the index.
 
+    The queries are broadcast, so their number is checked. Each task keeps its own nearest of each query before anything moves.
+    """
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries at once; give more in lots")
+    scored = index.select("document_id", "embedding").join(F.broadcast(queries.withColumnRenamed("embedding", "q"))).select("case_id", "document_id", F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), DECIMALS).alias("score"))
+    best = Window.partitionBy("case_id").orderBy(F.desc("score"), "document_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
-def retrieval_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
-    """One row: cases, recall_5, recall_10, mrr, as means over the cases of ``relevant`` (case_id, document_id)."""
+
+def case_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
+    """(case_id, recall_5, recall_10, reciprocal_rank) of every case of ``relevant`` (case_id, document_id), those without a hit too."""
     rel = relevant.distinct()
     hits = rel.join(ranked.groupBy("case_id", "document_id").agg(F.min("rank").alias("rank")), ["case_id", "document_id"], "left")
     share = lambda k: F.count(F.when(F.col("rank") <= k, 1)) / F.count("*")
-    case = hits.groupBy("case_id").agg(share(5).alias("r5"), share(10).alias("r10"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"))
-    return case.agg(F.count("*").alias("cases"), F.avg("r5").alias("recall_5"), F.avg("r10").alias("recall_10"), F.avg("rr").alias("mrr"))
+    return hits.groupBy("case_id").agg(share(5).alias("recall_5"), share(10).alias("recall_10"), F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
+
+
+def retrieval_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
+    """One row: cases, recall_5, recall_10, mrr, as means over the cases."""
+    return case_metrics(ranked, relevant).agg(F.count("*").alias("cases"), F.avg("recall_5").alias("recall_5"), F.avg("recall_10").alias("recall_10"), F.avg("reciprocal_rank").alias("mrr"))
 
 
 def validate_index(dimensions: int, points: int, provider_dimensions: int, expected_points: int) -> None:
     if dimensions != provider_dimensions:
-        raise ValueError(f"the index has {dimensions} dimensions, the provider {provider_dimensions}")
+        raise IndexUnavailable(f"the index has {dimensions} dimensions, the provider {provider_dimensions}; index the catalog anew")
     if points != expected_points:
-        raise ValueError(f"the index has {points} points, {expected_points} are expected")
+        raise IndexUnavailable(f"the index has {points} points, {expected_points} are expected; index the catalog anew")

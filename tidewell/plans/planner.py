@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What marks a question; substrings, looked for in this order.
-LINEAGE_TERMS = ("lineage", "upstream", "downstream", "derived", "comes from", "come from", "feeds")
-ANALYSIS_TERMS = ("top", "highest", "largest", "most", "how much", "total for", "rank")
+LINEAGE_TERMS = ("lineage", "where does", "contribute", "come from")
+ANALYSIS_TERMS = ("top", "most", "how many", "average", "total", "revenue")
 
 
 class Planner(Protocol):
@@ -48,11 +48,12 @@ class TemplatePlanner:
     def sql(self, question: str) -> str:
         year, n = self.bounds(question)
         return (
-            "SELECT r.customer_sk, c.customer_name, r.total_net_paid FROM analytics.customer_revenue_yearly AS r "
-            f"JOIN raw.customer AS c ON r.customer_sk = c.customer_sk WHERE r.calendar_year = {year} ORDER BY r.total_net_paid DESC NULLS LAST, r.customer_sk LIMIT {n}"
+            "SELECT c.c_customer_id, c.c_first_name, c.c_last_name, r.total_net_paid FROM analytics.customer_revenue_yearly AS r "
+            f"JOIN raw.customer AS c ON r.customer_sk = c.c_customer_sk WHERE r.calendar_year = {year} ORDER BY r.total_net_paid DESC NULLS LAST, c.c_customer_sk LIMIT {n}"
         )
 
     def answer(self, question: str, columns: list[str], rows: list[tuple]) -> str:
         if not rows:
-            return "No rows match the question."
-        return f"{len(rows)} rows; the first is " + ", ".join(f"{c} = {v}" for c, v in zip(columns, rows[0], strict=True)) + "."
+            return "The query returned no rows for this question."
+        told = "; ".join(f"{first} {last} ({number}): {amount}" for number, first, last, amount in rows)
+        return f"The query returned {len(rows)} row(s): {told}."

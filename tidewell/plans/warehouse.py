@@ -1,38 +1,56 @@
-"""The warehouse: source views over the input tables, the yearly revenue table, and its checks."""
+"""The warehouse: source tables over the input, the yearly revenue table, and its checks."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHANNELS = {"store": "R", "catalog": "N", "web": "A"}
+#: Of each channel's table the columns of the day, the buyer and the amount, and the start of all its names.
+SALES = {
+    "store": ("ss_sold_date_sk", "ss_customer_sk", "ss_net_paid", "ss"),
+    "catalog": ("cs_sold_date_sk", "cs_bill_customer_sk", "cs_net_paid", "cs"),
+    "web": ("ws_sold_date_sk", "ws_bill_customer_sk", "ws_net_paid", "ws"),
+}
 REQUIRED = {
-    "customer": ["customer_sk"],
-    "order_dates": ["order_sk", "calendar_year"],
-    **{f"{c}_sales": ["order_sk", "customer_sk", "net_paid"] for c in CHANNELS},
+    "customer": ["c_customer_sk"],
+    "date_dim": ["d_date_sk", "d_year"],
+    **{f"{c}_sales": list(names[:3]) for c, names in SALES.items()},
 }
 MONEY = "decimal(38,2)"
+SQL_FILE = Path(__file__).resolve().parents[1] / "sql" / "customer_revenue_yearly.sql"
 
 
 class WarehouseError(ValueError):
     """A source or derived table that is not as declared."""
 
 
+def _day_key(day: Column) -> Column:
+    return F.unix_date(day.cast("date")).cast("long")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The source tables, named as in the catalog: the channels are the line items by return flag, with their orders' customers."""
+    """The source tables, named as in the catalog: the channels are the line items by return flag, with their orders' days and customers."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    orders = read("orders")
-    lines = read("lineitem").select(F.col("l_orderkey").alias("order_sk"), F.col("l_linenumber").alias("line_number"), "l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("net_paid"))
-    sold = lines.join(orders.select(F.col("o_orderkey").alias("order_sk"), F.col("o_custkey").alias("customer_sk")), "order_sk")
+    orders = read("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    sold = read("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("paid")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    name = F.split("c_name", "#")
+    days = orders.where("day is not null").select("day").distinct()
+
+    def channel(c: str) -> DataFrame:
+        date, buyer, paid, short = SALES[c]
+        return sold.where(F.col("l_returnflag") == CHANNELS[c]).select(_day_key(F.col("day")).alias(date), F.col("o_custkey").alias(buyer), F.col("paid").alias(paid), F.col("l_orderkey").alias(f"{short}_order_number"), F.col("l_linenumber").alias(f"{short}_line_number"))
+
     return {
-        "customer": read("customer").select(F.col("c_custkey").alias("customer_sk"), F.col("c_name").alias("customer_name")),
-        "order_dates": orders.select(F.col("o_orderkey").alias("order_sk"), F.year("o_orderdate").cast("long").alias("calendar_year")),
-        **{f"{c}_sales": sold.where(F.col("l_returnflag") == flag).select("order_sk", "line_number", "customer_sk", "net_paid") for c, flag in CHANNELS.items()},
+        "customer": read("customer").select(F.col("c_custkey").alias("c_customer_sk"), F.col("c_name").alias("c_customer_id"), F.get(name, F.lit(0)).alias("c_first_name"), F.get(name, F.lit(1)).alias("c_last_name")),
+        "date_dim": days.select(_day_key(F.col("day")).alias("d_date_sk"), F.col("day").alias("d_date"), F.year("day").cast("long").alias("d_year")),
+        **{f"{c}_sales": channel(c) for c in CHANNELS},
     }
 
 
@@ -45,10 +63,13 @@ def validate_sources(tables: dict[str, DataFrame]) -> None:
 
 
 def channel_union(tables: dict[str, DataFrame]) -> DataFrame:
-    """(sales_channel, customer_sk, calendar_year, net_paid): all channels' rows that have a customer and a known date."""
-    dates = tables["order_dates"].select("order_sk", "calendar_year")
-    parts = [tables[f"{c}_sales"].where("customer_sk is not null").join(dates, "order_sk").select(F.lit(c).alias("sales_channel"), "customer_sk", "calendar_year", "net_paid") for c in CHANNELS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """(sales_channel, customer_sk, calendar_year, net_paid): all channels' rows that have a customer and a known day.
+
+    The channels are put together before they meet the days, so the days are read and joined once.
+    """
+    parts = [tables[f"{c}_sales"].select(F.lit(c).alias("sales_channel"), F.col(buyer).alias("customer_sk"), F.col(day).alias("day"), F.col(paid).alias("net_paid")).where("customer_sk is not null") for c, (day, buyer, paid, _) in SALES.items()]
+    days = tables["date_dim"].select("d_date_sk", F.col("d_year").cast("long").alias("calendar_year"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(days, F.col("day") == F.col("d_date_sk")).select("sales_channel", "customer_sk", "calendar_year", "net_paid")
 
 
 def revenue(tables: dict[str, DataFrame]) -> DataFrame:
@@ -86,7 +107,8 @@ def validate_revenue(table: DataFrame) -> int:
 
 
 def top_customers(table: DataFrame, customers: DataFrame, year: int, n: int) -> DataFrame:
-    return table.where(F.col("calendar_year") == year).join(customers, "customer_sk").select("customer_sk", "customer_name", "total_net_paid").orderBy(F.desc_nulls_last("total_net_paid"), "customer_sk").limit(n)
+    best = table.where(F.col("calendar_year") == year).join(customers, F.col("customer_sk") == F.col("c_customer_sk"))
+    return best.select("customer_sk", "c_customer_id", "c_first_name", "c_last_name", "total_net_paid").orderBy(F.desc_nulls_last("total_net_paid"), "customer_sk").limit(n)
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -97,24 +119,46 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def build_warehouse(spark: SparkSession, sf_dir: str, path: str, manifest: str | None = None) -> dict:
-    """Write sources and the revenue table under ``path``, check them, register them as raw.* and analytics.*; the manifest's content."""
+def fingerprint(df: DataFrame) -> tuple[int, str]:
+    """The number of rows, and a digest of what they hold that does not depend on their order."""
+    n, total = df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
+    return n, hashlib.sha256(f"{df.schema.simpleString()} {n} {total}".encode()).hexdigest()
+
+
+def build_warehouse(spark: SparkSession, sf_dir: str, path: str, manifest: str | None = None, sql_file: Path | str = SQL_FILE) -> dict:
+    """Write the sources and the revenue table under ``path``, check them, register them as raw.* and analytics.*; the manifest's content.
+
+    A table is written to a folder of its own and its view then points there, so a reader sees the old table or the new one, and a
+    build that fails leaves the revenue table as it was. ``manifest`` names a file of the driver's to write the manifest to.
+    """
+    sql = Path(sql_file).read_text(encoding="utf-8")
     tables = sources(spark, sf_dir)
     validate_sources(tables)
     for db in ("raw", "analytics"):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
 
     def put(db: str, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{db}/{name}")
-        spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM parquet.`{path}/{db}/{name}`")
+        place = f"{path}/{db}/{name}/{uuid.uuid4().hex[:12]}"
+        df.write.parquet(place)
+        kept = spark.read.parquet(place)
+        if name == "customer_revenue_yearly":
+            validate_revenue(kept)
+        spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM parquet.`{place}`")
         return spark.table(f"{db}.{name}")
 
-    kept = {name: put("raw", name, df) for name, df in tables.items()}
-    table = put("analytics", "customer_revenue_yearly", revenue(kept))
-    validate_revenue(table)
-    counts = {r.table_name: r.row_count for r in row_counts(kept | {"customer_revenue_yearly": table}).collect()}
-    plan = table.schema.simpleString()
-    told = {"source": sf_dir, "spark": spark.version, "row_counts": counts, "schema_sha256": hashlib.sha256(plan.encode()).hexdigest(), "built_at": datetime.now(UTC).isoformat()}
+    kept = {f"raw.{name}": put("raw", name, df) for name, df in tables.items()}
+    kept["analytics.customer_revenue_yearly"] = put("analytics", "customer_revenue_yearly", spark.sql(sql))
+    prints = {name: fingerprint(df) for name, df in kept.items()}
+    told = {
+        "source": sf_dir,
+        "warehouse": path,
+        "spark_version": spark.version,
+        "generated_at_utc": datetime.now(UTC).isoformat(),
+        "table_row_counts": {name: n for name, (n, _) in prints.items()},
+        "table_sha256": {name: h for name, (_, h) in prints.items()},
+        "transformation_sql_file": str(sql_file),
+        "transformation_sql_sha256": hashlib.sha256(sql.encode()).hexdigest(),
+    }
     if manifest:
-        Path(manifest).write_text(json.dumps(told, indent=2, sort_keys=True))
+        Path(manifest).write_text(json.dumps(told, indent=2, sort_keys=True) + "\n", encoding="utf-8")
     return told

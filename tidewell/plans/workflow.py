@@ -2,130 +2,88 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tidewell.functions.embedding import EmbeddingProvider
-from tidewell.operators.lineage import lineage
-from tidewell.operators.retrieval import search
+from tidewell.plans import render
+from tidewell.plans.explore import ExplorationError, Explorer
 from tidewell.plans.guard import QueryFailed, QueryResult, UnsafeSql, execute, validate_sql
 from tidewell.plans.planner import Planner, TemplatePlanner
-from tidewell.sources.catalog import Catalog
-
+from tidewell.sources.schema import SchemaError, allowed_columns, inspect_schema
 
-def _terms(text: str) -> set[str]:
-    return set(re.findall(r"[a-z0-9]+", text.lower()))
+#: The metric whose lineage an analysis tells, and the assets that it may always read.
+METRIC = "customer_yearly_net_revenue"
+REQUIRED = ("analytics.customer_revenue_yearly", "raw.customer")
 
 
-def _first_seen(ids) -> list[str]:
-    return list(dict.fromkeys(i for i in ids if i))
+class WorkflowError(RuntimeError):
+    """A question that was not answered, and at which step."""
 
 
 @dataclass
 class Response:
     intent: str
-    text: str
+    answer: str
+    retrieved_document_ids: list[str]
+    candidate_asset_ids: list[str]
     sql: str | None = None
     result: QueryResult | None = None
-    assets: list[str] = field(default_factory=list)
-    errors: list[str] = field(default_factory=list)
-
-
-class Explorer:
-    def __init__(self, spark: SparkSession, catalog: Catalog, index: DataFrame, provider: EmbeddingProvider):
-        self.spark, self.catalog, self.index, self.provider = spark, catalog, index, provider
-        self.edges = catalog.frame(spark, "lineage")
-
-    def evidence(self, question: str, limit: int = 8) -> list:
-        asked = self.spark.createDataFrame([("q", question)], "id string, text string")
-        return search(self.index, self.provider.embed(asked, "id", "text").first().embedding, limit).orderBy("rank").collect()
-
-    def assets_of(self, evidence: list) -> list[str]:
-        """Assets that the evidence names, in order: scalar fields, then lists, then the owners of columns; unknown ones drop out."""
-        owner, known, out = {c["id"]: c["asset_id"] for c in self.catalog.columns}, self.catalog.by_id("assets"), []
-        for e in evidence:
-            out += [e["asset_id"], e["source_asset_id"], e["target_asset_id"], *(e["input_asset_ids"] or []), *(e["source_asset_ids"] or [])]
-            out += [owner.get(e[k]) for k in ("source_column_id", "target_column_id", "output_column_id")]
-        return [a for a in _first_seen(out) if a in known]
-
-    def discover(self, question: str) -> tuple[list, list[str], list[dict]]:
-        found = self.evidence(question)
-        assets = self.assets_of(found)
-        return found, assets, [r for r in self.catalog.relationships if {r["source_asset_id"], r["target_asset_id"]} & set(assets)]
-
-    def lexical_metric(self, question: str) -> dict | None:
-        """The metric that shares most terms with the question, three at least; the first of equals."""
-        asked, best, most = _terms(question), None, 2
-        for m in self.catalog.metrics:
-            shared = len(asked & _terms(" ".join([m["id"], m["name"], m["description"], m["definition"]])))
-            if shared > most:
-                best, most = m, shared
-        return best
-
-    def target(self, question: str, evidence: list) -> str:
-        """The column to trace: of a metric id, a column id, a metric by its words, an asset's metric, then by the evidence."""
-        metrics, columns = self.catalog.by_id("metrics"), self.catalog.by_id("columns")
-        if question in metrics:
-            return metrics[question]["output_column_id"]
-        if question in columns:
-            return question
-        if m := self.lexical_metric(question):
-            return m["output_column_id"]
-        asset = question if question in self.catalog.by_id("assets") else None
-        for e in [] if asset else evidence:
-            if e["document_type"] == "metric":
-                return e["output_column_id"]
-        for e in [] if asset else evidence:
-            if e["document_type"] == "column":
-                return e["entity_id"]
-        for a in [asset] if asset else self.assets_of(evidence):
-            for m in self.catalog.metrics:
-                if columns[m["output_column_id"]]["asset_id"] == a:
-                    return m["output_column_id"]
-        raise LookupError("nothing in the catalog answers to the question")
-
-    def lineage(self, question: str, upstream: bool = True, max_depth: int = 5) -> tuple[str, list, list[str]]:
-        evidence = self.evidence(question)
-        column = self.target(question, evidence)
-        edges = lineage(self.edges, column, upstream, max_depth).orderBy("seq").collect()
-        owner = {c["id"]: c["asset_id"] for c in self.catalog.columns}
-        return column, edges, _first_seen([owner[column], *(owner[x] for e in edges for x in (e.source_column_id, e.target_column_id))])
+    lineage_context: str | None = None
+    steps: list[str] = field(default_factory=list)
 
 
 class Workflow:
     """``ask`` routes a question; an analysis is planned, checked, run with a deadline and a row cap, and told with its lineage."""
 
-    def __init__(self, explorer: Explorer, planner: Planner | None = None, max_rows: int = 100, timeout_seconds: float = 10.0):
-        self.explorer, self.planner, self.max_rows, self.timeout = explorer, planner or TemplatePlanner(), max_rows, timeout_seconds
+    def __init__(self, explorer: Explorer, planner: Planner | None = None, retrieval_limit: int = 8, max_rows: int = 100, timeout_seconds: float = 10.0):
+        self.explorer, self.planner = explorer, planner or TemplatePlanner()
+        self.retrieval_limit, self.max_rows, self.timeout = retrieval_limit, max_rows, timeout_seconds
 
     def ask(self, question: str) -> Response:
         intent = self.planner.intent(question)
-        return getattr(self, f"_{intent}")(question)
-
-    def _discovery(self, question: str) -> Response:
-        found, assets, rels = self.explorer.discover(question)
-        lines = ["Evidence:", *(f"  [{e.score:.3f}] {e.document_id}" for e in found), "Assets:", *(f"  {a}" for a in assets or ["none"]), "Relationships:", *(f"  {r['id']}" for r in rels or [{"id": "none"}])]
-        return Response("discovery", "\n".join(lines), assets=assets)
-
-    def _lineage(self, question: str) -> Response:
+        if intent not in ("discovery", "lineage", "analysis"):
+            raise WorkflowError(f"the planner gave an unknown intent {intent!r}")
+        evidence = self.explorer.retrieve(question, self.retrieval_limit)
+        assets = self.explorer.assets_of(evidence)
+        out = Response(intent, "", [e["document_id"] for e in evidence], assets, steps=["classify_intent", "retrieve"])
+        return getattr(self, f"_{intent}")(question, evidence, out)
+
+    def _discovery(self, question: str, evidence: list[dict], out: Response) -> Response:
+        out.answer = render.discovery(self.explorer.discover(question, evidence))
+        out.steps.append("discovery_response")
+        return out
+
+    def _lineage(self, question: str, evidence: list[dict], out: Response) -> Response:
+        try:
+            out.answer = out.lineage_context = render.lineage(self.explorer.lineage(question, evidence))
+        except ExplorationError as e:
+            raise WorkflowError(str(e)) from e
+        out.steps.append("lineage_response")
+        return out
+
+    def analysis_assets(self, retrieved: list[str]) -> list[str]:
+        """What an analysis may read, in catalog order: what is required, the metric's sources, and what was retrieved."""
+        catalog = self.explorer.catalog
+        wanted = {*REQUIRED, *retrieved, *(s for m in catalog.metrics if m["id"] == METRIC for s in m["source_asset_ids"])}
+        return [a["id"] for a in catalog.assets if a["id"] in wanted]
+
+    def _analysis(self, question: str, evidence: list[dict], out: Response) -> Response:
+        explorer, spark = self.explorer, self.explorer.spark
+        out.candidate_asset_ids = self.analysis_assets(out.candidate_asset_ids)
         try:
-            column, edges, assets = self.explorer.lineage(question, upstream="downstream" not in question.lower())
-        except LookupError as e:
-            return Response("lineage", str(e), errors=[str(e)])
-        lines = [f"Lineage of {column}:", *(f"  {e.source_column_id} -> {e.target_column_id} ({e.operation})" for e in edges)]
-        return Response("lineage", "\n".join(lines if edges else [*lines, "  none"]), assets=assets)
-
-    def _analysis(self, question: str) -> Response:
-        catalog, found = self.explorer.catalog, self.explorer.evidence(question)
-        wanted = {"customer", "customer_revenue_yearly", *self.explorer.assets_of(found), *(s for m in catalog.metrics for s in m["source_asset_ids"])}
-        assets = [a["id"] for a in catalog.assets if a["id"] in wanted]  # in catalog order
-        allowed = {f"{a['schema']}.{a['name']}": [c["name"] for c in catalog.columns if c["asset_id"] == a["id"]] for a in catalog.assets if a["id"] in wanted}
-        sql = self.planner.sql(question)
+            schemas = inspect_schema(spark, explorer.catalog, out.candidate_asset_ids)
+            checked = validate_sql(spark, self.planner.sql(question), allowed_columns(schemas), self.max_rows)
+            out.sql = checked.sql
+            out.result = execute(spark, checked, self.timeout)
+        except SchemaError as e:
+            raise WorkflowError(f"the tables can't be inspected: {e}") from e
+        except UnsafeSql as e:
+            raise WorkflowError(f"the SQL was not admitted: {e}") from e
+        except QueryFailed as e:
+            raise WorkflowError(f"the query failed: {e}") from e
         try:
-            checked = validate_sql(self.explorer.spark, sql, allowed, self.max_rows)
-            result = execute(self.explorer.spark, checked, self.timeout)
-        except (UnsafeSql, QueryFailed) as e:
-            return Response("analysis", f"The query was not answered: {e}", sql, assets=assets, errors=[str(e)])
-        return Response("analysis", self.planner.answer(question, result.columns, result.rows), sql, result, assets)
+            out.lineage_context = render.lineage(explorer.lineage(METRIC, evidence))
+        except ExplorationError:
+            out.lineage_context = "No explicit metric lineage was resolved from retrieved catalog evidence."
+        out.answer = self.planner.answer(question, out.result.columns, out.result.rows)
+        out.steps += ["inspect_schema", "generate_sql", "validate_sql", "execute", "analysis_response"]
+        return out

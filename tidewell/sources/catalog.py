@@ -17,23 +17,24 @@ FIELDS = {
     "columns": "id asset_id name physical_type semantic_type role description *concepts *synonyms",
     "relationships": "id source_asset_id target_asset_id *join_conditions cardinality relationship_type evidence",
     "transformations": "id target_asset_id *input_asset_ids ?sql ?sql_path description output_grain",
-    "lineage": "id source_column_id target_column_id transformation_id operation",
+    "lineage_edges": "id source_column_id target_column_id transformation_id operation",
     "metrics": "id name description definition output_column_id grain *source_asset_ids *concepts",
 }
 #: Lists that may be empty.
-MAY_BE_EMPTY = {"synonyms"}
+MAY_BE_EMPTY = {"synonyms", "tags"}
+#: What a catalog file may say.
 ALLOWED = {
-    "kind": {"table", "view", "source_table", "derived_table"},
-    "role": {"key", "foreign_key", "attribute", "measure", "dimension", "identifier"},
+    "kind": {"source", "derived"},
+    "role": {"key", "dimension", "measure"},
     "cardinality": {"one_to_one", "one_to_many", "many_to_one", "many_to_many"},
-    "relationship_type": {"foreign_key", "derived", "declared"},
+    "relationship_type": {"foreign_key", "semantic"},
 }
 #: Where the ids that a field holds are declared.
 REFERENCES = {
     "columns": {"asset_id": "assets"},
     "relationships": {"source_asset_id": "assets", "target_asset_id": "assets"},
     "transformations": {"target_asset_id": "assets", "input_asset_ids": "assets"},
-    "lineage": {"source_column_id": "columns", "target_column_id": "columns", "transformation_id": "transformations"},
+    "lineage_edges": {"source_column_id": "columns", "target_column_id": "columns", "transformation_id": "transformations"},
     "metrics": {"output_column_id": "columns", "source_asset_ids": "assets"},
 }
 
