@@ -410,7 +410,7 @@ def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     for c, at in members.items():
         at = rng.permutation(at)
         block = pa.table({"cell": pa.array([c] * len(at)), "ca": [0] * len(at), "cb": [0] * len(at), "dims": pa.array([16] * len(at), pa.int32()), "id": pa.array(at), "chunk": [0] * len(at), "weight": [1] * len(at), "vector": pa.array([unit[k].tobytes() for k in at]), "keys": pa.array([keys[k].tolist() for k in at], pa.list_(pa.int64()))})
-        for r in lattice._linked(0.95)(block).to_pylist():
+        for r in lattice._linked(0.95, 6)(block).to_pylist():
             if r["n"] is not None:
                 got[r["a"]] += r["n"]
     assert want.sum() > 100 and got.tolist() == want.tolist()

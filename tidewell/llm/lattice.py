@@ -39,11 +39,11 @@ class Plan(NamedTuple):
     scale: float
 
 
-#: Up to so many different vectors: the plan. Of pairs at a cosine of just 0.95, all of these bring at least 0.99 into a cell.
-PLANS = [(2**16, Plan(8, 2, 4, 0.7)), (2**21, Plan(12, 3, 4, 0.8)), (2**25, Plan(16, 4, 8, 0.8)), (2**30, Plan(20, 5, 8, 0.8)), (2**63, Plan(24, 6, 8, 0.8))]
+#: Up to so many different vectors: the plan. Of pairs at a cosine of just 0.95, all of these bring 0.99 into a cell.
+PLANS = [(2**16, Plan(5, 2, 4, 0.7)), (2**21, Plan(7, 3, 4, 0.8)), (2**25, Plan(9, 4, 8, 0.8)), (2**30, Plan(14, 5, 8, 0.8)), (2**63, Plan(28, 6, 8, 0.8))]
 BLOCK = 2048
 #: Pairs whose keys are compared at once.
-PAIRS = 4000
+PAIRS = 20_000
 
 
 def plan_for(vectors: int) -> Plan:
@@ -152,21 +152,15 @@ def _members(plan: Plan):
     return run
 
 
-def _linked(least: float):
+def _linked(least: float, tables: int):
     def run(block: pa.Table) -> pa.Table:
         cell, ca, cb = (block.column(c)[0].as_py() for c in ("cell", "ca", "cb"))
         ids, chunk, weight = (block.column(c).to_numpy() for c in ("id", "chunk", "weight"))
         unit = _unit(block.column("vector"), block.column("dims")[0].as_py())
         keys = np.stack([np.asarray(k.values) for k in block.column("keys")])
         m = len(ids)
-        links, root, forest = np.zeros(m, np.int64), np.arange(m), []
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = int(root[x])
-            return x
-
+        links, component, forest = np.zeros(m, np.int64), np.arange(m), []
+        keys = keys.reshape(m, tables, -1)  # cells of different tables are different
         for i in range(0, m, 256):
             near = unit[i : i + 256] @ unit.T >= least
             x, y = np.nonzero(near)
@@ -176,16 +170,18 @@ def _linked(least: float):
             first = np.ones(len(x), bool)
             for lo in range(0, len(x), PAIRS):
                 p, q = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
-                same = (keys[p][:, :, None] == keys[q][:, None, :]).any(2)  # the cells of p that q shares
-                first[lo : lo + PAIRS] = np.where(same, keys[p], np.iinfo(np.int64).max).min(1) == cell
+                mine = keys[p]
+                same = (mine[:, :, :, None] == keys[q][:, :, None, :]).any(3)  # the cells of p that q shares
+                first[lo : lo + PAIRS] = np.where(same, mine, np.iinfo(np.int64).max).min((1, 2)) == cell
             x, y = x[first], y[first]
             np.add.at(links, x, weight[y])
             np.add.at(links, y, weight[x])
-            for p, q in zip(x.tolist(), y.tolist(), strict=True):
-                u, v = top(p), top(q)
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-                    forest.append((int(ids[p]), int(ids[q])))
+            rows, start = np.unique(x, return_index=True)
+            for p, lo, hi in zip(rows.tolist(), start.tolist(), [*start.tolist(), len(x)][1:], strict=True):
+                own, others = component[p], component[y[lo:hi]]
+                for c in np.unique(others[others != own]).tolist():
+                    forest.append((int(ids[p]), int(ids[y[lo + int(np.argmax(others == c))]])))
+                    component[component == c] = own
         some = np.flatnonzero(links)
         a = [*ids[some].tolist(), *(p for p, _ in forest)]
         return pa.table({"dims": pa.array([unit.shape[1]] * len(a), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array([None] * len(some) + [q for _, q in forest], pa.int64()), "n": pa.array([*links[some].tolist(), *([None] * len(forest))], pa.int64())})
@@ -202,12 +198,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     # Equal vectors are reduced within each task before they move.
     whole = stored(sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight")).select("mark", "dims", "s.*", "weight"), "classes")
     classes, copies = whole.select("mark", "dims", F.col("id").alias("least"), "weight"), F.col("weight").alias("copies")
-    members = stored(whole.select("id", "weight", "vector", "dims").mapInArrow(_members(plan or plan_for(whole.count())), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
+    plan = plan or plan_for(whole.count())
+    members = stored(whole.select("id", "weight", "vector", "dims").mapInArrow(_members(plan), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
     held = members.select("id", "dims", F.explode(F.array_distinct("keys")).alias("cell"))
     crowd = held.groupBy("cell", "dims").agg(F.count("*").alias("m")).where("m > 1")
     put = held.join(crowd, ["cell", "dims"]).withColumn("chunks", F.ceil(F.col("m") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("m", "chunks", "other")
-    told = stored(put.join(members, ["id", "dims"]).groupBy("cell", "dims", "ca", "cb").applyInArrow(_linked(least), "dims int, a long, b long, n long"), "links")
+    told = stored(put.join(members, ["id", "dims"]).groupBy("cell", "dims", "ca", "cb").applyInArrow(_linked(least, plan.tables), "dims int, a long, b long, n long"), "links")
     counts = told.where("n is not null").groupBy(F.col("a").alias("least"), "dims").agg(F.sum("n").alias("other"))
     of = looked_up(sound.select("id", "mark"), classes.select("mark", "least", copies), ["mark"], "copies", total)
     same = of.groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
