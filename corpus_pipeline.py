@@ -19,9 +19,13 @@ from tidewell.llm.scratch import ship, stored, table
 
 
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """``docs`` without the ids none of whose rows in ``decided`` (doc_id, kept) is kept; only ids are hashed, texts are not sorted."""
-    gone = decided.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the ids none of whose rows in ``decided`` (doc_id, kept) is kept; only ids are hashed, texts are not sorted.
+
+    Rows with a null id find no partner, so they are spread over all tasks.
+    """
+    gone = decided.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select("doc_id", F.lit(0).alias("_spread"))
+    spread = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1000)).cast("int")).otherwise(0)
+    return docs.withColumn("_spread", spread).join(gone.hint("shuffle_hash"), ["doc_id", "_spread"], "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
