@@ -173,6 +173,12 @@ def test_token_files(spark, docs, none, rows, plain):
         at += r.n_tokens
     shard = token_files.Shard(token_files.pack_shard([None, 3, 9], [np.arange(3), np.arange(0), np.arange(70000, 70004)], 4))
     assert shard.spans(1, 3)[0].tolist() == [3, 3] and shard.spans(1, 3)[1].tolist() == [3, 7] and shard.document(2).tolist() == list(range(70000, 70004)) and shard.doc_ids() == [None, 3, 9]
+    many = spark.createDataFrame([(k % 3 if k % 2 else 7, f"text {k}") for k in range(300)] + [(None, "x")] * 50, "doc_id long, text string")
+    crowded = fresh_path(spark, "t")
+    token_files.write_token_files(many, crowded, shard_ids=100)
+    back = sorted(token_files.read_token_files(spark, crowded).collect(), key=lambda r: r.start)
+    assert [-1 if r.doc_id is None else r.doc_id for r in back] == sorted(-1 if r.doc_id is None else r.doc_id for r in many.collect())
+    assert len({r.part for r in spark.read.parquet(crowded).select("part").collect()}) >= 5  # a crowded id fills several ranges
     empty = fresh_path(spark, "t")
     token_files.write_token_files(none, empty)
     assert token_files.read_token_files(spark, empty).count() == 0

@@ -2,13 +2,14 @@
 
 Documents lie in ascending id order over all shards. A shard is a byte string: a head (magic, bytes an id, documents, of which
 the first have a null id, ids, smallest document id), the Elias-Fano codes of the documents' ends and of their ids, then the
-ids with 2 bytes each where the vocabulary allows it, else 4. Texts are encoded where they are read; what is range-sorted by
-document is their ids, about half as many bytes. Spark writes the shards as rows of Parquet files, so that any store works, a
+ids with 2 bytes each where the vocabulary allows it, else 4. Texts are encoded where they are read, once; what is range-sorted by
+document is their ids. The ranges' bounds are quantiles of the document ids, found before; rows of one id that fill several ranges
+are dealt out over these. Spark writes the shards as rows of Parquet files, so that any store works, a
 lost task is written again, and only committed shards are ever seen; ``tokens_before`` of a row counts the ids before it in its
 range of documents. A reader finds documents' places by select, which decodes no boundary but near the wanted ones.
 
-Edge cases: a null text counts as empty and has the end id only; null ids come first; rows that repeat an id are ordered by
-their token ids; an empty table gives no shards and an empty result; other columns are not read.
+Edge cases: a null text counts as empty and has the end id only; null ids come first; rows that repeat an id lie side by side, in
+whatever order; an empty table gives no shards and an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .elias_fano import EliasFano
-from .scratch import fresh_path, ship, stored, table
+from .scratch import fresh_path, ship, table
 from .tokens import tokenizer_path, word_tokenizer
 
 MAGIC = b"TWIDS001"
 _HEAD = struct.Struct("<8sBQQQq")
 #: Ids after which a shard ends; a document is never split.
 SHARD_IDS = 2_000_000
+#: What a null id counts as when ranges are made.
+_NULL = -(2**63)
 
 
 def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], width: int) -> bytes:
@@ -76,7 +79,7 @@ def _width(vocabulary: int, end_id: int | None) -> int:
     return 2 if max(vocabulary, (end_id or 0) + 1) <= 1 << 16 else 4
 
 
-def _encoded(path: str, end_id: int | None):
+def _encoded(path: str, end_id: int | None, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(path)
         kind = "<u2" if _width(tok.vocabulary, end_id) == 2 else "<u4"
@@ -84,7 +87,11 @@ def _encoded(path: str, end_id: int | None):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                yield pa.record_batch([part.column(0), pa.array([np.append(ids, tail).astype(kind).tobytes() for ids in tok.encode(part.column(1))], pa.binary())], ["id", "ids"])
+                coded = [np.append(ids, tail).astype(kind).tobytes() for ids in tok.encode(part.column(1))]
+                key = part.column(0).fill_null(_NULL).to_numpy()
+                low, high = np.searchsorted(bounds, key), np.searchsorted(bounds, key, "right")
+                chosen = low + np.fromiter(map(zlib.crc32, coded), np.int64, len(coded)) % (high - low + 1)
+                yield pa.record_batch([part.column(0), pa.array(chosen.astype(np.int32)), pa.array(coded, pa.binary())], ["id", "range", "ids"])
 
     return run
 
@@ -114,10 +121,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Write the ids of every text, each with ``end_id`` behind it (none if that is None), to shards under ``path``."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = stored(rows.mapInArrow(_encoded(tokenizer or tokenizer_path(), end_id), "id long, ids binary"), "ids")  # a table, as the range sort samples it before it reads it
-    ordered = ids.repartitionByRange("id", F.xxhash64("ids")).sortWithinPartitions("id", F.xxhash64("ids"), "ids")
-    width = _width(word_tokenizer(tokenizer or tokenizer_path()).vocabulary, end_id)
-    ordered.mapInArrow(_writer(width, shard_ids), "part int, tokens_before long, n_tokens long, shard binary").write.parquet(path)
+    file, ranges = tokenizer or tokenizer_path(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = F.percentile_approx(F.coalesce("id", F.lit(_NULL)), [k / ranges for k in range(1, ranges)] or [0.5], 20 * max(ranges, 500))
+    bounds = np.array(rows.agg(cuts).first()[0] or [], np.int64)[: ranges - 1]
+    ordered = rows.mapInArrow(_encoded(file, end_id, bounds), "id long, range int, ids binary").repartitionById(ranges, "range").sortWithinPartitions("id", "ids").select("id", "ids")
+    ordered.mapInArrow(_writer(_width(word_tokenizer(file).vocabulary, end_id), shard_ids), "part int, tokens_before long, n_tokens long, shard binary").write.parquet(path)
 
 
 def _reader(bases: dict[int, int]):
