@@ -17,7 +17,7 @@ from tidewell import cli
 from tidewell.config import ConfigError, Settings
 from tidewell.functions.embedding import HashEmbedding, bucket, embedding_provider, point_id, sign
 from tidewell.operators.documents import semantic_documents
-from tidewell.operators.lineage import lineage
+from tidewell.operators.lineage import lineage, walk
 from tidewell.operators.retrieval import IndexSummary, IndexUnavailable, VectorIndex, reconcile, retrieval_metrics, search_all, validate_index
 from tidewell.plans import e2e, evaluation, explore, physical, registry, render, warehouse
 from tidewell.plans.explore import Explorer
@@ -87,12 +87,31 @@ def test_catalog_integrity(tmp_path):
 
 
 def test_lineage_order_depth_and_cycles(spark):
-    edges = spark.createDataFrame([(0, "e0", "b", "a", "t", "x"), (1, "e1", "c", "a", "t", "x"), (2, "e2", "d", "c", "t", "x"), (3, "e3", "a", "b", "t", "x"), (4, "e4", "d", "b", "t", "x")], "ord int, id string, source_column_id string, target_column_id string, transformation_id string, operation string")
-    order = lambda **k: [r.id for r in lineage(edges, "a", **k).orderBy("seq").collect()]
+    names = ("id", "source_column_id", "target_column_id", "transformation_id", "operation")
+    rows = [("e0", "b", "a", "t", "x"), ("e1", "c", "a", "t", "x"), ("e2", "d", "c", "t", "x"), ("e3", "a", "b", "t", "x"), ("e4", "d", "b", "t", "x")]
+    edges = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "ord int, " + ", ".join(f"{n} string" for n in names))
+    order = lambda at="a", **k: [r.id for r in lineage(edges, at, **k).orderBy("seq").collect()]
     assert order() == ["e0", "e1", "e3", "e4", "e2"]
     assert order(max_depth=1) == ["e0", "e1"]
     assert order(max_depth=0) == []
-    assert [r.id for r in lineage(edges, "d", upstream=False, max_depth=1).orderBy("seq").collect()] == ["e2", "e4"]
+    assert order("d", upstream=False, max_depth=1) == ["e2", "e4"]
+    records = [dict(zip(names, r, strict=True)) for r in rows]
+    assert order(max_depth=9) == [e["id"] for e in walk(records, "a", True, 9)]
+    assert order("d", upstream=False) == [e["id"] for e in walk(records, "d", False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6)), max_size=14), st.integers(0, 5))
+def test_walk_equals_a_queue(pairs, depth):
+    edges = [{"id": f"e{k}", "source_column_id": str(a), "target_column_id": str(b)} for k, (a, b) in enumerate(pairs)]
+    queue, seen = [("0", 0)], []
+    while queue:
+        column, d = queue.pop(0)
+        for e in edges if d < depth else []:
+            if e["target_column_id"] == column and e not in seen:
+                seen.append(e)
+                queue.append((e["source_column_id"], d + 1))
+    assert [e["id"] for e in walk(edges, "0", True, depth)] == [e["id"] for e in seen]
 
 
 def test_hashes_equal_plain_python(spark):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators.lineage import lineage
+from tidewell.operators.lineage import walk
 from tidewell.operators.retrieval import VectorIndex
 from tidewell.sources.catalog import Catalog
 
@@ -78,7 +78,6 @@ def evidence_assets(evidence: DataFrame, catalog: Catalog) -> DataFrame:
 class Explorer:
     def __init__(self, spark: SparkSession, catalog: Catalog, index: VectorIndex):
         self.spark, self.catalog, self.index = spark, catalog, index
-        self.edges = catalog.frame(spark, "lineage_edges")
         self.assets, self.columns, self.metrics = (catalog.by_id(k) for k in ("assets", "columns", "metrics"))
 
     def retrieve(self, question: str, limit: int = 8) -> list[dict]:
@@ -136,6 +135,6 @@ class Explorer:
     def lineage(self, request: str, evidence: list[dict] | None = None, limit: int = 8, max_depth: int = 5) -> Lineage:
         evidence = self.retrieve(request, limit) if evidence is None else evidence
         column, metric = self.target(request, evidence)
-        edges = lineage(self.edges, column, True, max_depth).orderBy("seq").collect()
-        assets = list(dict.fromkeys(self.columns[c]["asset_id"] for c in [column, *(x for e in edges for x in (e.source_column_id, e.target_column_id))]))
+        edges = walk(self.catalog.lineage_edges, column, True, max_depth)
+        assets = list(dict.fromkeys(self.columns[c]["asset_id"] for c in [column, *(e[k] for e in edges for k in ("source_column_id", "target_column_id"))]))
         return Lineage(request, column, metric, edges, self.summaries(assets), self.relationships(assets), evidence)

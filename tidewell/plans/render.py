@@ -23,7 +23,7 @@ def discovery(found: Discovery) -> str:
 
 def lineage(found: Lineage) -> str:
     metric = [f"Metric: {found.metric['name']}", f"Definition: {found.metric['definition']}"] if found.metric else []
-    edges = [f"`{e.source_column_id}` → `{e.target_column_id}` ({e.operation})" for e in found.edges]
+    edges = [f"`{e['source_column_id']}` → `{e['target_column_id']}` ({e['operation']})" for e in found.edges]
     return "\n".join(
         [
             "Data lineage",
