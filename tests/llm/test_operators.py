@@ -260,7 +260,8 @@ def test_bpe_tree(docs, none, rows):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     tree = bpe_tree.TreeEncoder(bpe_tree.ranks_path(), public_tokenizers.PATTERN, leaf=4)
     parts = ["a", "the", " ", "  ", "\n", "'", "'re", "s", "9", "é", "!!", "中", " b", "　", "\x1c"]
-    for _ in range(500):
+    parts += ["。", ".", "，", "中中", "\r\n", "\t", "ひ", "한", "\u2028", "\xa0", "1"]
+    for _ in range(1500):
         s = "".join(RNG.choice(parts) for _ in range(RNG.randint(0, 60)))
         ids = tree.encode(s)
         assert ids == enc.encode_ordinary(s) and tree.decode(ids) == s.encode()
