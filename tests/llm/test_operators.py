@@ -573,3 +573,28 @@ def test_a_filter_passes_all_that_is_in_it(spark, monkeypatch):
     outside = np.array([r.h for r in spark.range(1000, 6000).select(F.xxhash64("id").alias("h")).collect()])
     assert spread.passes(inside, bits).all() and spread.passes(outside, bits).mean() < 0.15
     assert not spread.passes(outside, spread.hash_filter(spark.range(0).select(F.xxhash64("id").alias("h")), 0)).any()
+
+
+def test_licenses_of_repeated_null_and_very_long_rows(spark):
+    mit, filler = licenses.TEMPLATES["MIT"], " ".join(RNG.choice(WORDS) for _ in range(120_000))
+    rows = [(None, mit, 1), (1, mit, 2), (1, mit, 2), (2, f"{filler} {mit} {filler} {mit}", 3), (3, "sublicense " * 20_000, 4)]
+    out = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, license int")).collect()
+    n = len(licenses.words_of(filler))
+    assert Counter((r.doc_id, r.license, r.first_word) for r in out) == Counter({(None, "MIT", 0): 1, (1, "MIT", 0): 2, (2, "MIT", n): 1, (2, "MIT", 2 * n + len(licenses.words_of(mit))): 1})
+
+
+def test_language_id_of_long_texts_and_repeated_ids(spark):
+    rows = [(k, t, lang) for k, t, lang in _labelled(3, 20, 5)] + [(4, "der die das", "l000"), (4, "the of and", "l001"), (4, "the of and", "l001")]
+    long = " ".join(rows[1][1] for _ in range(20_000))
+    df = spark.createDataFrame([*rows, (900, long, None), (None, rows[2][1], "l002")], "doc_id long, text string, lang string")
+    out = langid.predict(df, langid.fit(df)).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in df.select("doc_id").collect())
+    assert {r.lang_pred for r in out if r.doc_id in (900, 1)} == {"l001"} and [r.lang_pred for r in out if r.doc_id is None] == ["l002"]
+
+
+def test_warc_of_a_large_payload(spark):
+    html = "".join(RNG.choice(["<p>é", "\r\n", "\n", "WARC/1.0\r\nContent-Length: 7\r\n\r\n", "x" * 500]) for _ in range(30_000))
+    path = fresh_path(spark, "w")
+    warc.write_archives(spark.createDataFrame([(1, "u", html), (2, "u", "y" * 3_000_000)], "page_id long, url string, html string"), path)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, path).collect()}
+    assert got == {k: (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for k, b in ((1, html.encode()), (2, b"y" * 3_000_000))}
