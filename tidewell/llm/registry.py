@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, exact_dedup, jaccard_join, langid, lattice, licenses, line_dedup, packing, token_files, warc
+from . import bpe_tree, exact_dedup, jaccard_join, langid, lattice, licenses, line_dedup, packing, pieces, resampling, token_files, warc, whitening
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,5 +15,15 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_lattice_near_dedup": lattice.op9_lattice_near_dedup,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_sentence_pieces": pieces.op13_sentence_pieces,
+}
+ORACLE_SQL = {
+    "op4_warc": warc.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_line_dedup": line_dedup.ORACLE,
+    "op9_lattice_near_dedup": lattice.ORACLE,
+    "op10_jaccard_join": jaccard_join.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
 }
-ORACLE_SQL = {"op4_warc": warc.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_lattice_near_dedup": lattice.ORACLE, "op10_jaccard_join": jaccard_join.ORACLE}
