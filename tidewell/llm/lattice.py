@@ -9,8 +9,8 @@ whatever the order of the rows, so a link is counted once without listing the pa
 and a forest of links. Equal vectors are one class with a weight, and a crowded cell is compared in blocks.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
-component; vectors of different lengths don't link; a repeated id stands for one vector per row with the same id, whose
-rows share a component; a null id has a null component; an empty table gives an empty result; other columns are not read.
+component; vectors of different lengths don't link; rows of a repeated id are vectors of their own, each with its own links, that
+share a component; a null id has a null component; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -195,23 +195,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     found = stored(rows.mapInArrow(_marked, "id long, mark binary, vector binary, dims int"), "vectors")
     sound, total = found.where("id is not null and mark is not null"), found.count()
-    # Equal vectors are reduced within each task before they move.
-    whole = stored(sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight")).select("mark", "dims", "s.*", "weight"), "classes")
-    classes, copies = whole.select("mark", "dims", F.col("id").alias("least"), "weight"), F.col("weight").alias("copies")
-    plan = plan or plan_for(whole.count())
-    members = stored(whole.select("id", "weight", "vector", "dims").mapInArrow(_members(plan), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
+    # Equal vectors are reduced within each task before they move. A class has a number of its own: several may have the same least id.
+    whole = sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight"))
+    whole = stored(whole.select(F.monotonically_increasing_id().alias("key"), "mark", "dims", "s.*", "weight"), "classes")
+    classes = whole.select("mark", "key", F.col("id").alias("least"), "weight")
+    count = whole.count()
+    plan = plan or plan_for(count)
+    members = stored(whole.select(F.col("key").alias("id"), "weight", "vector", "dims").mapInArrow(_members(plan), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
     held = members.select("id", "dims", F.explode(F.array_distinct("keys")).alias("cell"))
     crowd = held.groupBy("cell", "dims").agg(F.count("*").alias("m")).where("m > 1")
     put = held.join(crowd, ["cell", "dims"]).withColumn("chunks", F.ceil(F.col("m") / BLOCK)).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     put = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1))).withColumn("ca", F.least("chunk", "other")).withColumn("cb", F.greatest("chunk", "other")).drop("m", "chunks", "other")
     told = stored(put.join(members, ["id", "dims"]).groupBy("cell", "dims", "ca", "cb").applyInArrow(_linked(least, plan.tables), "dims int, a long, b long, n long"), "links")
-    counts = told.where("n is not null").groupBy(F.col("a").alias("least"), "dims").agg(F.sum("n").alias("other"))
-    of = looked_up(sound.select("id", "mark"), classes.select("mark", "least", copies), ["mark"], "copies", total)
-    same = of.groupBy("id").agg(F.min("least").alias("first"), F.max("least").alias("last")).where("first <> last")
-    repeated = of.join(same, "id").select(F.col("least").alias("a"), F.col("first").alias("b"))
-    joined = components(told.where("b is not null").select("a", "b").union(repeated))
-    linked = classes.join(counts, ["least", "dims"], "left").join(joined, F.col("least") == F.col("node"), "left")
-    linked = stored(linked.select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("c"), copies), "linked")
+    counts = told.where("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("other"))
+    # Classes that an id has in common are in one component, linked or not.
+    of = looked_up(sound.select("id", "mark"), classes.select("mark", "key", F.col("weight").alias("copies")), ["mark"], "copies", total).select("id", "key").distinct()
+    same = of.groupBy("id").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("m")).where("first <> last")
+    repeated = looked_up(of, same.select("id", "first", "m"), ["id"], "m", total, "inner").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    joined = components(told.where("b is not null").select("a", "b").union(repeated.where("a <> b")))
+    grouped = classes.join(joined, F.col("key") == F.col("node"), "left").select("mark", "key", "least", "weight", F.coalesce("component", "key").alias("group"))
+    names = grouped.groupBy("group").agg(F.min("least").alias("c"), F.count("*").alias("m"))
+    named = looked_up(grouped, names, ["group"], "m", count)
+    linked = stored(named.join(counts, "key", "left").select("mark", (F.coalesce("other", F.lit(0)) + F.col("weight") - 1).alias("n"), "c", F.col("weight").alias("copies")), "linked")
     out = looked_up(found.select("id", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")), linked, ["mark"], "copies", total)
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id")).withColumn("kept", F.col(id_col) == F.col("component_id"))
 
