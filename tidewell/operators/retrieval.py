@@ -6,13 +6,18 @@ import json
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.embedding import EmbeddingProvider, cosine, point_id
 
-#: Queries that ``search_all`` takes at once; each is compared with the whole index, in one pass over it.
+#: Queries that ``search_all`` broadcasts at most; more of them meet the index in blocks.
 MOST_QUERIES = 1000
+#: Queries of a block, and vectors of the index.
+QUERY_BLOCK, INDEX_BLOCK = 4096, 32_768
 #: Scores that agree in so many decimals are equal, so that ranks don't depend on the order of a sum.
 DECIMALS = 12
 
@@ -143,16 +148,69 @@ def search(index: DataFrame, query_vector: list[float], limit: int = 5, **filter
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "document_id")))  # ``limit`` rows
 
 
-def search_all(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(case_id, document_id, score, rank) for a stated set of queries (case_id, embedding), all in one pass over the index.
+def search_all(index: DataFrame, queries: DataFrame, limit: int, most_broadcast: int = MOST_QUERIES) -> DataFrame:
+    """(case_id, document_id, score, rank) for a stated set of queries (case_id, embedding), each against the whole index.
 
-    The queries are broadcast, so their number is checked. Each task keeps its own nearest of each query before anything moves.
+    Queries up to ``most_broadcast`` are broadcast, in one pass over the index. More are dealt into blocks, as the index is, and each pair
+    of blocks is a task's work. Each task keeps its own nearest of each query before anything moves. A repeated case_id counts as one
+    query for each different vector that it has.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; give more in lots")
-    scored = index.select("document_id", "embedding").join(F.broadcast(queries.withColumnRenamed("embedding", "q"))).select("case_id", "document_id", F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), DECIMALS).alias("score"))
-    best = Window.partitionBy("case_id").orderBy(F.desc("score"), "document_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    queries = queries.select("case_id", F.col("embedding").cast("array<double>").alias("q")).distinct()
+    n = queries.count()
+    if n <= most_broadcast:
+        score = F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), DECIMALS)
+        near = index.select("document_id", "embedding").join(F.broadcast(queries)).select("case_id", F.xxhash64("q").alias("of"), "document_id", score.alias("score"))
+    else:
+        near = _near_by_blocks(index, queries, n, limit)
+    best = Window.partitionBy("case_id", "of").orderBy(F.desc("score"), "document_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("of")
+
+
+def _near_by_blocks(index: DataFrame, queries: DataFrame, n: int, limit: int) -> DataFrame:
+    """(case_id, of, document_id, score): each query's nearest in every block of the index."""
+    q_blocks, i_blocks = -(-n // QUERY_BLOCK), -(-index.count() // INDEX_BLOCK)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(1, k) - 1)))
+    dealt = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(max(1, k)))
+    asked = queries.select("case_id", F.xxhash64("q").alias("of"), "q", dealt(q_blocks, "case_id", "q").cast("int").alias("qb"), every(i_blocks).alias("ib"))
+    held = index.select("document_id", F.col("embedding").cast("array<double>").alias("v"), dealt(i_blocks, "document_id", "embedding").cast("int").alias("ib"), every(q_blocks).alias("qb"))
+    kinds = f"case_id {queries.schema['case_id'].dataType.simpleString()}, of long, document_id {index.schema['document_id'].dataType.simpleString()}, score double"
+    return asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInArrow(_nearest(limit), kinds)
+
+
+def _unit(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length: the rows of it, and their vectors over their lengths; a vector without a direction is one of zeros."""
+    lists = [np.array([np.nan if c is None else c for c in v or []], np.float64) for v in vectors.to_pylist()]
+    out = {}
+    for d in {len(v) for v in lists}:
+        rows = np.array([k for k, v in enumerate(lists) if len(v) == d])
+        x = np.stack([lists[k] for k in rows])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = x / np.sqrt((x * x).sum(1, keepdims=True))
+        out[d] = rows, np.where(np.isfinite(x).all(1, keepdims=True), x, 0.0)
+    return out
+
+
+def _nearest(limit: int):
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b, score = [], [], []
+        if asked.num_rows and held.num_rows:
+            order = np.argsort(pc.rank(held.column("document_id"), tiebreaker="first").to_numpy(), kind="stable")  # so that ties go by id
+            held = held.take(pa.array(order))
+            known = _unit(held.column("v"))
+            for d, (rows, x) in _unit(asked.column("q")).items():
+                for i in range(0, len(rows), 256):
+                    every = np.zeros((len(rows[i : i + 256]), held.num_rows))  # vectors of other lengths are as near as none
+                    if d in known:
+                        every[:, known[d][0]] = np.round(x[i : i + 256] @ known[d][1].T, DECIMALS)
+                    first = np.argsort(-every, axis=1, kind="stable")[:, :limit]
+                    a.append(np.repeat(rows[i : i + 256], first.shape[1]))
+                    b.append(first.ravel())
+                    score.append(np.take_along_axis(every, first, 1).ravel())
+        flat = lambda parts, kind: pa.array(np.concatenate([*parts, np.zeros(0, kind)]))
+        a, b = flat(a, np.int64), flat(b, np.int64)
+        return pa.table({"case_id": asked.column("case_id").take(a), "of": asked.column("of").take(a), "document_id": held.column("document_id").take(b), "score": flat(score, np.float64)})
+
+    return run
 
 
 def case_metrics(ranked: DataFrame, relevant: DataFrame) -> DataFrame:

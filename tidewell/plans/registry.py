@@ -11,7 +11,7 @@ from tidewell.functions.embedding import HashEmbedding, bucket, cosine, point_id
 from tidewell.operators.documents import semantic_documents
 from tidewell.operators.lineage import lineage
 from tidewell.operators.retrieval import VectorIndex, case_metrics, reconcile, retrieval_metrics, search, search_all
-from tidewell.plans import e2e, evaluation, guard, oracles, physical, warehouse
+from tidewell.plans import analytics, e2e, evaluation, guard, oracles, physical, warehouse
 from tidewell.plans.explore import Explorer, evidence_assets, shared_terms
 from tidewell.plans.planner import TemplatePlanner, intent_column
 from tidewell.plans.workflow import Workflow
@@ -161,6 +161,13 @@ BOUNDS = [
     ("SELECT c_customer_id FROM raw.customer LIMIT 7;", "SELECT c_customer_id FROM raw.customer LIMIT 7"),
     ("SELECT c_customer_id FROM raw.customer LIMIT 1000 OFFSET 3", "SELECT c_customer_id FROM raw.customer LIMIT 25 OFFSET 3"),
     ("SELECT c_customer_id FROM raw.customer OFFSET 3", "SELECT c_customer_id FROM raw.customer LIMIT 25 OFFSET 3"),
+    ("SELECT c_customer_id FROM raw.customer LIMIT 400 -- x", "SELECT * FROM (\nSELECT c_customer_id FROM raw.customer LIMIT 400 -- x\n) LIMIT 25"),
+    ("SELECT c_customer_id FROM raw.customer LIMIT 400 /* y */", "SELECT * FROM (\nSELECT c_customer_id FROM raw.customer LIMIT 400 /* y */\n) LIMIT 25"),
+    ("SELECT c_customer_id FROM raw.customer LIMIT (400)", "SELECT * FROM (\nSELECT c_customer_id FROM raw.customer LIMIT (400)\n) LIMIT 25"),
+    ("(SELECT c_customer_id FROM raw.customer LIMIT 400)", "(SELECT c_customer_id FROM raw.customer LIMIT 400) LIMIT 25"),
+    ("WITH a AS (SELECT c_customer_id FROM raw.customer) (SELECT c_customer_id FROM a LIMIT 400)", "WITH a AS (SELECT c_customer_id FROM raw.customer) (SELECT c_customer_id FROM a LIMIT 400) LIMIT 25"),
+    ("SELECT c_customer_id FROM raw.customer OFFSET 3 -- z", "SELECT * FROM (\nSELECT c_customer_id FROM raw.customer OFFSET 3 -- z\n) LIMIT 25"),
+    ("SELECT c_customer_id FROM raw.customer WHERE c_customer_id <> '; LIMIT 3'", "SELECT c_customer_id FROM raw.customer WHERE c_customer_id <> '; LIMIT 3' LIMIT 25"),
 ]
 
 
@@ -191,6 +198,24 @@ def _guarded(s: SparkSession, d: str) -> DataFrame:
     return _rows(s, done.rows, "calendar_year long, most decimal(38,2), customers long").select(*done.columns)
 
 
+_REVENUE = "analytics.customer_revenue_yearly"
+#: More guarded statements that DuckDB runs as well: lateral, null-aware anti, semi and outer joins, groupings and windows.
+GUARDED_FORMS = {
+    "guarded_lateral": f"SELECT c.c_customer_sk, t.calendar_year, t.total_net_paid FROM raw.customer AS c, LATERAL (SELECT calendar_year, total_net_paid FROM {_REVENUE} AS r WHERE r.customer_sk = c.c_customer_sk ORDER BY total_net_paid DESC, calendar_year LIMIT 3) AS t ORDER BY c.c_customer_sk, t.total_net_paid DESC, t.calendar_year LIMIT 90",
+    "guarded_not_in": f"SELECT c_customer_sk FROM raw.customer WHERE c_customer_sk NOT IN (SELECT customer_sk FROM {_REVENUE} WHERE total_net_paid > 300000) ORDER BY c_customer_sk LIMIT 60",
+    "guarded_semi_anti": f"SELECT c.c_customer_sk FROM raw.customer AS c LEFT SEMI JOIN (SELECT customer_sk FROM {_REVENUE} WHERE total_net_paid > 100000) AS r ON r.customer_sk = c.c_customer_sk LEFT ANTI JOIN (SELECT customer_sk FROM {_REVENUE} WHERE calendar_year = 1995) AS x ON x.customer_sk = c.c_customer_sk ORDER BY c.c_customer_sk LIMIT 60",
+    "guarded_full_join": f"SELECT coalesce(a.customer_sk, b.customer_sk) AS customer_sk, a.total_net_paid AS early, b.total_net_paid AS late FROM (SELECT * FROM {_REVENUE} WHERE calendar_year = 1994) AS a FULL OUTER JOIN (SELECT * FROM {_REVENUE} WHERE calendar_year = 1995) AS b ON a.customer_sk = b.customer_sk ORDER BY 1 LIMIT 80",
+    "guarded_rollup": f"SELECT calendar_year, customer_sk < 100 AS small, CAST(grouping(calendar_year) AS BIGINT) AS g, sum(web_net_paid) AS s, count(*) AS n FROM {_REVENUE} GROUP BY GROUPING SETS ((calendar_year, customer_sk < 100), (calendar_year), ()) ORDER BY g, calendar_year, n LIMIT 50",
+    "guarded_window": f"SELECT customer_sk, calendar_year, sum(total_net_paid) OVER (PARTITION BY customer_sk ORDER BY calendar_year ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS two, sum(total_net_paid) OVER (PARTITION BY customer_sk ORDER BY calendar_year RANGE BETWEEN 2 PRECEDING AND CURRENT ROW) AS three_years, CAST(dense_rank() OVER (PARTITION BY calendar_year ORDER BY total_net_paid DESC) AS BIGINT) AS place FROM {_REVENUE} ORDER BY customer_sk, calendar_year LIMIT 80",
+}
+
+
+def _guarded_form(s: SparkSession, d: str, name: str) -> DataFrame:
+    _warehouse(s, d)
+    checked = guard.validate_sql(s, GUARDED_FORMS[name], _allowed(s))
+    return s.createDataFrame(guard.execute(s, checked, 300).rows, checked.plan.schema)
+
+
 def _capped(s: SparkSession, d: str) -> DataFrame:
     _warehouse(s, d)
     done = guard.execute(s, guard.validate_sql(s, "SELECT c_customer_sk FROM raw.customer ORDER BY c_customer_sk", _allowed(s), 7), 300)
@@ -351,6 +376,8 @@ QUERIES = {
     "guarded_star": _star,
     "workflow_routes": _routes,
     "e2e_stages": _staged,
+    **{name: functools.partial(_guarded_form, name=name) for name in GUARDED_FORMS},
+    **analytics.QUERIES,
 }
 
 
@@ -448,6 +475,8 @@ UNION ALL SELECT 2, t.n - l.n, l.n, t.n - l.n FROM t, l UNION ALL SELECT 3, 0, k
         "guarded_star": f"SELECT datediff('day', DATE '1970-01-01', d)::BIGINT AS d_date_sk, d AS d_date, year(d)::BIGINT AS d_year FROM ({days}) AS x ORDER BY d LIMIT 40",
         "workflow_routes": f"SELECT question, CASE k WHEN 0 THEN 'discovery' WHEN 1 THEN 'lineage' ELSE 'analysis' END AS intent, 8 AS documents, k = 2 AS has_sql, k > 0 AS has_lineage, CASE k WHEN 2 THEN 3 ELSE 0 END AS answers FROM {o.values(list(enumerate(QUESTIONS[:3])), 'k, question')}",
         "e2e_stages": o.select([(k, name, "passed") for k, name in enumerate(e2e.STAGES)], "k, name, status"),
+        **{name: sql.replace(_REVENUE, f"({o.REVENUE})").replace("raw.customer", "(SELECT c_custkey AS c_customer_sk FROM customer)").replace("LEFT SEMI", "SEMI").replace("LEFT ANTI", "ANTI") for name, sql in GUARDED_FORMS.items()},
+        **analytics.ORACLE_SQL,
     }
 
 
