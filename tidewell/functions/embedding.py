@@ -79,7 +79,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where there is none: a vector is null, zero or of another length than the other, or holds nulls or what isn't a finite number."""
+    told = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when(~F.isnan(told), told)
 
 
 PROVIDERS = {"hash": HashEmbedding}

@@ -18,6 +18,8 @@ from tidewell.functions.embedding import EmbeddingProvider, cosine, point_id
 MOST_QUERIES = 1000
 #: Queries of a block, and vectors of the index.
 QUERY_BLOCK, INDEX_BLOCK = 4096, 32_768
+#: Segments of an index before they are compacted, and pointers whose segments are kept then, for readers that have begun with them.
+MOST_SEGMENTS, KEPT = 8, 2
 #: Scores that agree in so many decimals are equal, so that ranks don't depend on the order of a sum.
 DECIMALS = 12
 
@@ -36,81 +38,153 @@ class IndexSummary:
 class VectorIndex:
     """Documents and their vectors under ``path``/``name``, in a store that Spark reads and writes.
 
-    Every change writes a new version and then a new pointer to it, so readers see a whole index, the old one or the new one.
-    Only this index's own folder is ever written to.
+    The index is a list of segments: a base, and later ones that put points anew or take them out. A change writes a segment that holds only
+    what has changed, and then a new pointer to the list, so readers see a whole index, the old one or the new one. Documents are told apart by a digest of all
+    their columns and the model's name, and only those whose digest is new are embedded. When segments are many they are
+    compacted into a base, and what the last KEPT pointers don't name is deleted. A writer that finds its pointer's number taken by another
+    fails and changes nothing. Only this index's own folder is ever written to.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, provider: EmbeddingProvider):
-        self.spark, self.name, self.provider = spark, name, provider
+    def __init__(self, spark: SparkSession, path: str, name: str, provider: EmbeddingProvider, most_segments: int = MOST_SEGMENTS):
+        self.spark, self.name, self.provider, self.most_segments = spark, name, provider, most_segments
         self.folder = f"{path.rstrip('/')}/{name}"
 
-    def _files(self):
+    def _files(self, below: str = ""):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{below}" if below else self.folder)
         return jvm, path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _latest(self) -> int:
-        """The number of the last pointer that was written whole; 0 if there is none."""
-        jvm, path, fs = self._files()
-        pointers = jvm.org.apache.hadoop.fs.Path(path, "pointers")
-        if not fs.exists(pointers):
-            return 0
-        done = [f.getPath().getName() for f in fs.listStatus(pointers) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
-        return max(map(int, done), default=0)
+    def _pointers(self) -> list[int]:
+        """The numbers of the pointers that were written whole."""
+        jvm, path, fs = self._files("pointers")
+        if not fs.exists(path):
+            return []
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
 
     def exists(self) -> bool:
-        return self._latest() > 0
+        return bool(self._pointers())
 
-    def _state(self) -> dict:
-        if not (n := self._latest()):
+    def _state(self, n: int | None = None) -> dict:
+        if n is None and not (told := self._pointers()):
             raise IndexUnavailable(f"there is no index {self.name!r}; index the catalog first")
-        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{n}", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.folder}/pointers/{n or told[-1]}", wholetext=True).first()[0])
 
-    def _point(self, version: str | None) -> None:
-        told = json.dumps({"version": version, "dimensions": self.provider.dimensions, "distance": "cosine", "model": self.provider.model_name})
-        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.folder}/pointers/{self._latest() + 1}")
+    def _point(self, segments: list[str], points: int, embedded: int = 0, removed: int = 0) -> None:
+        told = json.dumps({"segments": segments, "points": points, "embedded": embedded, "removed": removed, "dimensions": self.provider.dimensions, "distance": "cosine", "model": self.provider.model_name})
+        n = max(self._pointers(), default=0) + 1
+        self.spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(f"{self.folder}/pointers/{n}")
 
     def create(self) -> None:
         """Make an empty index; one that is there is left as it is."""
         if not self.exists():
-            self._point(None)
+            self._point([], 0)
+
+    def history(self) -> list[dict]:
+        """What each pointer that is still there told: segments, points, documents embedded and points removed by that change."""
+        return [self._state(n) for n in self._pointers()]
+
+    def _live(self, columns: list[str] | None = None) -> DataFrame | None:
+        """The points of all segments, with only these columns (the id beside them); null if there is no segment."""
+        segments = self._state()["segments"]
+        if not segments:
+            return None
+        read = lambda k: self.spark.read.parquet(f"{self.folder}/{segments[k]}")
+        pick = lambda df: df if columns is None else df.select("point_id", *[c for c in columns if c in df.columns], "_live")
+        rows = pick(read(0))
+        if len(segments) > 1:
+            later = pick(read(1)).withColumn("_seq", F.lit(1))
+            for k in range(2, len(segments)):
+                later = later.unionByName(pick(read(k)).withColumn("_seq", F.lit(k)), allowMissingColumns=True)
+            # Of the changes to a point the last counts; they are few beside the base.
+            last = later.groupBy("point_id").agg(F.max_by(F.struct(*[c for c in later.columns if c not in ("point_id", "_seq")]), "_seq").alias("r")).select("point_id", "r.*")
+            rows = rows.join(last.select("point_id"), "point_id", "left_anti").unionByName(last, allowMissingColumns=True)
+        return rows.where("_live").drop("_live")
 
     def points(self) -> DataFrame | None:
         """The indexed documents, null if there are none yet."""
-        version = self._state()["version"]
-        return None if version is None else self.spark.read.parquet(f"{self.folder}/{version}")
+        live = self._live()
+        return None if live is None else live.drop("_digest")
 
     def point_ids(self) -> DataFrame:
-        points = self.points()
-        return self.spark.createDataFrame([], "point_id string") if points is None else points.select("point_id")
+        live = self._live([])
+        return self.spark.createDataFrame([], "point_id string") if live is None else live.select("point_id")
 
     def summary(self) -> IndexSummary:
         return IndexSummary(self.name, self._state()["dimensions"], self.point_ids().count())
 
-    def _put(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex[:12]}"
-        rows.write.parquet(f"{self.folder}/{version}")
-        self._point(version)
+    def _change(self, put: DataFrame | None, gone: DataFrame | None, points: int, embedded: int, removed: int) -> None:
+        """Write a segment of points to put and ids to take out, and point to it."""
+        rows = None if put is None else put.withColumn("_live", F.lit(True))
+        if gone is not None:
+            dead = gone.select("point_id", F.lit(False).alias("_live"))
+            rows = dead if rows is None else rows.unionByName(dead, allowMissingColumns=True)
+        segments, made = self._state()["segments"], f"s-{uuid.uuid4().hex[:12]}"
+        rows.write.parquet(f"{self.folder}/{made}")
+        self._point([*segments, made], points, embedded, removed)
+        if len(segments) + 1 > self.most_segments:
+            self.compact()
+
+    def compact(self) -> None:
+        """Write all points as one segment, and delete what the last KEPT pointers don't name."""
+        live = self._live()
+        if live is not None:
+            made = f"s-{uuid.uuid4().hex[:12]}"
+            live.withColumn("_live", F.lit(True)).write.parquet(f"{self.folder}/{made}")
+            self._point([made], self._state()["points"])
+        numbers = self._pointers()
+        named = {s for n in numbers[-KEPT:] for s in self._state(n)["segments"]}
+        jvm, path, fs = self._files()
+        for f in fs.listStatus(path):
+            if f.getPath().getName().startswith("s-") and f.getPath().getName() not in named:
+                fs.delete(f.getPath(), True)
+        for n in numbers[:-KEPT]:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"pointers/{n}"), True)
 
     def delete(self, stale: DataFrame) -> int:
         """Take out the points whose ids ``stale`` (point_id) holds; how many these were."""
-        points = self.points()
-        if points is None:
-            return 0
-        n = points.join(stale, "point_id", "left_semi").count()
+        gone = self.point_ids().join(stale.select("point_id"), "point_id", "left_semi")
+        n = gone.count()
         if n:
-            self._put(points.join(stale, "point_id", "left_anti"))
+            self._change(None, gone, self._state()["points"] - n, 0, n)
         return n
 
+    def upsert(self, docs: DataFrame) -> int:
+        """Put these documents and leave all others as they are; how many were embedded, as they were new or had changed."""
+        return self._reconcile(docs, exactly=False)["embedded"]
+
     def index(self, docs: DataFrame) -> dict[str, int]:
         """Make the index hold exactly these documents; counts: documents_indexed, documents_deleted, points_total."""
+        told = self._reconcile(docs, exactly=True)
+        return {"documents_indexed": docs.count(), "documents_deleted": told["removed"], "points_total": told["points"]}
+
+    def _reconcile(self, docs: DataFrame, exactly: bool) -> dict[str, int]:
         self.create()
         if (known := self._state()["dimensions"]) != self.provider.dimensions:
             raise IndexUnavailable(f"the index has {known} dimensions, the provider {self.provider.dimensions}")
-        before = self.point_ids()
-        wanted, counts = reconcile(docs, before, self.provider)
-        self._put(wanted)
-        return counts | {"points_total": self.point_ids().count()}
+        wanted = self._told_apart(docs)
+        held = self._live(["_digest"])
+        if held is None:
+            held = self.spark.createDataFrame([], "point_id string, _digest string")
+        # Only ids and digests meet here; texts are read again for the documents to embed.
+        met = wanted.select("point_id", F.col("_digest").alias("new")).join(held.select("point_id", F.col("_digest").alias("old")), "point_id", "full_outer")
+        step = F.when(F.col("new").isNull(), "gone").when(F.col("old").isNull(), "new").when(F.col("new") != F.col("old"), "changed").otherwise("same")
+        counts = {r.step: r.n for r in met.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()}
+        embedded, removed = counts.get("new", 0) + counts.get("changed", 0), counts.get("gone", 0) if exactly else 0
+        points = counts.get("same", 0) + embedded + (0 if exactly else counts.get("gone", 0))
+        if embedded or removed:
+            put = None
+            if embedded:
+                some = wanted.join(held, ["point_id", "_digest"], "left_anti")
+                put = some.join(self.provider.embed(some, "document_id", "content"), "document_id")
+            self._change(put, met.where("new is null").select("point_id") if removed else None, points, embedded, removed)
+        return {"embedded": embedded, "removed": removed, "points": points}
+
+    def _told_apart(self, docs: DataFrame) -> DataFrame:
+        """One row for each document id (of several, the least in all other columns), with its point id and digest."""
+        rest = [c for c in docs.columns if c != "document_id"]
+        one = docs.groupBy("document_id").agg(F.min(F.struct(*rest)).alias("r")).select("document_id", "r.*")
+        told = F.sha2(F.concat_ws("\n", F.lit(self.provider.model_name), F.to_json(F.struct(*[F.col(c) for c in sorted(one.columns)]))), 256)
+        return one.withColumn("point_id", point_id(F.col("document_id"))).withColumn("_digest", told)
 
     def search(self, query: str, limit: int = 5, document_types: list[str] | None = None, domains: list[str] | None = None, asset_ids: list[str] | None = None) -> DataFrame:
         """The nearest documents to a text, as ``search`` gives them."""
