@@ -93,3 +93,26 @@ def test_search_all_by_broadcast_and_by_blocks(spark, monkeypatch, most_broadcas
     got = sorted((r.case_id, r["rank"], r.document_id, round(r.score, 9)) for r in search_all(index, queries, 4, most_broadcast).collect())
     assert got == want
     assert search_all(index.limit(0), queries, 4, most_broadcast).count() == search_all(index, queries.limit(0), 4, most_broadcast).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 5, 40])
+def test_cells_give_exactly_the_nearest(spark, tmp_path, limit):
+    from tidewell.operators.cells import build_cells, search_cells
+
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 8)) * 4
+    x = np.concatenate([c + 0.3 * rng.standard_normal((40, 8)) for c in centres])
+    held = [(k, v.tolist()) for k, v in enumerate(x)] + [(k, x[7].tolist()) for k in range(1000, 1006)] + [(2000, None), (2001, [0.0] * 8), (2002, [1.0]), (2003, [float("nan")] * 8), (2004, [None] * 8)]
+    asked = [(k, x[k].tolist()) for k in range(0, 480, 60)] + [(9000, [0.0] * 8), (9001, None), (9002, (-x[0]).tolist()), (9003, x[7].tolist())]
+    index = spark.createDataFrame(held, "document_id long, embedding array<double>")
+    queries = spark.createDataFrame(asked, "case_id long, embedding array<double>")
+    cells = build_cells(index, str(tmp_path / "cells"), 12)
+    found, read = search_cells(cells, queries, limit)
+    want = search_all(index, queries, limit)
+    assert sorted((r.case_id, r["rank"], r.document_id, round(r.score, 9)) for r in found.collect()) == sorted((r.case_id, r["rank"], r.document_id, round(r.score, 9)) for r in want.collect())
+    share = {r.case_id: r.rows_read / r.rows_all for r in read.collect()}
+    assert len(share) == len(asked) and max(share.values()) <= 1
+    if limit <= 5:
+        assert np.mean([share[k] for k in range(0, 480, 60)]) < 0.4
+    empty = build_cells(index.limit(0), str(tmp_path / "none"), 12)
+    assert search_cells(empty, queries, limit)[0].count() == 0

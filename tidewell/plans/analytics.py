@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.cells import build_cells, search_cells
 from tidewell.operators.relational import best_of_each, cube_sets, grouped_totals, in_any, not_in, rollup_sets
 from tidewell.operators.timeline import as_of_join, interval_join, moving_totals, running_totals
+from tidewell.sources.work import work_path
 
 
 def _read(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -103,6 +105,14 @@ def order_windows(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def nearest_by_cells(s: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50 against all vectors, reading only the cells that may hold its nearest."""
+    v = _read(s, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    cells = build_cells(v, work_path(s, "cells"))
+    asked = v.where("document_id % 50 = 0").select(F.col("document_id").alias("case_id"), "embedding")
+    return search_cells(cells, asked, 3)[0].select("case_id", F.col("document_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES = {
     "asof_last_order": last_order_of_event,
     "asof_view_before_purchase": view_before_purchase,
@@ -116,6 +126,7 @@ QUERIES = {
     "running_revenue": running_revenue,
     "moving_revenue": moving_revenue,
     "order_windows": order_windows,
+    "nearest_by_cells": nearest_by_cells,
 }
 
 _O = "(SELECT o_custkey AS customer_sk, o_orderdate::TIMESTAMP AS day, o_orderkey, o_totalprice::DECIMAL(15,2) AS price FROM orders)"
@@ -135,4 +146,5 @@ ORACLE_SQL = {
     "running_revenue": f"SELECT customer_sk, o_orderkey, sum(price) OVER (PARTITION BY customer_sk ORDER BY day, o_orderkey ROWS UNBOUNDED PRECEDING)::DECIMAL(38,2) AS running FROM {_O} AS o WHERE customer_sk IS NOT NULL",
     "moving_revenue": f"SELECT customer_sk, day::DATE AS day, total::DECIMAL(38,2) AS total, sum(total) OVER (PARTITION BY customer_sk ORDER BY day)::DECIMAL(38,2) AS running, sum(total) OVER (PARTITION BY customer_sk ORDER BY day RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)::DECIMAL(38,2) AS moving FROM (SELECT customer_sk, day, sum(price) AS total FROM {_O} AS o WHERE customer_sk IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2) AS t",
     "order_windows": f"SELECT o_orderkey, row_number() OVER line AS nth, lag(o_orderkey) OVER line AS before, sum(price) OVER (PARTITION BY customer_sk ORDER BY day, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::DECIMAL(38,2) AS three, ntile(4) OVER (PARTITION BY customer_sk ORDER BY price DESC, o_orderkey) AS quartile, rank() OVER (PARTITION BY customer_sk ORDER BY day) AS day_rank FROM {_O} AS o WHERE customer_sk IS NOT NULL WINDOW line AS (PARTITION BY customer_sk ORDER BY day, o_orderkey)",
+    "nearest_by_cells": "SELECT case_id, vec_id, rank FROM (SELECT q.vec_id AS case_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings AS e, embeddings AS q WHERE q.vec_id % 50 = 0) AS r WHERE rank <= 3",
 }
