@@ -9,6 +9,7 @@ from tidewell.operators.cells import build_cells, search_cells
 from tidewell.operators.relational import best_of_each, cube_sets, grouped_totals, in_any, not_in, rollup_sets
 from tidewell.operators.timeline import as_of_join, interval_join, moving_totals, running_totals
 from tidewell.sources.work import work_path
+from tidewell.streaming.events import event_stream, latest, run_sessions, run_windows, session_stream, windowed
 
 
 def _read(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -113,6 +114,20 @@ def nearest_by_cells(s: SparkSession, d: str) -> DataFrame:
     return search_cells(cells, asked, 3)[0].select("case_id", F.col("document_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
+def streamed_windows(s: SparkSession, d: str, length: str, slide: str | None = None) -> DataFrame:
+    """Events counted by window and type by a stream that reads them all."""
+    folder = work_path(s, "windows")
+    run_windows(windowed(event_stream(s, f"{d}/events.parquet"), length, slide, "1 day"), folder)
+    return latest(s, folder, ["start", "event_type"])
+
+
+def streamed_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Users' sessions, a gap of half an hour apart, that are closed when the stream has read all events."""
+    folder = work_path(s, "sessions")
+    run_sessions(session_stream(event_stream(s, f"{d}/events.parquet"), 1800, "1 hour"), folder)
+    return s.read.parquet(f"{folder}/sessions")
+
+
 QUERIES = {
     "asof_last_order": last_order_of_event,
     "asof_view_before_purchase": view_before_purchase,
@@ -127,6 +142,9 @@ QUERIES = {
     "moving_revenue": moving_revenue,
     "order_windows": order_windows,
     "nearest_by_cells": nearest_by_cells,
+    "stream_tumbling_windows": lambda s, d: streamed_windows(s, d, "1 hour"),
+    "stream_sliding_windows": lambda s, d: streamed_windows(s, d, "1 day", "6 hours"),
+    "stream_sessions": streamed_sessions,
 }
 
 _O = "(SELECT o_custkey AS customer_sk, o_orderdate::TIMESTAMP AS day, o_orderkey, o_totalprice::DECIMAL(15,2) AS price FROM orders)"
@@ -147,4 +165,10 @@ ORACLE_SQL = {
     "moving_revenue": f"SELECT customer_sk, day::DATE AS day, total::DECIMAL(38,2) AS total, sum(total) OVER (PARTITION BY customer_sk ORDER BY day)::DECIMAL(38,2) AS running, sum(total) OVER (PARTITION BY customer_sk ORDER BY day RANGE BETWEEN INTERVAL 90 DAY PRECEDING AND CURRENT ROW)::DECIMAL(38,2) AS moving FROM (SELECT customer_sk, day, sum(price) AS total FROM {_O} AS o WHERE customer_sk IS NOT NULL AND day IS NOT NULL GROUP BY 1, 2) AS t",
     "order_windows": f"SELECT o_orderkey, row_number() OVER line AS nth, lag(o_orderkey) OVER line AS before, sum(price) OVER (PARTITION BY customer_sk ORDER BY day, o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::DECIMAL(38,2) AS three, ntile(4) OVER (PARTITION BY customer_sk ORDER BY price DESC, o_orderkey) AS quartile, rank() OVER (PARTITION BY customer_sk ORDER BY day) AS day_rank FROM {_O} AS o WHERE customer_sk IS NOT NULL WINDOW line AS (PARTITION BY customer_sk ORDER BY day, o_orderkey)",
     "nearest_by_cells": "SELECT case_id, vec_id, rank FROM (SELECT q.vec_id AS case_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings AS e, embeddings AS q WHERE q.vec_id % 50 = 0) AS r WHERE rank <= 3",
+    "stream_tumbling_windows": "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(coalesce(value::DECIMAL(18,2), 0))::DECIMAL(28,2) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "stream_sliding_windows": "SELECT start, event_type, count(*) AS n, sum(coalesce(value::DECIMAL(18,2), 0))::DECIMAL(28,2) AS total FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') - INTERVAL 6 HOUR * k FOR k IN range(4)]) AS start, event_type, value FROM events WHERE ts IS NOT NULL) AS e GROUP BY 1, 2",
+    "stream_sessions": """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+m AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+s AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, sum(coalesce(value::DECIMAL(18,2), 0))::DECIMAL(28,2) AS total FROM m GROUP BY user_id, k)
+SELECT * FROM s WHERE last + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 }
