@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.cells import build_cells, search_cells
+from tidewell.operators.graph import reachable
 from tidewell.operators.relational import best_of_each, cube_sets, grouped_totals, in_any, not_in, rollup_sets
+from tidewell.operators.sketches import RANK_ERROR, answers, merged_sketches, sketched
 from tidewell.operators.timeline import as_of_join, interval_join, moving_totals, running_totals
+from tidewell.operators.variants import path_value, shredded
 from tidewell.sources.work import work_path
 from tidewell.streaming.events import event_stream, latest, run_sessions, run_windows, session_stream, windowed
 
@@ -128,6 +131,33 @@ def streamed_sessions(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{folder}/sessions")
 
 
+def monthly_from_daily_sketches(s: SparkSession, d: str) -> DataFrame:
+    """Months of orders from daily sketches that were stored: orders, different customers, and whether the median's true rank is as near as stated."""
+    orders = _orders(s, d).where("day IS NOT NULL").withColumn("month", F.date_format("day", "yyyy-MM"))
+    folder = work_path(s, "sketches")
+    sketched(orders, ["month", "day"], "price", "customer_sk").write.partitionBy("month").parquet(folder)
+    kept = s.read.schema("day timestamp, n long, quantiles binary, distinct binary, month string").parquet(folder)
+    told = answers(merged_sketches(kept, ["month"]), ["month"], [0.5])
+    # The true rank, beside the table: months are few.
+    ranks = orders.join(told.select("month", F.get("q", F.lit(0)).alias("median")), "month").groupBy("month").agg(F.avg((F.col("price").cast("double") <= F.col("median")).cast("int")).alias("rank"))
+    return told.join(ranks, "month").select("month", "n", F.round("distinct").cast("long").alias("customers"), (F.abs(F.col("rank") - 0.5) <= RANK_ERROR).alias("median_holds"))
+
+
+def linked_pages(s: SparkSession, d: str) -> DataFrame:
+    """What is up to six links from the page of the least id, along links and back from a link's name to the pages that have it."""
+    pages = _read(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('href="([^"]*)"'), F.lit(1)))).alias("href"))
+    there = pages.select(F.concat(F.lit("page:"), "page_id").alias("src"), F.concat(F.lit("link:"), "href").alias("dst"))
+    start = _read(s, d, "pages").agg(F.concat(F.lit("page:"), F.min("page_id")).alias("node"))
+    return reachable(there.union(there.select("dst", "src")), start, 6).select("node", F.col("depth").cast("long").alias("depth"))
+
+
+def events_by_property(s: SparkSession, d: str) -> DataFrame:
+    """Events whose property k is over 90, by the column that was taken out of the JSON."""
+    e = shredded(_read(s, d, "events").select("event_id", "event_type", "props"), "props", work_path(s, "variants"))
+    k = path_value(e, "props", "$.k", "long")
+    return e.where(k > 90).select("event_id", "event_type", k.alias("k"))
+
+
 QUERIES = {
     "asof_last_order": last_order_of_event,
     "asof_view_before_purchase": view_before_purchase,
@@ -142,6 +172,9 @@ QUERIES = {
     "moving_revenue": moving_revenue,
     "order_windows": order_windows,
     "nearest_by_cells": nearest_by_cells,
+    "sketches_monthly": monthly_from_daily_sketches,
+    "linked_pages": linked_pages,
+    "variant_property": events_by_property,
     "stream_tumbling_windows": lambda s, d: streamed_windows(s, d, "1 hour"),
     "stream_sliding_windows": lambda s, d: streamed_windows(s, d, "1 day", "6 hours"),
     "stream_sessions": streamed_sessions,
@@ -171,4 +204,10 @@ ORACLE_SQL = {
 m AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
 s AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n, sum(coalesce(value::DECIMAL(18,2), 0))::DECIMAL(28,2) AS total FROM m GROUP BY user_id, k)
 SELECT * FROM s WHERE last + INTERVAL 30 MINUTE < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+    "sketches_monthly": f"SELECT strftime(day, '%Y-%m') AS month, count(*) AS n, count(DISTINCT customer_sk) AS customers, true AS median_holds FROM {_O} AS o WHERE day IS NOT NULL GROUP BY 1",
+    "linked_pages": """WITH RECURSIVE l AS MATERIALIZED (SELECT DISTINCT 'page:' || page_id AS src, 'link:' || href AS dst FROM (SELECT page_id, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"]*)"', 1)) AS href FROM pages) AS p),
+e AS MATERIALIZED (SELECT src, dst FROM l UNION ALL SELECT dst, src FROM l),
+r AS (SELECT 'page:' || min(page_id) AS node, 0 AS depth FROM pages UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 6)
+SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node""",
+    "variant_property": "SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k FROM events WHERE (props->>'$.k')::BIGINT > 90",
 }
