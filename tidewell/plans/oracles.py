@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans.evaluation import load_cases
+from dataclasses import dataclass
+
+from tidewell.plans.evaluation import Case, load_cases
 from tidewell.sources.catalog import Catalog, load_catalog
 
 UNION = """
@@ -30,6 +32,13 @@ HASH = "(('0x' || substr(sha256(token), 1, 16))::UBIGINT % {})::INT"
 SIGN = "CASE WHEN ('0x' || substr(sha256(token), 17, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END"
 
 
+@dataclass(frozen=True)
+class Expected(Catalog):
+    """A catalog in whose texts #token# stands for a number; ``numbers`` is SQL for (token, n)."""
+
+    numbers: str = ""
+
+
 def quoted(v) -> str:
     if v is None:
         return "NULL"
@@ -70,7 +79,10 @@ def documents(catalog: Catalog) -> str:
     parts = [f"SELECT '{kind}:' || {key} AS document_id, '{kind}' AS document_type, {line(lines)} AS content FROM {rows}" for kind, rows, key, lines in kinds]
     column = f"""SELECT 'column:' || c.id AS document_id, 'column' AS document_type, 'Column: ' || a.schema_name || '.' || a.name || '.' || c.name || chr(10) || 'Description: ' || c.description || chr(10) || 'Semantic type: ' || semantic_type || chr(10) || 'Business concepts: ' || {joined('concepts')} || chr(10) || 'Synonyms: ' || {joined('synonyms')} AS content
 FROM (SELECT * FROM {records(catalog, "columns", "id", "asset_id", "name", "description", "semantic_type", "concepts", "synonyms")}) AS c JOIN (SELECT * FROM {records(catalog, "assets", "id", "schema", "name")}) AS a ON c.asset_id = a.id"""
-    return "\nUNION ALL ".join([*parts, column])
+    told = "\nUNION ALL ".join([*parts, column])
+    if not isinstance(catalog, Expected):
+        return told
+    return f"SELECT document_id, document_type, coalesce(replace(content, '#' || token || '#', n), content) AS content FROM (SELECT *, regexp_extract(content, '#([^#]*)#', 1) AS token FROM ({told}) AS raw) AS r LEFT JOIN ({catalog.numbers}) AS numbers USING (token)"
 
 
 def unit_cells(texts: str, dimensions: int) -> str:
@@ -90,8 +102,8 @@ SELECT case_id, document_id, score, row_number() OVER (PARTITION BY case_id ORDE
 ) AS r"""
 
 
-def case_measures() -> str:
-    cases, catalog = load_cases(), load_catalog()
+def case_measures(cases: list[Case] | None = None, catalog: Catalog | None = None) -> str:
+    cases, catalog = cases or load_cases(), catalog or load_catalog()
     relevant = values([(c.id, r) for c in cases for r in c.relevant], "case_id, document_id")
     found = ranked(select([(c.id, c.query) for c in cases], "id, text"), catalog)
     return f"""
@@ -99,10 +111,10 @@ SELECT l.case_id, (count(rank) FILTER (WHERE rank <= 5)) / count(*) AS recall_5,
 FROM (SELECT DISTINCT case_id, document_id FROM {relevant}) AS l LEFT JOIN ({found}) AS f ON l.case_id = f.case_id AND l.document_id = f.document_id GROUP BY l.case_id"""
 
 
-def walk(start: str, here: str, there: str, depth: int = 5) -> str:
+def walk(start: str, here: str, there: str, depth: int = 5, catalog: Catalog | None = None) -> str:
     """The edges that a breadth-first search finds, with their order: of all walks to an edge the least, by length and then by places."""
     return f"""
-WITH RECURSIVE e AS (SELECT * FROM {records(load_catalog(), "lineage_edges", "id", "source_column_id", "target_column_id")}), w AS (
+WITH RECURSIVE e AS (SELECT * FROM {records(catalog or load_catalog(), "lineage_edges", "id", "source_column_id", "target_column_id")}), w AS (
   SELECT 1 AS lvl, [ord] AS path, id, source_column_id, target_column_id FROM e WHERE {here} = {quoted(start)}
   UNION ALL SELECT lvl + 1, list_append(path, e.ord), e.id, e.source_column_id, e.target_column_id FROM w JOIN e ON e.{here} = w.{there} WHERE lvl < {depth}
 ), f AS (SELECT id, source_column_id, target_column_id, min((lvl, path)) AS first FROM w GROUP BY ALL)

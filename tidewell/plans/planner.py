@@ -27,6 +27,14 @@ def intent_column(question: Column) -> Column:
     return F.when(has(LINEAGE_TERMS), "lineage").when(has(ANALYSIS_TERMS), "analysis").otherwise("discovery")
 
 
+def bounds_columns(question: Column, default_year: int = 2001, default_n: int = 10, most: int = 100) -> tuple[Column, Column]:
+    """The year and the number of rows that a question names, as ``TemplatePlanner.bounds`` finds them."""
+    year = F.regexp_extract(question, r"\b(19\d\d|20\d\d)\b", 1)
+    n = F.regexp_extract(F.lower(question), r"\btop\s+(\d+)\b", 1)
+    asked = F.when(n == "", F.lit(default_n)).when(F.length(n) > 9, F.lit(most)).otherwise(n.try_cast("int"))
+    return F.coalesce(year.try_cast("int"), F.lit(default_year)), F.least(asked, F.lit(most))
+
+
 class TemplatePlanner:
     """Keyword rules and one SQL template: the customers of most revenue in a year."""
 

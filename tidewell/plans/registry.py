@@ -11,7 +11,7 @@ from tidewell.functions.embedding import HashEmbedding, bucket, cosine, point_id
 from tidewell.operators.documents import semantic_documents
 from tidewell.operators.lineage import lineage
 from tidewell.operators.retrieval import VectorIndex, case_metrics, reconcile, retrieval_metrics, search, search_all
-from tidewell.plans import analytics, e2e, evaluation, guard, oracles, physical, warehouse
+from tidewell.plans import analytics, e2e, evaluation, guard, oracles, physical, profiled, warehouse
 from tidewell.plans.explore import Explorer, evidence_assets, shared_terms
 from tidewell.plans.planner import TemplatePlanner, intent_column
 from tidewell.plans.workflow import Workflow
@@ -378,6 +378,7 @@ QUERIES = {
     "e2e_stages": _staged,
     **{name: functools.partial(_guarded_form, name=name) for name in GUARDED_FORMS},
     **analytics.QUERIES,
+    **profiled.QUERIES,
 }
 
 
@@ -477,6 +478,7 @@ UNION ALL SELECT 2, t.n - l.n, l.n, t.n - l.n FROM t, l UNION ALL SELECT 3, 0, k
         "e2e_stages": o.select([(k, name, "passed") for k, name in enumerate(e2e.STAGES)], "k, name, status"),
         **{name: sql.replace(_REVENUE, f"({o.REVENUE})").replace("raw.customer", "(SELECT c_custkey AS c_customer_sk FROM customer)").replace("LEFT SEMI", "SEMI").replace("LEFT ANTI", "ANTI") for name, sql in GUARDED_FORMS.items()},
         **analytics.ORACLE_SQL,
+        **profiled.ORACLE_SQL,
     }
 
 
