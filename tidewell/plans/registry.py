@@ -119,6 +119,13 @@ def _sink(s: SparkSession, d: str) -> DataFrame:
     return s.table("analytics.customer_revenue_yearly")
 
 
+def _refreshed(s: SparkSession, d: str) -> DataFrame:
+    """The revenue table after two of its years have been computed and written anew."""
+    _warehouse(s, d)
+    warehouse.refresh_years(s, d, [1994, 1995])
+    return s.table("analytics.customer_revenue_yearly")
+
+
 def _allowed(s: SparkSession) -> dict[str, list[str]]:
     """All inspected columns but the customer's first name, so that one is there and not approved."""
     allowed = allowed_columns(inspect_schema(s, load_catalog()))
@@ -323,6 +330,7 @@ QUERIES = {
     "conditional_sums": lambda s, d: warehouse.revenue_one_scan(s, d).groupBy("calendar_year").agg(*[F.sum(f"{c}_net_paid").cast("decimal(38,2)").alias(c) for c in warehouse.CHANNELS]),
     "inner_join_notnull": lambda s, d: warehouse.sources(s, d)["web_sales"].where("ws_bill_customer_sk is not null").join(warehouse.sources(s, d)["date_dim"], F.col("ws_sold_date_sk") == F.col("d_date_sk")).groupBy("d_year").agg(F.count("*").alias("n")),
     "revenue_table_sink": _sink,
+    "revenue_years_refreshed": _refreshed,
     "warehouse_manifest": _manifest,
     "reconciliation_failures": lambda s, d: warehouse.unreconciled(warehouse.revenue_one_scan(s, d)).agg(F.count("*").alias("failures")),
     "top_customers_by_year": lambda s, d: warehouse.top_customers(warehouse.revenue_one_scan(s, d), warehouse.sources(s, d)["customer"], 2001, 10),
@@ -414,6 +422,7 @@ UNION ALL SELECT 2, t.n - l.n, l.n, t.n - l.n FROM t, l UNION ALL SELECT 3, 0, k
         "conditional_sums": "SELECT year(o_orderdate)::BIGINT AS calendar_year, " + ", ".join(f"coalesce(sum(l_extendedprice::DECIMAL(15,2)) FILTER (WHERE l_returnflag = '{f}'), 0)::DECIMAL(38,2) AS {c}" for c, f in warehouse.CHANNELS.items()) + f" FROM {sold} WHERE o_custkey IS NOT NULL AND l_returnflag IN ('R', 'N', 'A') GROUP BY 1",
         "inner_join_notnull": f"SELECT year(o_orderdate)::BIGINT AS d_year, count(*) AS n FROM {sold} WHERE l_returnflag = 'A' AND o_custkey IS NOT NULL AND o_orderdate IS NOT NULL GROUP BY 1",
         "revenue_table_sink": o.REVENUE,
+        "revenue_years_refreshed": o.REVENUE,
         "warehouse_manifest": f"SELECT CASE WHEN table_name = 'customer_revenue_yearly' THEN 'analytics.' ELSE 'raw.' END || table_name AS table_name, row_count, true AS has_digest, {o.quoted(evaluation.file_sha256(warehouse.SQL_FILE))} AS sql_sha256 FROM ({o.COUNTS} UNION ALL SELECT 'customer_revenue_yearly', count(*) FROM ({o.REVENUE}) AS r) AS c",
         "reconciliation_failures": f"SELECT count(*) AS failures FROM ({o.REVENUE}) AS r WHERE store_net_paid + catalog_net_paid + web_net_paid <> total_net_paid",
         "top_customers_by_year": f"SELECT customer_sk, c_name AS c_customer_id, split_part(c_name, '#', 1) AS c_first_name, split_part(c_name, '#', 2) AS c_last_name, total_net_paid FROM ({o.REVENUE}) AS r JOIN customer ON c_custkey = customer_sk WHERE calendar_year = 2001 ORDER BY total_net_paid DESC NULLS LAST, customer_sk LIMIT 10",

@@ -35,11 +35,24 @@ def _day_key(day: Column) -> Column:
     return F.unix_date(day.cast("date")).cast("long")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The source tables, named as in the catalog: the channels are the line items by return flag, with their orders' days and customers."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+
+
+def joined_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items with their orders' days and customers."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("paid"))
+    return lines.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+def sources(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The source tables, named as in the catalog: the channels are the line items by return flag, with their orders' days and customers.
+
+    ``sold``: ``joined_sales``, if it is stored already.
+    """
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    orders = read("orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
-    sold = read("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("paid")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    orders = _orders(spark, sf_dir)
+    sold = joined_sales(spark, sf_dir) if sold is None else sold
     name = F.split("c_name", "#")
     days = orders.where("day is not null").select("day").distinct()
 
@@ -125,29 +138,54 @@ def fingerprint(df: DataFrame) -> tuple[int, str]:
     return n, hashlib.sha256(f"{df.schema.simpleString()} {n} {total}".encode()).hexdigest()
 
 
+def _save(df: DataFrame, view: str, place: str, partition: str | None) -> DataFrame:
+    """Save a table at ``place``, partitioned if so told, and point the view to it. The rows of a partition go to several files, so that a large one is no task's alone."""
+    spark = df.sparkSession
+    table = f"{view}__{uuid.uuid4().hex[:12]}"
+    rest = [c for c in df.columns if c != partition]
+    writer = df.repartition(F.col(partition), F.pmod(F.xxhash64(*rest), F.lit(16))).write.partitionBy(partition) if partition else df.write
+    writer.option("path", place).saveAsTable(table)
+    if partition:
+        validate_revenue(spark.table(table))
+    spark.sql(f"CREATE OR REPLACE VIEW {view} TBLPROPERTIES ('stored' = '{table}') AS SELECT {', '.join(df.columns)} FROM {table}")
+    db, name = view.split(".")
+    for t in spark.catalog.listTables(db, f"{name}__*"):  # what the view named before; its files stay until the build after the next
+        if f"{db}.{t.name}" != table:
+            spark.sql(f"DROP TABLE IF EXISTS {db}.{t.name}")
+    return spark.table(view)
+
+
+def _prune(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Delete all but the newest folders in ``folder``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for old in sorted(fs.listStatus(path), key=lambda f: f.getModificationTime())[: -keep or None]:
+        fs.delete(old.getPath(), True)
+
+
 def build_warehouse(spark: SparkSession, sf_dir: str, path: str, manifest: str | None = None, sql_file: Path | str = SQL_FILE) -> dict:
     """Write the sources and the revenue table under ``path``, check them, register them as raw.* and analytics.*; the manifest's content.
 
-    A table is written to a folder of its own and its view then points there, so a reader sees the old table or the new one, and a
-    build that fails leaves the revenue table as it was. ``manifest`` names a file of the driver's to write the manifest to.
+    Line items and orders are joined once, and the channels read what that has stored. Every table is saved in a folder of its own, the
+    revenue by year, and its view then points there, so a reader sees the old table or the new one, and a build that fails leaves the
+    revenue table as it was. Of each table the last two folders are kept. ``manifest`` names a file of the driver's to write the manifest to.
     """
     sql = Path(sql_file).read_text(encoding="utf-8")
-    tables = sources(spark, sf_dir)
-    validate_sources(tables)
+    validate_sources(sources(spark, sf_dir))
+    staging, joined = f"{path}/staging/{uuid.uuid4().hex[:12]}", joined_sales(spark, sf_dir)
+    joined.write.partitionBy("l_returnflag").parquet(staging)
+    tables = sources(spark, sf_dir, spark.read.schema(joined.schema).parquet(staging))
     for db in ("raw", "analytics"):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
 
-    def put(db: str, name: str, df: DataFrame) -> DataFrame:
-        place = f"{path}/{db}/{name}/{uuid.uuid4().hex[:12]}"
-        df.write.parquet(place)
-        kept = spark.read.parquet(place)
-        if name == "customer_revenue_yearly":
-            validate_revenue(kept)
-        spark.sql(f"CREATE OR REPLACE VIEW {db}.{name} AS SELECT * FROM parquet.`{place}`")
-        return spark.table(f"{db}.{name}")
+    def put(db: str, name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
+        kept = _save(df, f"{db}.{name}", f"{path}/{db}/{name}/{uuid.uuid4().hex[:12]}", partition)
+        _prune(spark, f"{path}/{db}/{name}")
+        return kept
 
     kept = {f"raw.{name}": put("raw", name, df) for name, df in tables.items()}
-    kept["analytics.customer_revenue_yearly"] = put("analytics", "customer_revenue_yearly", spark.sql(sql))
+    kept["analytics.customer_revenue_yearly"] = put("analytics", "customer_revenue_yearly", spark.sql(sql), "calendar_year")
+    _prune(spark, f"{path}/staging", 0)
     prints = {name: fingerprint(df) for name, df in kept.items()}
     told = {
         "source": sf_dir,
@@ -162,3 +200,20 @@ def build_warehouse(spark: SparkSession, sf_dir: str, path: str, manifest: str |
     if manifest:
         Path(manifest).write_text(json.dumps(told, indent=2, sort_keys=True) + "\n", encoding="utf-8")
     return told
+
+
+def refresh_years(spark: SparkSession, sf_dir: str, years: list[int], view: str = "analytics.customer_revenue_yearly") -> int:
+    """Compute some years of the revenue table anew and overwrite these partitions only; the number of rows they have now."""
+    store = spark.sql(f"SHOW TBLPROPERTIES {view} ('stored')").first().value
+    fresh = revenue_one_scan(spark, sf_dir).where(F.col("calendar_year").isin(list(years)))
+    rows = fresh.select(*spark.table(store).columns)
+    found = {r.calendar_year: r for r in rows.groupBy("calendar_year").agg(F.count("*").alias("n"), F.count(F.when(F.expr("store_net_paid + catalog_net_paid + web_net_paid <> total_net_paid"), 1)).alias("bad")).collect()}
+    if bad := sum(r.bad for r in found.values()):
+        raise WarehouseError(f"{bad} totals are not the sum of their channels")
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {store}").where("col_name = 'Location'").first().data_type
+    rows.repartition("calendar_year", F.pmod(F.xxhash64("customer_sk"), F.lit(16))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("calendar_year").parquet(place)
+    spark.catalog.recoverPartitions(store)  # of years that are new
+    for year in set(years) - set(found):  # nothing is left of these
+        spark.sql(f"ALTER TABLE {store} DROP IF EXISTS PARTITION (calendar_year = {int(year)})")
+    spark.catalog.refreshTable(store)
+    return sum(r.n for r in found.values())
