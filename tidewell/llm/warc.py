@@ -11,7 +11,7 @@ candidate with the place where its successor must begin if it is one. Places are
 then over a file's splits. Which candidates are records is settled by pointer jumping from each file's start: after each doubling twice as many
 successors are known to be reachable. A magic inside a payload is never reached. Payloads are taken up only then: of most
 records one piece, whose digest the scan has made; a payload with blank lines of its own is put together from its pieces. A chain that does not
-end at the file's end, or a payload that is not what its record says, is an error and not skipped.
+end at the file's end, a payload that is not what its record says, or a revisit of no such response is an error and not skipped.
 
 Edge cases: a null html is an empty payload; a null url is an empty target; a null id is kept as such, and makes its page a response only
 if no equal payload has an id; rows that repeat an id and a payload are all responses if they have the largest id; an empty table gives an empty
@@ -86,6 +86,18 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, id_col: st
     lines.write.option("lineSep", _END).option("maxRecordsPerFile", file_records).option("compression", compression).text(path)
 
 
+def _steady(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session with the same settings in which Spark packs splits into tasks alike at every scan, whatever executors come and go between."""
+    other = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            other.conf.set(name, value)
+    other.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism)))
+    for name, value in settings.items():
+        other.conf.set(f"spark.sql.files.{name}", value)
+    return other
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, stored_size, pos, value) of what lies between blank lines; ``pos`` ascends within a file's split, which starts at ``block``."""
     lines = spark.read.option("lineSep", _END).option("pathGlobFilter", "part-*").text(path)
@@ -153,14 +165,12 @@ def _verified(block: pa.Table) -> pa.Table:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives under ``path``."""
     ship(spark)
-    parts = pieces(spark, path)
+    parts = pieces(_steady(spark), path)  # scanned twice, and joined by the places of the pieces
     found = stored(candidates(parts), "pieces")
     torn = stored(found.where("not endswith(file, '.gz') and file_size <> stored_size").select("file").distinct(), "torn")
     if not torn.isEmpty():
         # A split began amid several line breaks and took other pairs of them for blank lines: such a file is read in one piece, as a packed one is.
-        other = spark.newSession()
-        other.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 50))
-        whole = pieces(other, path)
+        whole = pieces(_steady(spark, maxPartitionBytes=str(1 << 50)), path)
         again = fresh_path(spark, "pieces")
         candidates(whole).write.parquet(again)
         found = stored(found.join(torn, "file", "left_anti").union(spark.read.schema(found.schema).parquet(again).join(torn, "file", "left_semi")), "pieces")
@@ -171,17 +181,28 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     start = found.groupBy("file").agg(F.max("file_size").alias("file_size")).where("file_size > 0").select("file", F.lit(-1).cast("long").alias("at"), F.lit(-1).cast("long").alias("after"), "file_size")  # so that a file without a head is seen
     reached = heads.select("file", "at", "after", "file_size").union(start).groupBy("file").applyInArrow(_verified, "file string, at long")
     records = stored(heads.join(reached, ["file", "at"]), "records")
+    _check_revisits(records)
     # Of a response, the payload lies behind the server's head; most are one piece, whose digest is known.
     skip = F.when(F.col("http"), F.col("size1") + len(_END)).otherwise(F.lit(0))
     one = F.when(F.col("http"), F.col("size2")).otherwise(F.col("size1"))
     told = records.withColumn("revisit", F.col("record_type") == "revisit").withColumn("whole", F.col("revisit") | F.coalesce(F.col("length") == skip + one, F.lit(False)))
-    simple = told.where("whole").select("file", "at", "page_id", "record_type", "refers_to", "told", "revisit", F.when(F.col("revisit"), F.col("payload_length")).otherwise(one).alias("payload_bytes"), F.when(F.col("http"), F.col("digest2")).otherwise(F.col("digest1")).alias("digest"))
+    simple = told.where("whole").select("file", "at", "page_id", "record_type", "refers_to", "told", "revisit", "payload_length", F.when(F.col("revisit"), F.col("payload_length")).otherwise(one).alias("payload_bytes"), F.when(F.col("http"), F.col("digest2")).otherwise(F.col("digest1")).alias("digest"))
     rest = told.where("not whole")
     if not rest.isEmpty():
         simple = simple.union(_put_together(parts, found, told))
     return simple.mapInArrow(_checked, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def _check_revisits(records: DataFrame) -> None:
+    """An error if a revisit does not name a response with its digest and length. Many revisits of one response are reduced to one before they move."""
+    size = F.coalesce("payload_length", F.lit(-1)).alias("payload_length")  # a record of another writer may not tell it
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page"), "told", size).distinct()
+    responses = records.where("record_type <> 'revisit'").select(F.col("page_id").alias("page"), "told", size).distinct()
+    lost = claims.join(responses, ["page", "told", "payload_length"], "left_anti").limit(1).collect()
+    if lost:
+        raise ValueError(f"a revisit of page {lost[0].page} says {lost[0].told} of {lost[0].payload_length} bytes, which no response of that page is")
+
+
 def _put_together(parts: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
     """The payloads that hold blank lines themselves or lie in two splits: each of their pieces is sent to its record."""
     heads = records.select("file", "at", F.col("at").alias("record"), "whole")
@@ -189,26 +210,26 @@ def _put_together(parts: DataFrame, found: DataFrame, records: DataFrame) -> Dat
     owned = found.select("file", "pos", "at").join(heads, ["file", "at"], "left").select("file", "pos", "at", F.col("record").isNotNull().alias("head"), *[F.last(c, True).over(last).alias(c) for c in ("record", "whole")])
     inside = owned.where("not whole and not head").join(parts.select("file", "pos", "value"), ["file", "pos"])
     blocks = inside.groupBy("file", F.col("record").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("parts"))
-    kept = ["file", "at", "page_id", "record_type", "refers_to", "told", "revisit"]
-    return records.join(blocks, ["file", "at"]).select(*kept, "length", "http", "parts").mapInArrow(_joined, "file string, at long, page_id long, record_type string, refers_to long, told string, revisit boolean, payload_bytes long, digest string")
+    kept = ["file", "at", "page_id", "record_type", "refers_to", "told", "revisit", "payload_length"]
+    return records.join(blocks, ["file", "at"]).select(*kept, "length", "http", "parts").mapInArrow(_joined, "file string, at long, page_id long, record_type string, refers_to long, told string, revisit boolean, payload_length long, payload_bytes long, digest string")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):  # a record at a time: its pieces may be many
             b = batch.slice(k, 1)
-            length, http, parts = (c[0].as_py() for c in b.columns[7:])
+            length, http, parts = (c[0].as_py() for c in b.columns[8:])
             block = b"".join(bytes(p["value"]) + _END.encode() for p in parts)[:length]
             payload = block.partition(_END.encode())[2] if http else block
-            yield pa.record_batch([*b.columns[:7], pa.array([len(payload)], pa.int64()), pa.array([hashlib.sha1(payload).hexdigest()])], [*b.schema.names[:7], "payload_bytes", "digest"])
+            yield pa.record_batch([*b.columns[:8], pa.array([len(payload)], pa.int64()), pa.array([hashlib.sha1(payload).hexdigest()])], [*b.schema.names[:8], "payload_bytes", "digest"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        file, at, page, kind, refers, told, revisit, size, digest = (c.to_pylist() for c in b.columns)
+        file, at, page, kind, refers, told, revisit, length, size, digest = (c.to_pylist() for c in b.columns)
         told = [t.removeprefix("sha1:") for t in told]
         for k, (t, d) in enumerate(zip(told, digest, strict=True)):
-            if not revisit[k] and t != base64.b32encode(bytes.fromhex(d)).decode():
+            if not revisit[k] and (t != base64.b32encode(bytes.fromhex(d)).decode() or length[k] not in (None, size[k])):
                 raise ValueError(f"{file[k]}: the payload of the record at {at[k]} is not what the record says")
         yield pa.record_batch([pa.array(page, pa.int64()), pa.array(size, pa.int64()), pa.array(told, pa.string()), pa.array(kind, pa.string()), pa.array([r if v else None for r, v in zip(refers, revisit, strict=True)], pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
