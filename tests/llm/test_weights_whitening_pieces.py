@@ -1,5 +1,6 @@
 """Importance resampling, whitening and SentencePiece against brute force: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -14,7 +15,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 
-from tidewell.llm import lattice, pieces, resampling, whitening
+from tidewell.functions.embedding import HashEmbedding
+from tidewell.llm import lattice, pieces, resampling, warc, whitening
+from tidewell.llm.scratch import fresh_path
 
 RNG = random.Random(9)
 WORDS = "the of and The licence River über été naïve x 42 don't 中文 a-b".split()
@@ -250,3 +253,38 @@ def test_near_vectors_of_three_rows_that_share_an_id(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(5, 2, 5), (5, 2, 5), (9, 2, 5)]
     apart = lattice.near_vectors(spark.createDataFrame([(i, v) for i, (_, v) in zip((5, 6, 9), rows, strict=True)], "vec_id long, embedding array<double>")).collect()
     assert sorted(r.n_links for r in apart) == [2, 2, 2]
+
+
+def _archive(spark, records):
+    path = fresh_path(spark, "w")
+    spark.createDataFrame([(r.decode(),) for r in records], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    return path
+
+
+def test_revisits_are_checked_against_their_response(spark):
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    first, again = warc.record(7, "u", b"abc", digest(b"abc"), None, False), warc.record(5, "u", b"abc", digest(b"abc"), 7, True)
+    out = warc.read_archives(spark, _archive(spark, [first, again, again])).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in out) == {(7, "response", None, 3): 1, (5, "revisit", 7, 3): 2}
+    for bad in (warc.record(5, "u", b"abc", digest(b"abc"), 8, True), warc.record(5, "u", b"abd", digest(b"abd"), 7, True), again.replace(b"X-Payload-Length: 3", b"X-Payload-Length: 4")):
+        with pytest.raises(ValueError, match="a revisit of page"):
+            warc.read_archives(spark, _archive(spark, [first, bad]))
+    with pytest.raises(Exception, match="is not what the record says"):
+        warc.read_archives(spark, _archive(spark, [first.replace(b"X-Payload-Length: 3", b"X-Payload-Length: 4")])).collect()
+
+
+def test_splits_are_packed_alike_whatever_the_cluster(spark):
+    steady = warc._steady(spark, maxPartitionBytes="1000")
+    assert steady.conf.get("spark.sql.files.minPartitionNum") == str(spark.sparkContext.defaultParallelism)
+    assert steady.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions") and steady.conf.get("spark.sql.files.maxPartitionBytes") == "1000"
+    assert "spark.sql.files.minPartitionNum" not in spark.conf.getAll
+
+
+def test_documents_near_each_other_by_their_embeddings(spark, rows):
+    """The query whose rows have links, on a small table."""
+    df = spark.createDataFrame([(k, r[1]) for k, r in enumerate(rows)], "doc_id long, text string").where("length(text) > 60")
+    vectors = HashEmbedding(64).embed(df, "doc_id", "text")
+    got = {r.doc_id: r.n_links for r in lattice.near_vectors(vectors, id_col="doc_id").collect()}
+    told = {r.doc_id: np.array(r.embedding) for r in vectors.collect()}
+    want = {a: sum(a != b and float(x @ y) >= 0.95 for b, y in told.items()) for a, x in told.items()}
+    assert got == want and sum(want.values()) > 5

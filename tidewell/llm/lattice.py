@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.embedding import HashEmbedding
+
 from .components import components
 from .scratch import ship, stored, table
 from .spread import looked_up
@@ -225,16 +227,37 @@ def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-#: All pairs; the operator equals it where it finds all links, as it does on tables of this size (see the README for its recall).
-ORACLE = """
+def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose hash embeddings are near each other: unlike the given vectors, these have links."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return near_vectors(HashEmbedding(64).embed(docs, "doc_id", "text"), id_col="doc_id")
+
+
+def _linked_sql(rows: str, key: str) -> str:
+    """The SQL of all links between (key, embedding) rows at a cosine of 0.95."""
+    return f"""
 WITH RECURSIVE v AS MATERIALIZED (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  SELECT {key}, embedding::DOUBLE[] AS e FROM ({rows}) AS r
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs AS MATERIALIZED (
-  SELECT x.vec_id AS a, y.vec_id AS b FROM v AS x, v AS y WHERE x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95
+  SELECT x.{key} AS a, y.{key} AS b FROM v AS x, v AS y WHERE x.{key} <> y.{key} AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95
 ), reach AS (
-  SELECT vec_id, vec_id AS to_id FROM embeddings
-  UNION SELECT r.vec_id, p.b FROM reach AS r JOIN pairs AS p ON r.to_id = p.a
-), m AS (SELECT vec_id, min(to_id) AS component_id FROM reach GROUP BY vec_id), n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
-SELECT m.vec_id, coalesce(n_links, 0) AS n_links, component_id, m.vec_id = component_id AS kept FROM m LEFT JOIN n ON m.vec_id = n.a
+  SELECT {key}, {key} AS to_id FROM ({rows}) AS r
+  UNION SELECT r.{key}, p.b FROM reach AS r JOIN pairs AS p ON r.to_id = p.a
+), m AS (SELECT {key}, min(to_id) AS component_id FROM reach GROUP BY {key}), n AS (SELECT a, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT m.{key}, coalesce(n_links, 0) AS n_links, component_id, m.{key} = component_id AS kept FROM m LEFT JOIN n ON m.{key} = n.a
 """
+
+
+#: All pairs; the operator equals it where it finds all links, as it does on tables of this size (see the README for its recall).
+ORACLE = _linked_sql("SELECT vec_id, embedding FROM embeddings", "vec_id")
+#: Buckets of signed token counts as vectors; their lengths don't matter to a cosine.
+NEAR_DOCUMENTS = _linked_sql(
+    """SELECT doc_id, list_transform(range(64), lambda k: coalesce(cells[k], 0)) AS embedding FROM (
+  SELECT doc_id, map(list(bucket), list(value)) AS cells FROM (
+    SELECT doc_id, (('0x' || substr(sha256(token), 1, 16))::UBIGINT % 64)::INT AS bucket, sum(CASE WHEN ('0x' || substr(sha256(token), 17, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS value
+    FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) AS token FROM documents) AS t GROUP BY 1, 2
+  ) AS c GROUP BY doc_id
+) AS m UNION ALL SELECT doc_id, NULL FROM documents WHERE NOT regexp_matches(lower(coalesce(text, '')), '[a-z0-9_]')""",
+    "doc_id",
+)

@@ -18,6 +18,7 @@ QUERIES = {
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_sentence_pieces": pieces.op13_sentence_pieces,
+    "lattice_near_documents": lattice.near_documents,
 }
 ORACLE_SQL = {
     "op4_warc": warc.ORACLE,
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_lattice_near_dedup": lattice.ORACLE,
     "op10_jaccard_join": jaccard_join.ORACLE,
     "op11_importance_resampling": resampling.ORACLE,
+    "lattice_near_documents": lattice.NEAR_DOCUMENTS,
 }
