@@ -5,7 +5,8 @@ pattern holds white space only before all else or alone, and letters only behind
 further off, a match ends where white space follows something else, where a line break or tab is followed by something else, and
 where a letter is followed by a mark. Tokens left of the last such place in the left segment, and right of the first one in the
 right segment, cannot change, and the window runs between the two; where there is none within reach the window grows, at most to
-the whole segments, and the join stays exact. Joining is associative, so the tree's shape is free; the segments' size bounds what
+the whole segments, and the join stays exact; a segment that has no such place at all is a leaf, as is every text where another
+pattern is given. Joining is associative, so the tree's shape is free; the segments' size bounds what
 one call of the encoder sees, and decoding concatenates up the same tree.
 
 Edge cases: a null text is empty and has no tokens; ids may be null or repeat, each row stands for itself; an empty table
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterator
 from functools import cache
 from operator import itemgetter
@@ -55,13 +57,15 @@ class TreeEncoder:
         self.decimal = [""] * len(self.size)
         for token, k in ranks.items():
             self.size[k], self.decimal[k] = len(token), str(k)
-        self.leaf = leaf
+        import public_tokenizers
+
+        self.leaf = leaf if pattern == public_tokenizers.PATTERN else sys.maxsize  # the places are proved for this pattern; a text of another is one leaf
 
     def encode(self, text: str) -> list[int]:
         return self._reduced(text, 0, len(text))
 
     def _reduced(self, text: str, i: int, j: int) -> list[int]:
-        if j - i <= self.leaf:
+        if j - i <= self.leaf or not _EDGE.search(text, i + 1, j):  # without such a place, halves would only be encoded again as a whole
             return self.inner.encode_ordinary(text[i:j])
         m = (i + j) // 2
         return self._joined(text, i, m, j, self._reduced(text, i, m), self._reduced(text, m, j))
