@@ -10,13 +10,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 
 from tidewell.functions.embedding import HashEmbedding
-from tidewell.llm import lattice, pieces, resampling, warc, whitening
+from tidewell.llm import bpe_tree, lattice, packing, pieces, resampling, warc, whitening
 from tidewell.llm.scratch import fresh_path
 
 RNG = random.Random(9)
@@ -288,3 +289,29 @@ def test_documents_near_each_other_by_their_embeddings(spark, rows):
     told = {r.doc_id: np.array(r.embedding) for r in vectors.collect()}
     want = {a: sum(a != b and float(x @ y) >= 0.95 for b, y in told.items()) for a, x in told.items()}
     assert got == want and sum(want.values()) > 5
+
+
+def test_packing_takes_as_few_sequences_as_best_fit_decreasing(spark, docs):
+    """Through the operator, with nulls and repeated rows among the documents."""
+    for capacity in (64, 1024):
+        out = packing.best_fit_pack(docs, capacity=capacity).select("length", "sequence_id").collect()
+        gaps: list[int] = []
+        for size in sorted((r.length for r in out), reverse=True):
+            fit = [g for g in gaps if g >= size]
+            if fit:
+                gaps.remove(min(fit))
+            gaps.append((min(fit) if fit else capacity) - size)
+        assert len({r.sequence_id for r in out}) == len(gaps) > 10
+
+
+def test_byte_bpe_of_texts_without_edges_and_of_another_pattern():
+    import tiktoken
+
+    path, plain = bpe_tree.ranks_path(), public_tokenizers.PATTERN
+    tree = bpe_tree.TreeEncoder(path, plain, leaf=16)
+    texts = ["a" * 5000, "7" * 3000, "中文" * 900, "ab" * 40 + ". " + "x" * 4000, "x" * 3000 + " y" + "z" * 3000, "!" * 999, " " * 777, "é" * 2000 + "\n"]
+    assert [tree.encode(t) for t in texts] == [tree.inner.encode_ordinary(t) for t in texts]
+    other = bpe_tree.TreeEncoder(path, r"\p{L}\s|.|\n", leaf=16)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("other", pat_str=r"\p{L}\s|.|\n", mergeable_ranks=ranks, special_tokens={})
+    assert [other.encode(t) for t in [*texts, "a b. c d\n" * 50]] == [library.encode_ordinary(t) for t in [*texts, "a b. c d\n" * 50]]

@@ -1,6 +1,6 @@
 """Language identification by error-correcting output codes.
 
-Each learned language has a codeword of bits. For every bit a binary classifier over hashed byte 1- to 3-grams of the whole
+Each learned language has a codeword of bits. For every bit a binary classifier over hashed byte 2- and 3-grams of the whole
 text is trained (ridge regression to -1 and 1). A text's language is the codeword of least loss, where each bit's loss weighs
 as much as the bit's classifier was right in cross-checking on the training rows; the gap to the next codeword tells how sure
 that is, and a small gap is flagged as ambiguous.
