@@ -1,5 +1,6 @@
 """Joins and totals along time, and the relational operators, against brute force: nulls, ties, a hot key, empty sides, clashing names."""
 
+import bisect
 import datetime as dt
 import random
 from collections import defaultdict
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.operators.relational import best_of_each, cube_sets, grouped_totals, in_any, not_in, rollup_sets
-from tidewell.operators.timeline import as_of_join, interval_join, moving_totals, running_totals, stretched
+from tidewell.operators.timeline import _place, as_of_join, interval_join, moving_totals, running_totals, stretched
 
 R = random.Random(11)
 DAY = dt.datetime(2024, 1, 1)
@@ -133,3 +134,10 @@ def test_grouped_totals(spark):
         assert {(r.p, r.q, r.r, r.level): [r.total, r.n] for r in out.collect()} == dict(want)
     with pytest.raises(ValueError, match="no such keys"):
         grouped_totals(df, keys, {"total": "v"}, [["z"]])
+
+
+def test_places_among_many_edges(spark):
+    edges = sorted(R.sample(range(100_000), 5000))
+    values = [0, 99_999, *edges[:3], *edges[-3:], *R.sample(range(100_000), 200)]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", _place(F.array(*[F.lit(e) for e in edges]), F.col("v"), len(edges)).alias("k")).collect()
+    assert [(r.v, r.k) for r in got] == [(v, bisect.bisect_right(edges, v)) for v in values]

@@ -87,12 +87,10 @@ def interval_join(points: DataFrame, intervals: DataFrame, on: str, point: str,
 
 def _place(edges: Column, value: Column, n: int) -> Column:
     """How many of the ``n`` sorted edges are not above a value, by halving."""
-    low = F.lit(0)
-    step = 1 << max(0, n.bit_length() - 1)
-    while step and n:
-        low = low + F.when((low + step <= n) & (F.get(edges, low + (step - 1)) <= value), F.lit(step)).otherwise(F.lit(0))
-        step //= 2
-    return low.cast("int")
+    if not n:
+        return F.lit(0)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: low + F.when((low + step <= n) & (F.get(edges, low + step - 1) <= value), step).otherwise(F.lit(0)))
 
 
 def running_totals(rows: DataFrame, on: str, order: list[str], value: str, name: str = "running", most_rows: int = MOST_ROWS) -> DataFrame:
