@@ -48,7 +48,7 @@ def _warehouse(s: SparkSession, d: str) -> None:
 def _index(s: SparkSession) -> VectorIndex:
     """The catalog's documents, indexed once for each application."""
     key = (s.sparkContext.applicationId, "index")
-    if key not in _built:
+    if key not in _built or not VectorIndex(s, _built[key], "catalog", HashEmbedding(128)).exists():
         _built[key] = work_path(s, "index")
         VectorIndex(s, _built[key], "catalog", HashEmbedding(128)).index(semantic_documents(s, load_catalog()))
     return VectorIndex(s, _built[key], "catalog", HashEmbedding(128))
