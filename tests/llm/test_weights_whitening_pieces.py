@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from sentencepiece import SentencePieceProcessor
 
 from tidewell.functions.embedding import HashEmbedding
-from tidewell.llm import bpe_tree, lattice, packing, pieces, resampling, warc, whitening
+from tidewell.llm import bpe_tree, lattice, licenses, packing, pieces, resampling, warc, whitening
 from tidewell.llm.scratch import fresh_path
 
 RNG = random.Random(9)
@@ -315,3 +315,20 @@ def test_byte_bpe_of_texts_without_edges_and_of_another_pattern():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("other", pat_str=r"\p{L}\s|.|\n", mergeable_ranks=ranks, special_tokens={})
     assert [other.encode(t) for t in [*texts, "a b. c d\n" * 50]] == [library.encode_ordinary(t) for t in [*texts, "a b. c d\n" * 50]]
+
+
+def test_every_notice_is_found_by_itself_and_with_edits():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    r = random.Random(3)
+    for name, notice in licenses.TEMPLATES.items():
+        told = {n for n, *_ in scanner.scan(f"some words before it {notice} and behind")}
+        assert name in told and told <= {name, f"{name}-line"}
+        w = [b.decode() for b in licenses.words_of(notice)]
+        if len(w) >= 20:  # a word in twenty is lost, another one stands in between
+            for _ in range(10):
+                cut = sorted(r.sample(range(len(w)), len(w) // 20), reverse=True)
+                edited = list(w)
+                for k in cut:
+                    edited[k : k + 1] = ["novel"] if r.random() < 0.5 else []
+                found = {n: c for n, c, *_ in scanner.scan(" ".join(["x"] * 30 + edited + ["y"] * 30))}
+                assert found.get(name, 0) >= 0.9
