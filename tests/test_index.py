@@ -1,6 +1,10 @@
 """The stored index as a sequence of changes, and search of any number of queries, against plain dictionaries and brute force."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -116,3 +120,20 @@ def test_cells_give_exactly_the_nearest(spark, tmp_path, limit):
         assert np.mean([share[k] for k in range(0, 480, 60)]) < 0.4
     empty = build_cells(index.limit(0), str(tmp_path / "none"), 12)
     assert search_cells(empty, queries, limit)[0].count() == 0
+
+
+def test_workers_get_the_package_wherever_a_job_is_started(tmp_path):
+    """A session outside the repository, whose workers know no path to it."""
+    code = f"""
+import os, sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from tidewell.operators.cells import build_cells, search_cells
+v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(20)], "document_id long, embedding array<double>")
+found, _ = search_cells(build_cells(v, {str(tmp_path / "cells")!r}, 3), v.selectExpr("document_id AS case_id", "embedding"), 1)
+print("found", sum(r.case_id == r.document_id for r in found.collect()))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "found 20" in out.stdout, out.stderr[-2000:]

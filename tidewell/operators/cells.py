@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.embedding import cosine
 from tidewell.operators.retrieval import DECIMALS
+from tidewell.sources.work import ship_package
 
 #: Vectors that centres are fitted to, rounds of the fit, and cells at most.
 SAMPLE, ROUNDS, MOST_CELLS = 20_000, 8, 1024
@@ -75,6 +76,7 @@ def fit_centres(vectors: DataFrame, cells: int, vector_col: str = "embedding", s
 
 def build_cells(vectors: DataFrame, folder: str, cells: int | None = None, id_col: str = "document_id", vector_col: str = "embedding") -> Cells:
     """Write (document_id, embedding), every row, partitioned by cell into ``folder``."""
+    ship_package(vectors.sparkSession)
     n = vectors.count()
     centres = fit_centres(vectors, min(MOST_CELLS, cells or max(1, math.isqrt(n))), vector_col)
     dims = centres.shape[1]
@@ -149,6 +151,7 @@ def search_cells(cells: Cells, queries: DataFrame, limit: int) -> tuple[DataFram
     if limit < 1:
         raise ValueError("the limit must be 1 at least")
     spark, kind = queries.sparkSession, queries.schema["case_id"].dataType.simpleString()
+    ship_package(spark)
     rows = queries.select("case_id", F.col("embedding").cast("array<double>").alias("q"))
     if not cells.known:
         none = spark.createDataFrame([], f"case_id {kind}, document_id string, score double, rank int")

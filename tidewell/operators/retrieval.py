@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.embedding import EmbeddingProvider, cosine, point_id
+from tidewell.sources.work import ship_package
 
 #: Queries that ``search_all`` broadcasts at most; more of them meet the index in blocks.
 MOST_QUERIES = 1000
@@ -242,6 +243,7 @@ def search_all(index: DataFrame, queries: DataFrame, limit: int, most_broadcast:
 
 def _near_by_blocks(index: DataFrame, queries: DataFrame, n: int, limit: int) -> DataFrame:
     """(case_id, of, document_id, score): each query's nearest in every block of the index."""
+    ship_package(index.sparkSession)
     q_blocks, i_blocks = -(-n // QUERY_BLOCK), -(-index.count() // INDEX_BLOCK)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(1, k) - 1)))
     dealt = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(max(1, k)))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +20,20 @@ def work_path(spark: SparkSession, name: str) -> str:
             raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidewell-work-")
     return f"{folder.rstrip('/')}/engine/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each Spark application; whatever runs a function of it in tasks calls this first."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidewell-package-"), f"{top.name}-engine.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidewell.sources.work import ship_package
+
 #: Digits of a window's total.
 MONEY = "decimal(18,2)"
 
@@ -111,6 +113,7 @@ def _sessions(gap: int):
 
 def session_stream(events: DataFrame, gap_seconds: int, delay: str) -> DataFrame:
     """(user_id, first, last, n, total) of each session of a stream, told when it is closed."""
+    ship_package(events.sparkSession)
     rows = events.where("user_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
     bare = rows.select("user_id", "ts", F.unix_micros("ts").alias("us"), (F.coalesce(F.col("value").cast(MONEY), F.lit(0)) * 100).cast("long").alias("cents"))
     kind = events.schema["user_id"].dataType.simpleString()
