@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.embedding import cosine
-from tidewell.operators.retrieval import DECIMALS
+from tidewell.operators.retrieval import DECIMALS, INDEX_BLOCK, QUERY_BLOCK, nearest_of_blocks
 from tidewell.sources.work import ship_package
 
 #: Vectors that centres are fitted to, rounds of the fit, and cells at most.
@@ -156,13 +155,19 @@ def search_cells(cells: Cells, queries: DataFrame, limit: int) -> tuple[DataFram
     if not cells.known:
         none = spark.createDataFrame([], f"case_id {kind}, document_id string, score double, rank int")
         return none, rows.select("case_id", F.lit(0).cast("long").alias("rows_read"), F.lit(0).cast("long").alias("rows_all"))
-    held = cells.rows(spark).select("cell", "document_id", "embedding")
+    held = cells.rows(spark).select("cell", "document_id", F.col("embedding").alias("v"))
     best = Window.partitionBy("case_id").orderBy(F.desc("score"), "document_id")
+    q_blocks = -(-rows.count() // QUERY_BLOCK) or 1
+    slices = F.element_at(F.create_map(*[F.lit(x) for c, *_, n in cells.known for x in (c, -(-n // INDEX_BLOCK))]), F.col("cell"))
+    kinds = f"case_id {kind}, of long, document_id {held.schema['document_id'].dataType.simpleString()}, score double"
 
     def near(asked: DataFrame, column: str) -> DataFrame:
-        score = F.round(F.coalesce(cosine(F.col("embedding"), F.col("q")), F.lit(0.0)), DECIMALS)
-        met = asked.select("case_id", "q", F.explode(column).alias("cell")).join(held, "cell")
-        return met.select("case_id", "document_id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("rank")
+        """Each query's nearest in these cells: a cell meets its queries in blocks of both, and a block keeps ``limit`` of each query."""
+        block = F.pmod(F.xxhash64("case_id"), F.lit(q_blocks)).cast("int").alias("qb")
+        left = asked.select("case_id", F.xxhash64("q").alias("of"), "q", block, F.explode(column).alias("cell")).withColumn("ib", F.explode(F.sequence(F.lit(0), slices - 1)))
+        right = held.select("*", F.pmod(F.xxhash64("document_id"), slices).cast("int").alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+        met = left.groupBy("cell", "ib", "qb").cogroup(right.groupBy("cell", "ib", "qb")).applyInArrow(nearest_of_blocks(limit), kinds)
+        return met.select("case_id", "document_id", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).drop("rank")
 
     run, schema = _opened(cells, limit, kind)
     opened = rows.mapInArrow(run, schema)

@@ -250,7 +250,7 @@ def _near_by_blocks(index: DataFrame, queries: DataFrame, n: int, limit: int) ->
     asked = queries.select("case_id", F.xxhash64("q").alias("of"), "q", dealt(q_blocks, "case_id", "q").cast("int").alias("qb"), every(i_blocks).alias("ib"))
     held = index.select("document_id", F.col("embedding").cast("array<double>").alias("v"), dealt(i_blocks, "document_id", "embedding").cast("int").alias("ib"), every(q_blocks).alias("qb"))
     kinds = f"case_id {queries.schema['case_id'].dataType.simpleString()}, of long, document_id {index.schema['document_id'].dataType.simpleString()}, score double"
-    return asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInArrow(_nearest(limit), kinds)
+    return asked.groupBy("qb", "ib").cogroup(held.groupBy("qb", "ib")).applyInArrow(nearest_of_blocks(limit), kinds)
 
 
 def _unit(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -266,7 +266,9 @@ def _unit(vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _nearest(limit: int):
+def nearest_of_blocks(limit: int):
+    """Of a block of queries (case_id, of, q) and one of vectors (document_id, v), each query's nearest."""
+
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         a, b, score = [], [], []
         if asked.num_rows and held.num_rows:
