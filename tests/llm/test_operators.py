@@ -325,6 +325,42 @@ def test_licenses_beside_words_of_their_own():
     assert [n for n, *_ in scanner.scan(" ".join([*mit, *mit[:-4], *["river"] * 5, *mit]))] == ["MIT"] * 3
 
 
+def test_edited_notices_are_found_by_patience():
+    class Alone(licenses.Scanner):
+        """Without the table that finds are held against."""
+
+        def exact(self, name, words, i, j):
+            return iter(())
+
+    rng, other = np.random.default_rng(8), "the of and river to any copy license under this".split()
+    whole, alone, n = licenses.Scanner(licenses.TEMPLATES), Alone(licenses.TEMPLATES), Counter()
+    for name, template in licenses.TEMPLATES.items():
+        for _ in range(12):
+            prose = lambda: list(rng.choice(other, rng.integers(0, 40)))
+            words = [w for w in licenses.words_of(template) for w in ([b"", w] if rng.random() < 0.97 else [b"edited"])]
+            text = " ".join([*prose(), *(w.decode() for w in words if w), *prose()])
+            told, by_patience = ([f for f in s.scan(text) if f[0] == name] for s in (whole, alone))
+            assert max([f[1] for f in by_patience], default=0) <= max([f[1] for f in told], default=0)
+            n["cases"] += 1
+            n["alike"] += [f[1] for f in by_patience] == [f[1] for f in told]
+            for _, coverage, first, end in by_patience:
+                n["edited"] += coverage < 1
+                assert coverage == len(licenses._common(licenses.words_of(template), licenses.words_of(text)[first:end], 0, 0)) / len(licenses.words_of(template))
+    assert n["alike"] >= 0.97 * n["cases"] and n["edited"] > 30
+
+
+def test_many_notices_in_a_row_meet_in_blocks():
+    mit = licenses.words_of(licenses.TEMPLATES["MIT"])
+    less = [w for k, w in enumerate(mit) if k % 20 != 7]
+    text, starts = [], []
+    for k in range(15):
+        starts.append(len(text))
+        text += (less if k % 3 == 1 else mit) + [b"river"] * 7  # a shorter one and what follows it span a template's length
+    found = [(f[1], f[2]) for f in licenses.Scanner(licenses.TEMPLATES).scan(b" ".join(text).decode()) if f[0] == "MIT"]
+    assert [s for _, s in found] == starts
+    assert [c == 1 for c, _ in found] == [k % 3 != 1 for k in range(15)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(*[st.lists(st.sampled_from("abcdefgz"), max_size=12)] * 3, st.integers(0, 9), st.integers(0, 9))
 def test_a_license_is_found_wherever_enough_words_lie_close(before, amid, behind, at, without):

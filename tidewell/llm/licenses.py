@@ -3,12 +3,17 @@
 Words are runs of letters and digits, in lower case. A license counts as found where at least ``coverage`` of its template's words are
 aligned, in order, with words of the text that lie close together. A find misses at most that share of the template, so one of
 a few rare words of the template must be there; every place in the whole text where one of them stands gives a window, and windows
-that meet are one. Of a window, only stretches are looked at that hold enough of the template's words near each other. A short
-stretch is aligned by patience: words that occur once in it and once in the template are anchors, the longest increasing
-subsequence of the anchors' places is kept, and the gaps between them are aligned in the same way; a gap without anchors is
-matched from its ends and then by longest common subsequence. If that finds the template word for word, what lies before
-and behind is looked at in the same way. All other stretches get an exact table, carried from word to word: of the alignments of
-each beginning of the template that miss so many of its words, the latest start. So a word that matches far off hides nothing.
+that meet are one. Of a window, only stretches are looked at that hold enough of the template's words near each other, in blocks of
+four templates' lengths that overlap by the span of a find. A block is aligned by patience: words that occur once in it and once in
+the template are anchors, the longest increasing subsequence of the anchors' places is kept, and the gaps between them are aligned
+in the same way; a gap without anchors is matched from its ends and then by longest common subsequence. The part of the
+alignment that matches most words within a find's span is aligned again in its own surroundings, as long as that matches more, and is the
+find: whole or edited, its words, place and coverage are those of the alignment. What lies before and behind is looked at in the same way.
+
+Patience is not bound to match as many words as could be. A find that matches all words which block and template have in common
+can't be bettered; the others are held against an exact table, carried from word to word: of the alignments of each beginning of
+the template that miss so many of its words, the latest start. Only where the table shows more words than patience has matched do
+the table's finds count. So a word that matches far off hides nothing.
 
 Edge cases: a null text or one without words has no finds; a license that stands twice is reported twice, unless the second
 starts within a template's length of the first, where the better is kept; ids may be null or repeat, each row is scanned by
@@ -212,18 +217,57 @@ class Scanner:
                 e = min(ended)
                 yield (size - e) / size, start[size][e], k + 1
 
+    def aligned(self, name: str, words: list[bytes], i: int, j: int) -> tuple[int, int, int]:
+        """(words matched, first word, end) of the part of a patience alignment with [i, j) that matches most within a find's span."""
+        template, reach = self.words[name], self.span(name)
+        best: list[tuple[int, int]] = []
+        while True:
+            pairs = align(template, words[i:j], 0, i)
+            run, p = best, 0
+            for q, (_, y) in enumerate(pairs):
+                while y - pairs[p][1] >= reach:
+                    p += 1
+                if q + 1 - p > len(run):
+                    run = pairs[p : q + 1]
+            if len(run) == len(best):
+                break
+            best = run
+            i, j = max(i, best[-1][1] + 1 - reach), min(j, best[0][1] + reach)
+        if not best:
+            return 0, i, i
+        end = best[0][1] + 1
+        for x, _ in best[1:]:  # the same words, as near to the first as they stand
+            end = words.index(template[x], end) + 1
+        first = end - 1
+        for x, _ in best[-2::-1]:  # and to the last
+            first -= 1
+            while words[first] != template[x]:
+                first -= 1
+        return len(best), first, end
+
+    def block(self, name: str, words: list[bytes], i: int, j: int) -> Iterator[tuple[float, int, int]]:
+        """(coverage, first word, end) of the finds in [i, j)."""
+        template, reach = self.words[name], self.span(name)
+        size = len(template)
+        count, first, end = self.aligned(name, words, i, j)
+        found = count >= self.least(name)
+        hits: list[tuple[float, int, int]] = []
+        if not found or count < (Counter(words[i:j]) & Counter(template)).total():
+            hits = list(self.exact(name, words, i, j))
+            found = found and all(h[0] <= count / size for h in hits if abs(h[1] - first) < size)
+        if not found:
+            yield from hits
+            return
+        yield from self.finds(name, words, i, first + reach - size)  # what starts a template's length before, or behind, is another find
+        yield count / size, first, end
+        yield from self.finds(name, words, first + size, j)
+
     def finds(self, name: str, words: list[bytes], i: int, j: int) -> Iterator[tuple[float, int, int]]:
-        template = self.words[name]
+        """(coverage, first word, end) of the finds in [i, j), a block after the other."""
+        size, reach = 4 * len(self.words[name]), self.span(name)
         for a, b in self.stretches(name, words, i, j):
-            if b - a <= 4 * len(template):
-                pairs = align(template, words[a:b], 0, a)
-                if len(pairs) == len(template) == pairs[-1][1] + 1 - pairs[0][1]:
-                    first, end = pairs[0][1], pairs[-1][1] + 1
-                    yield from self.finds(name, words, a, first)
-                    yield 1.0, first, end
-                    yield from self.finds(name, words, end, b)
-                    continue
-            yield from self.exact(name, words, a, b)
+            for low in range(a, max(b - reach, a + 1), size - reach):
+                yield from self.block(name, words, low, min(b, low + size))
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, end) of each find, by place."""
