@@ -3,13 +3,16 @@
 import json
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.operators import graph
 from tidewell.operators.graph import reachable
 from tidewell.operators.sketches import RANK_ERROR, answers, merged_sketches, sketched
 from tidewell.operators.variants import common_keys, path_value, shredded
+from tidewell.sources.work import work_path
 
 R = random.Random(21)
 
@@ -57,6 +60,19 @@ def test_reachable(spark, most):
         reachable(df, df.select(F.col("src").alias("node")), -1)
 
 
+def test_crowded_sources_and_files_of_edges(spark, monkeypatch):
+    """A hub with a third of all edges, repeated ones among them; one file a bucket whatever the number of tasks that read the edges."""
+    pairs = [(f"n{R.randrange(60)}", f"n{R.randrange(60)}") for _ in range(120)] + [("hub", f"n{k % 50}") for k in range(70)] + [("n7", "hub"), ("n8", "hub"), (None, "hub"), ("hub", None), ("hub", "hub")]
+    df, folders = spark.createDataFrame(pairs, "src string, dst string").repartition(23), []
+    monkeypatch.setattr(graph, "work_path", lambda s, name: folders.append(work_path(s, name)) or folders[-1])
+    for least in (0, 20, 10_000):
+        for starts in (["hub"], ["n7", "n9"]):
+            out = reachable(df, spark.createDataFrame([(x,) for x in starts], "node string"), crowd_least=least).collect()
+            assert len(out) == len({r.node for r in out}) and {r.node: r.depth for r in out} == _plain(pairs, starts, None)
+        assert Path(f"{folders[-1]}/crowds").exists() == (least < 10_000)
+        assert len(list(Path(f"{folders[-1]}/edges").glob("*.parquet"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_edges_are_not_shuffled_in_rounds(spark, tmp_path):
     spark.range(1000).selectExpr("id src", "id + 1 dst").write.bucketBy(8, "src").option("path", str(tmp_path / "e")).saveAsTable("bucketed_edges")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
