@@ -135,7 +135,7 @@ def monthly_from_daily_sketches(s: SparkSession, d: str) -> DataFrame:
     """Months of orders from daily sketches that were stored: orders, different customers, and whether the median's true rank is as near as stated."""
     orders = _orders(s, d).where("day IS NOT NULL").withColumn("month", F.date_format("day", "yyyy-MM"))
     folder = work_path(s, "sketches")
-    sketched(orders, ["month", "day"], "price", "customer_sk").write.partitionBy("month").parquet(folder)
+    sketched(orders, ["month", "day"], "price", "customer_sk").repartition("month").write.partitionBy("month").parquet(folder)
     kept = s.read.schema("day timestamp, n long, quantiles binary, distinct binary, month string").parquet(folder)
     told = answers(merged_sketches(kept, ["month"]), ["month"], [0.5])
     # The true rank, beside the table: months are few.
