@@ -7,7 +7,9 @@ and merging doesn't add to either. Nulls are not counted; a part without values
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K, LOG_NOMINAL = 200, 12
@@ -36,3 +38,16 @@ def answers(sketches: DataFrame, keys: list[str], quantiles: list[float]) -> Dat
     """(keys, n, distinct, q): the estimates of each key's sketches, ``q`` an array of the values at these ranks."""
     at = F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(float(x))) for x in quantiles])
     return sketches.select(*keys, "n", F.theta_sketch_estimate("distinct").alias("distinct"), F.when(F.col("quantiles").isNotNull(), at).alias("q"))
+
+
+def exact_counts(told: DataFrame, rows: DataFrame, keys: list[str], item: str, log_nominal: int = LOG_NOMINAL) -> DataFrame:
+    """``told`` (keys, distinct, ...) with the exact number of different items in place of the estimates that may be off.
+
+    A sketch of fewer than 2**log_nominal items is exact; half of that leaves room for an estimate's error. Items of the other keys are counted from
+    ``rows``, each of a key's different ones once and spread over all tasks.
+    """
+    over = told.where(F.col("distinct") * 2 > 2**log_nominal).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    met = rows.where(F.col(item).isNotNull()).select(*keys, item).join(over, same, "left_semi").distinct()
+    counted = met.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias("_exact"))
+    return told.join(counted, same, "left").withColumn("distinct", F.coalesce("_exact", F.round("distinct").cast("long"))).select(*told.columns)
