@@ -7,8 +7,9 @@ Equal sets are one class, and everything below works on classes. Two sets link w
   key the smallest is the hub: if two of them link by that key's overlap, both link to the hub, so a row per set and key
   suffices, however many sets share a key.
 * Large sets: inverted lists over each set's first shingles in a global order (rare ones by hash, then frequent ones). As the
-  overlap is at least ``num / den`` of either size, linked sets meet in some list. A long list gets whole sets and is scanned, in
-  blocks, for exact overlaps; only a forest of links leaves a task, so no list makes a row for each of its pairs. Short lists give
+  overlap is at least ``num / den`` of either size, linked sets meet in some list. In a long list the sets' parity bits are compared first, in blocks; those
+  that may link with another get their whole sets there and are scanned, in blocks, for exact overlaps; only a forest of links leaves a task, so no list makes a
+  row for each of its pairs, and sets that merely share frequent shingles are moved as bits. Short lists give
   pairs: those that meet at one of their FIRST shingles, as far as their parity bits (a lower bound of the difference) allow
   a link, and those that meet later only, if they share SHARED entries and leave enough behind the last of them. The exact
   overlap decides all of these.
@@ -45,6 +46,8 @@ from .textbytes import secret, shingle_sets
 FIRST = 4
 #: Words of 64 parity bits of a set.
 PARITIES = 16
+#: Sets of more shingles than WIDE have WIDER words of parity bits besides, as the fewer ones are too coarse for these.
+WIDE, WIDER = 1500, 128
 #: Lists longer than this get whole sets for all their entries, as comparing their pairs one by one would grow with the square.
 HOT = 128
 #: List entries that a pair must share: each set has so many entries, less one, beyond those that make linked sets meet.
@@ -57,6 +60,10 @@ ENTRY_COST = 6
 FREQUENT, REPORTED = 1 << 18, 1 << 15
 #: Shingles in a block of a list.
 BLOCK_SHINGLES = 400_000
+#: Sets in a block of a list whose parities are compared.
+BLOCK_SETS = 2048
+#: Sets of a long list that may link with so many others of a block at most are told as pairs, each compared once whatever the lists it is in.
+FEW = 8
 #: Bytes of text handled at once.
 LOT = 4_000_000
 
@@ -102,9 +109,9 @@ def _ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([s[~hot], s[hot]])
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
+def _parity(s: np.ndarray, words: int = PARITIES) -> np.ndarray:
     """Whether an odd number of the set falls into each bucket. Two sets differ in as many shingles at least as these in bits."""
-    odd = np.bincount((s & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
@@ -116,14 +123,15 @@ def _profiles(width: int, base: int, num: int, den: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lot in _lots(batch):
-                n, mark, lead, small, parity = [], [], [], [], []
+                n, mark, lead, small, parity, wider = [], [], [], [], [], []
                 for s in shingle_sets(lot.column(1), width, base):
                     n.append(len(s))
                     mark.append(_mark(s.tobytes()))
                     lead.append(_ordered(s, frequent)[: len(s) - least_overlap(len(s), num, den) + SHARED].view(np.int64))
                     parity.append(_parity(s))
+                    wider.append(_parity(s, WIDER).tobytes() if len(s) > WIDE else None)
                     small.append(s.view(np.int64) if 0 < len(s) <= MOST_SMALL else None)
-                yield pa.record_batch([lot.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))], ["id", "n", "mark", "lead", "small", "parity"])
+                yield pa.record_batch([lot.column(0), pa.array(n, pa.int32()), pa.array(mark, pa.binary()), pa.array(lead, pa.list_(pa.int64())), pa.array(small, pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64())), pa.array(wider, pa.binary())], ["id", "n", "mark", "lead", "small", "parity", "wider"])
 
     return run
 
@@ -238,6 +246,45 @@ def _scan(num: int, den: int):
     return run
 
 
+def _may_link(num: int, den: int):
+    """The sets of a block of a list that more than FEW others are near enough to, by size and by parity bits; of the rest, the pairs."""
+
+    def run(block: pa.Table) -> pa.Table:
+        n = block.column("n").to_numpy().astype(np.int64)
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        bits = np.stack([block.column(f"p{k}").to_numpy() for k in range(PARITIES)])[:, order].view(np.uint64)
+        upto = np.searchsorted(n, den * n // num, "right")  # beyond, sets are too large for this one
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        wider = block.column("wider").take(pa.array(order))
+        held = np.flatnonzero(wider.is_valid().to_numpy())
+        row = np.full(len(n), -1)
+        row[held] = np.arange(len(held))
+        more = np.frombuffer(b"".join(wider.drop_null().to_pylist()), np.uint64).reshape(len(held), WIDER)
+        for a in range(len(n)):
+            later = slice(a + 1, int(upto[a]))
+            apart = np.bitwise_count(bits[:, later] ^ bits[:, a, None]).sum(0, dtype=np.int64)
+            both = n[later] + n[a]
+            most = both - 2 * -(-num * both // (num + den))
+            met = apart <= most
+            if row[a] >= 0:
+                again = np.flatnonzero(met)  # the later ones are larger
+                met[again] = np.bitwise_count(more[row[a + 1 + again]] ^ more[row[a]]).sum(1, dtype=np.int64) <= most[again]
+            y.append(a + 1 + np.flatnonzero(met))
+            x.append(np.full(len(y[-1]), a))
+        x, y = np.concatenate(x), np.concatenate(y)
+        others = np.bincount(x, minlength=len(n)) + np.bincount(y, minlength=len(n))
+        few = np.minimum(others[x], others[y]) <= FEW
+        ids, h = (block.column(c).to_numpy()[order] for c in ("id", "h"))
+        live, x, y = np.flatnonzero(others > FEW), x[few], y[few]
+        a = np.concatenate([live, x])
+        only = np.arange(len(a)) < len(live)
+        b = np.concatenate([live, y])
+        return pa.table({"token": pa.array(np.full(len(a), block.column("token")[0].as_py())), "id": ids[a], "h": h[a], "b": pa.array(ids[b], mask=only), "hb": pa.array(h[b], mask=only)})
+
+    return run
+
+
 def _compared(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,10 +312,10 @@ def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tup
     rows = docs.where("id is not null").select("id", "text")
     top = rows.mapInArrow(_common(width, base), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 7").orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.sort(np.array([r.token for r in top.select("token").collect()], np.int64).view(np.uint64))
-    found = stored(docs.mapInArrow(_profiles(width, base, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>, parity array<long>"), "profiles")
+    found = stored(docs.mapInArrow(_profiles(width, base, num, den, frequent), "id long, n int, mark binary, lead array<long>, small array<long>, parity array<long>, wider binary"), "profiles")
     # Equal sets are reduced within each task before they move: a class's row is that of its least id.
     known = found.where("mark is not null and id is not null")
-    whole = known.groupBy("mark").agg(F.min_by(F.struct("id", "n", "lead", "small", "parity"), "id").alias("s"), F.count("*").alias("copies"))
+    whole = known.groupBy("mark").agg(F.min_by(F.struct("id", "n", "lead", "small", "parity", "wider"), "id").alias("s"), F.count("*").alias("copies"))
     whole = stored(whole.select("mark", "copies", "s.*"), "sets")
     sets = whole.withColumn("h", F.xxhash64("mark")).drop("mark", "copies")  # with the id it names a set: rows that repeat an id may differ
     classes = whole.select("mark", F.col("id").alias("least"), "copies")
@@ -308,23 +355,30 @@ def set_links(docs: DataFrame, width: int, num: int, den: int, base: int) -> tup
     )
     bits = marks.drop("first")
     rest = rest.join(bits.withColumnsRenamed({"id": "a", "h": "ha"}).alias("x"), ["a", "ha"]).join(bits.withColumnsRenamed({"id": "b", "h": "hb"}).alias("y"), ["b", "hb"]).where(f"{apart} <= na + nb - 2 * {need}").select("a", "ha", "b", "hb")
-    pairs = stored(meeting.union(rest), "pairs")
+    met_once = stored(meeting.union(rest), "pairs")
 
     # A set's family is its first shingle, if that one's list is long too: pairs of a family meet there. In a short list they might not be paired, as the
     # least of their common first shingles may have a long one.
     families = met.where((F.col("pos") == 0) & (F.col("m") > HOT)).select("id", "h", F.col("token").alias("family"))
     hot = met.where(F.col("m") > HOT).select("token", "id", "h", "n").join(families, ["id", "h"], "left").withColumn("family", F.coalesce("family", "token"))
-    hot_lists = hot.groupBy("token").agg(F.sum("n").alias("shingles"), F.min("family").alias("one"), F.max("family").alias("last"))
+    hot_lists = hot.groupBy("token").agg(F.count("*").alias("m"), F.min("family").alias("one"), F.max("family").alias("last"))
     hot_lists = hot_lists.where("one <> last or one = token").drop("one", "last")  # else all have met in the list of their first
-    near = stored(hot.join(hot_lists, "token"), "near")
+    # Only sets that may link with another of the list, by the parities, get their whole sets there.
+    asked = hot.join(hot_lists.select("token", "m"), "token").select("token", "id", "h", "n", "m").join(large.select("id", "h", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITIES)], "wider"), ["id", "h"])
+    live = _in_blocks(asked, F.ceil(F.col("m") / BLOCK_SETS)).groupBy("token", "ca", "cb").applyInArrow(_may_link(num, den), "token long, id long, h long, b long, hb long")
+    live = stored(live.distinct(), "live")
+    few = live.where("id <> b").select(F.least(F.struct("id", "h"), F.struct(F.col("b").alias("id"), F.col("hb").alias("h"))).alias("x"), F.greatest(F.struct("id", "h"), F.struct(F.col("b").alias("id"), F.col("hb").alias("h"))).alias("y"))
+    pairs = met_once.union(few.select("x.id", "x.h", "y.id", "y.h")).distinct()
+    near = stored(hot.join(hot_lists.select("token"), "token", "left_semi").join(live.where("b is null"), ["token", "id", "h"], "left_semi"), "near")
+    held_by = near.groupBy("token").agg(F.sum("n").alias("shingles"))
     wanted = stored(near.select("id", "h").union(pairs.select("a", "ha")).union(pairs.select("b", "hb")).distinct(), "wanted")
     held = stored(rows.mapInArrow(_flagged(width, base, hash_filter(wanted.select("id"), wanted.count())), "id long, mark binary, shingles binary").select("id", F.xxhash64("mark").alias("h"), "shingles").join(wanted, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]), "held")
-    blocks = _in_blocks(near.select("token", "id", "h", "family", "shingles"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).drop("shingles").join(held, ["id", "h"])
+    blocks = _in_blocks(near.join(held_by, "token").select("token", "id", "h", "family", "shingles"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).drop("shingles").join(held, ["id", "h"])
     scanned = blocks.groupBy("token", "ca", "cb").applyInArrow(_scan(num, den), "a long, b long")
     one = pairs.join(held.withColumnsRenamed({"id": "a", "h": "ha", "shingles": "s"}), ["a", "ha"]).join(held.withColumnsRenamed({"id": "b", "h": "hb", "shingles": "t"}), ["b", "hb"])
     compared = one.select("a", "b", "s", "t").mapInArrow(_compared(num, den), "a long, b long")
     told = looked_up(found.select("id", "n", F.when(F.col("id").isNotNull(), F.col("mark")).alias("mark")), classes, ["mark"], "copies", found.count())
-    return told.select("id", "n", "least"), by_subset.union(scanned).union(compared), [found, whole, met, pairs, near, wanted, held]
+    return told.select("id", "n", "least"), by_subset.union(scanned).union(compared), [found, whole, met, met_once, live, near, wanted, held]
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", base: int | None = None) -> DataFrame:
