@@ -1,7 +1,12 @@
 """What only shows on larger tables: exact counts beyond a sketch, and tasks whose size does not grow with the table."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewell.operators import retrieval
 from tidewell.operators.sketches import answers, exact_counts, sketched
 
 
@@ -12,3 +17,17 @@ def test_exact_counts_where_sketches_estimate(spark):
     want = {r.month: r.n for r in rows.groupBy("month").agg(F.countDistinct("item").alias("n")).collect()}
     assert {r.month: r.distinct for r in told.collect()} == want and len(want) == 4
     assert told.columns == ["month", "n", "distinct", "q"]
+
+
+def test_a_block_of_a_search_is_held_in_bounded_memory():
+    """The largest blocks of queries and vectors that a task gets."""
+    rng = np.random.default_rng(1)
+    made = lambda n: pa.FixedSizeListArray.from_arrays(pa.array(rng.standard_normal(n * 64)), 64).cast(pa.list_(pa.float64()))
+    q, n = retrieval.QUERY_BLOCK, retrieval.INDEX_BLOCK
+    asked, held = pa.table({"case_id": np.arange(q), "of": np.arange(q), "q": made(q)}), pa.table({"document_id": np.arange(n), "v": made(n)})
+    tracemalloc.start()
+    try:
+        got = retrieval.nearest_of_blocks(10)(asked, held)
+        assert tracemalloc.get_traced_memory()[1] < 64e6 and got.num_rows == 10 * q
+    finally:
+        tracemalloc.stop()
