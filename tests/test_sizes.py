@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidewell.operators import retrieval
+from tidewell.operators import retrieval, timeline
 from tidewell.operators.sketches import answers, exact_counts, sketched
 
 
@@ -31,3 +31,15 @@ def test_a_block_of_a_search_is_held_in_bounded_memory():
         assert tracemalloc.get_traced_memory()[1] < 64e6 and got.num_rows == 10 * q
     finally:
         tracemalloc.stop()
+
+
+def test_more_rows_along_time_make_more_tasks(spark, monkeypatch):
+    """Moving totals by key over tables of two sizes: as many rows a task in both, and the right totals."""
+    monkeypatch.setattr(timeline, "TASK_ROWS", 1000)
+    for n in (5000, 20_000):
+        rows = spark.range(n).selectExpr("id % 500 AS key", "timestamp_seconds(86400 * (id div 500)) AS time", "CAST(1 AS DECIMAL(15,2)) AS value")
+        dealt, cut = timeline.stretched(rows, "key", "time")
+        assert (dealt.rdd.getNumPartitions(), cut) == (n // 1000, False)
+        told = timeline.moving_totals(rows, "key", "time", "value", F.expr("INTERVAL 3 DAYS"))
+        days = n // 500
+        assert told.agg(F.sum("moving"), F.count("*")).first()[:] == (500 * sum(min(k + 1, 4) for k in range(days)), n)

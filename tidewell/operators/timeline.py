@@ -13,25 +13,32 @@ from pyspark.sql import functions as F
 #: A key is cut if it has more rows than MOST_ROWS and more than one in SHARE of all; so fewer than SHARE keys are cut.
 MOST_ROWS, SHARE = 1_000_000, 1000
 STRETCHES = 64
+#: Rows that a task sorts, about: more rows make more tasks, not larger ones.
+TASK_ROWS = 250_000
 #: Points that a bucket of an interval join holds, and buckets at most.
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 10_000
 
 
 def stretched(rows: DataFrame, key: str, time: str, most_rows: int = MOST_ROWS) -> tuple[DataFrame, bool]:
     """``rows`` with their key's stretch of time as column ``_stretch``, and whether any key is cut. Null keys and times are never cut."""
-    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") > most_rows)
-    crowded = sizes.orderBy(F.desc("m")).limit(SHARE).collect()
-    total = rows.count() if crowded else 0
-    crowded = [r for r in crowded if r.m * SHARE > total]
+    sizes = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("m"))
+    told = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.collect_list(F.when(F.col("m") > most_rows, F.struct("m", key)))).first()
+    total, crowded = told[0], [r for r in told[1] if r.m * SHARE > told[0]]
     if not crowded:
-        return rows.withColumn("_stretch", F.lit(0)), False
+        return _dealt(rows.withColumn("_stretch", F.lit(0)), total, key), False
     spark = rows.sparkSession
     keys = spark.createDataFrame([(r[key],) for r in crowded], sizes.select(key).schema)
     at = [F.lit(k / STRETCHES) for k in range(1, STRETCHES)]
     cuts = rows.join(F.broadcast(keys), key).groupBy(key).agg(F.percentile_approx(time, F.array(*at), 1000).alias("_cuts"))
     cuts = spark.createDataFrame(cuts.collect(), cuts.schema)  # fewer than SHARE rows
     told = rows.join(F.broadcast(cuts), key, "left")
-    return told.withColumn("_stretch", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(time))), F.lit(0)).cast("int")).withColumn("_stretch", F.greatest("_stretch", F.lit(0))).drop("_cuts"), True
+    told = told.withColumn("_stretch", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(time))), F.lit(0)).cast("int")).withColumn("_stretch", F.greatest("_stretch", F.lit(0))).drop("_cuts")
+    return _dealt(told, total, key, "_stretch"), True
+
+
+def _dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to tasks of about TASK_ROWS of their ``total``; fewer are left to Spark."""
+    return rows.repartition(-(-total // TASK_ROWS), *keys) if total > TASK_ROWS else rows
 
 
 def as_of_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, take: dict[str, str], strict: bool = False, within: Column | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
