@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import retrieval, timeline
 from tidewell.operators.sketches import answers, exact_counts, sketched
+from tidewell.plans import warehouse
 
 
 def test_exact_counts_where_sketches_estimate(spark):
@@ -43,3 +44,14 @@ def test_more_rows_along_time_make_more_tasks(spark, monkeypatch):
         told = timeline.moving_totals(rows, "key", "time", "value", F.expr("INTERVAL 3 DAYS"))
         days = n // 500
         assert told.agg(F.sum("moving"), F.count("*")).first()[:] == (500 * sum(min(k + 1, 4) for k in range(days)), n)
+
+
+def test_more_line_items_make_more_tasks(spark, monkeypatch):
+    """The joined sales in tasks of about so many lines, with the same rows as in one."""
+    d = "/root/testdata/sf0.001"
+    want = warehouse.joined_sales(spark, d)
+    lines = want.count()
+    monkeypatch.setattr(warehouse, "TASK_LINES", 100)
+    got = warehouse.joined_sales(spark, d)
+    assert got.rdd.getNumPartitions() == -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
+    assert got.count() == lines and got.exceptAll(want).isEmpty()

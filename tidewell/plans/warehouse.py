@@ -24,6 +24,8 @@ REQUIRED = {
     **{f"{c}_sales": list(names[:3]) for c, names in SALES.items()},
 }
 MONEY = "decimal(38,2)"
+#: Line items that a task joins, about: more of them make more tasks, not larger ones.
+TASK_LINES = 500_000
 SQL_FILE = Path(__file__).resolve().parents[1] / "sql" / "customer_revenue_yearly.sql"
 
 
@@ -42,7 +44,10 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line items with their orders' days and customers."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_extendedprice").cast("decimal(15,2)").alias("paid"))
-    return lines.join(_orders(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    orders, tasks = _orders(spark, sf_dir), -(-lines.count() // TASK_LINES)
+    if tasks > 1:
+        lines, orders = lines.repartition(tasks, "l_orderkey"), orders.repartition(tasks, "o_orderkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def sources(spark: SparkSession, sf_dir: str, sold: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -78,11 +83,12 @@ def validate_sources(tables: dict[str, DataFrame]) -> None:
 def channel_union(tables: dict[str, DataFrame]) -> DataFrame:
     """(sales_channel, customer_sk, calendar_year, net_paid): all channels' rows that have a customer and a known day.
 
-    The channels are put together before they meet the days, so the days are read and joined once.
+    The channels are put together before they meet the days, so the days are read and joined once; they are no more than a calendar has, so
+    they may be broadcast.
     """
     parts = [tables[f"{c}_sales"].select(F.lit(c).alias("sales_channel"), F.col(buyer).alias("customer_sk"), F.col(day).alias("day"), F.col(paid).alias("net_paid")).where("customer_sk is not null") for c, (day, buyer, paid, _) in SALES.items()]
     days = tables["date_dim"].select("d_date_sk", F.col("d_year").cast("long").alias("calendar_year"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(days, F.col("day") == F.col("d_date_sk")).select("sales_channel", "customer_sk", "calendar_year", "net_paid")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(F.broadcast(days), F.col("day") == F.col("d_date_sk")).select("sales_channel", "customer_sk", "calendar_year", "net_paid")
 
 
 def revenue(tables: dict[str, DataFrame]) -> DataFrame:
