@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewell.functions.embedding import HashEmbedding
 from tidewell.operators import retrieval, timeline
 from tidewell.operators.sketches import answers, exact_counts, sketched
 from tidewell.plans import warehouse
@@ -55,3 +56,21 @@ def test_more_line_items_make_more_tasks(spark, monkeypatch):
     got = warehouse.joined_sales(spark, d)
     assert got.rdd.getNumPartitions() == -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 100)
     assert got.count() == lines and got.exceptAll(want).isEmpty()
+
+
+def test_an_embedding_moves_one_row_of_sums_a_document(spark):
+    """However many tokens the texts have; rows of an id add up, and lower-casing is that of Spark."""
+    rows = [(1, "Alpha beta ALPHA"), (2, None), (3, "\u212aelvin \u0130x \u00c9a_9"), (1, "beta"), (4, " ".join(f"w{k}" for k in range(5000))), (None, "alpha")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    told = HashEmbedding(16).cells(docs, "id", "text")
+    assert "explode(regexp" not in told._jdf.queryExecution().toString()
+    tokens = docs.select("id", F.explode(F.expr("regexp_extract_all(lower(text), '[a-z0-9_]+', 0)")).alias("token"))
+    h, want = F.sha2("token", 256), {}
+    for r in tokens.select("id", F.substring(h, 1, 16).alias("b"), F.substring(h, 17, 2).alias("s")).collect():
+        key = r.id, int(r.b, 16) % 16
+        want[key] = want.get(key, 0) + (-1 if int(r.s, 16) % 2 else 1)
+    assert {(r.id, r.bucket): r.value for r in told.collect()} == {k: v for k, v in want.items() if v}
+    units = {r.id: r.embedding for r in HashEmbedding(16).embed(docs, "id", "text").collect()}
+    assert set(units) == {1, 2, 3, 4, None} and not any(units[2]) and not any(units[None])
+    whole = HashEmbedding(16).embed_query(spark, "Alpha beta ALPHA beta")
+    assert np.allclose(units[1], whole, atol=0, rtol=1e-15) and abs(sum(x * x for x in whole) - 1) < 1e-12
