@@ -10,6 +10,7 @@ from tidewell.functions.embedding import HashEmbedding
 from tidewell.operators import retrieval, timeline
 from tidewell.operators.sketches import answers, exact_counts, sketched
 from tidewell.plans import warehouse
+from tidewell.sources import profile as table_profile
 
 
 def test_exact_counts_where_sketches_estimate(spark):
@@ -74,3 +75,17 @@ def test_an_embedding_moves_one_row_of_sums_a_document(spark):
     assert set(units) == {1, 2, 3, 4, None} and not any(units[2]) and not any(units[None])
     whole = HashEmbedding(16).embed_query(spark, "Alpha beta ALPHA beta")
     assert np.allclose(units[1], whole, atol=0, rtol=1e-15) and abs(sum(x * x for x in whole) - 1) < 1e-12
+
+
+def test_a_repeated_pair_is_found_in_a_part_of_the_rows(spark, monkeypatch):
+    """A pair that repeats everywhere is settled by a part; a key is grouped whole, and so is a pair whose one repeat lies elsewhere. References hold or not, nulls aside."""
+    seen, told = [], table_profile._told_unique
+    monkeypatch.setattr(table_profile, "_told_unique", lambda rows, columns: seen.append(rows.count()) or told(rows, columns))
+    n = 20_000
+    rows = spark.range(n).selectExpr("id div 4 AS a", "id % 2 AS b", "id % 4 AS c", "IF(id < 19990, id, NULL) AS d")
+    assert not table_profile._unique(rows, ["a", "b"]) and len(seen) == 1 and seen[0] < n / 20
+    assert table_profile._unique(rows, ["a", "c"]) and seen[-1] == n
+    far = rows.where(F.pmod(F.xxhash64("a"), F.lit(table_profile.PART)) != 0).limit(1)
+    assert not table_profile._unique(rows.union(far), ["a", "c"]) and seen[-1] == n + 1
+    keys = spark.range(n).toDF("k")
+    assert table_profile._holds(rows, "d", keys, "k") and not table_profile._holds(rows, "d", keys.where("k <> 7"), "k")
