@@ -459,6 +459,53 @@ def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     assert want.sum() > 100 and got.tolist() == want.tolist()
 
 
+def test_lattice_loses_no_link_of_a_crowd(spark, monkeypatch):
+    """Vectors that share many crowded cells are compared once, in blocks, and all of them."""
+    for name, value in (("CROWD", 8), ("FEWEST", 3), ("LEAST_BLOCK", 100)):
+        monkeypatch.setattr(lattice, name, value, raising=False)
+    rng = np.random.default_rng(21)
+    centres = np.repeat(rng.standard_normal((2, 64)), (900, 500), axis=0)
+    x = np.concatenate([centres + 0.26 * rng.standard_normal((1400, 64)) * rng.random((1400, 1)), rng.standard_normal((60, 64))])
+    x = np.concatenate([x, x[:30], 2 * x[:10]])
+    out = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    part = np.arange(len(x))
+    while True:
+        least = np.where(near, part, len(x)).min(1)
+        if (least == part).all():
+            break
+        part = least
+    assert [out[k].n_links for k in range(len(x))] == (near.sum(1) - 1).tolist() and near.sum() > 100_000
+    assert [out[k].component_id for k in range(len(x))] == part.tolist()
+
+
+@pytest.mark.parametrize("weight", [1, 3, 2**40])
+def test_lattice_blocks_count_what_each_holds(weight):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((40, 6)), 15, axis=0) + 0.15 * rng.standard_normal((600, 6))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    chunk, ids = rng.integers(0, 2, 600), rng.permutation(600) + 7
+    near = (unit @ unit.T >= 0.95) & ~np.eye(600, dtype=bool)
+    for ca, cb in ((0, 0), (0, 1), (1, 1)):
+        at = np.flatnonzero((chunk == ca) | (chunk == cb))
+        block = pa.table({"ca": pa.array([ca] * len(at)), "cb": [cb] * len(at), "dims": pa.array([6] * len(at), pa.int32()), "id": ids[at], "chunk": chunk[at], "weight": [weight] * len(at), "vector": pa.array([x[k].tobytes() for k in at])})
+        out = lattice._compared(0.95)(block).to_pylist()
+        here = near[np.ix_(at, at)] & ((chunk[at][:, None] != chunk[at]) | (ca == cb))
+        assert {r["a"]: r["n"] for r in out if r["n"] is not None} == {int(k): int(n) * weight for k, n in zip(ids[at], here.sum(1), strict=True) if n}
+        graph = here | np.eye(len(at), dtype=bool)
+        while (more := graph @ graph).sum() > graph.sum():
+            graph = more
+        first = {int(k): int(ids[at][row].min()) for k, row in zip(ids[at], graph, strict=True)}
+        assert {r["b"]: r["a"] for r in out if r["b"] is not None} == {k: c for k, c in first.items() if k != c}
+
+
+def test_lattice_links_integers_at_a_cosine_of_just_the_bound(spark):
+    rows = [(1, [3.0, 1.0, -2.0, -1.0, -3.0, 1.0]), (2, [3.0, 1.0, -1.0, -1.0, -2.0, 0.0])]
+    out = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [r.n_links for r in out] == [1, 1]
+
+
 def _brute(rows, width, num, den):
     sets = defaultdict(list)
     for i, t in rows:
