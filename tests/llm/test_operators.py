@@ -459,15 +459,16 @@ def test_lattice_counts_a_link_once_in_whatever_order_blocks_come():
     assert want.sum() > 100 and got.tolist() == want.tolist()
 
 
-def test_lattice_loses_no_link_of_a_crowd(spark, monkeypatch):
-    """Vectors that share many crowded cells are compared once, in blocks, and all of them."""
+@pytest.mark.parametrize("exact", [{}, {"exact": True}])
+def test_lattice_loses_no_link_of_a_crowd(spark, monkeypatch, exact):
+    """Vectors that share many crowded cells are compared once, in blocks, and all of them; if links must be exact, so are all vectors."""
     for name, value in (("CROWD", 8), ("FEWEST", 3), ("LEAST_BLOCK", 100)):
         monkeypatch.setattr(lattice, name, value, raising=False)
     rng = np.random.default_rng(21)
     centres = np.repeat(rng.standard_normal((2, 64)), (900, 500), axis=0)
     x = np.concatenate([centres + 0.26 * rng.standard_normal((1400, 64)) * rng.random((1400, 1)), rng.standard_normal((60, 64))])
     x = np.concatenate([x, x[:30], 2 * x[:10]])
-    out = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    out = {r.vec_id: r for r in lattice.near_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), **exact).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     part = np.arange(len(x))

@@ -11,6 +11,7 @@ and a forest of links. Equal vectors are one class with a weight.
 Vectors that lie close together share many crowded cells. Those of any cell of more than CROWD are therefore compared with each
 other once, and all of them, in pairs of large blocks: single precision decides but where it may be wrong, and vectors whose
 projections lie too far apart are passed over. Any other pair shares small cells only, as one of the two is in no crowded one.
+A pair that shares no cell is lost (see the README); where no link may be, all vectors are compared so, without cells (``exact``).
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite components links with nothing and is its own
 component; vectors of different lengths don't link; rows of a repeated id are vectors of their own, each with its own links, that
@@ -51,8 +52,9 @@ PLANS = [(2**16, Plan(5, 2, 4, 0.7)), (2**21, Plan(7, 3, 4, 0.8)), (2**25, Plan(
 CROWD = 256
 #: Components of a block's vectors (98,304 vectors of 64), but so many blocks at least as long as a block has LEAST_BLOCK vectors.
 BLOCK, FEWEST, LEAST_BLOCK = 98304 * 64, 8, 1024
-#: Vectors compared at once: neighbours of one block by those of the other that may be near. Projections that tell which may.
-LEAF, SLAB, AXES = 256, 1024, 4
+#: Vectors compared at once: neighbours of one block by those of the other that may be near. Projections that tell which may: of all
+#: neighbours together, then of each pair.
+LEAF, SLAB, AXES, FINER = 256, 1024, 4, 32
 #: Memberships of small cells that a task takes at once; pairs whose vectors, and whose keys, are compared at once.
 MEMBERS, COMPARED, PAIRS = 8192, 2**22, 20_000
 
@@ -145,7 +147,11 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(raw, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors scaled by powers of two, so that squares can't overflow and integers stay exact, and their squared lengths."""
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32 if len(v.as_buffer()) == 4 * dims else np.float64).astype(np.float64) for v in raw])
+    raw = raw.to_pylist()
+    if all(len(v) == 4 * dims for v in raw):
+        x = np.frombuffer(b"".join(raw), np.float32).astype(np.float64).reshape(-1, dims)
+    else:
+        x = np.stack([np.frombuffer(v, np.float32 if len(v) == 4 * dims else np.float64).astype(np.float64) for v in raw])
     x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x, np.einsum("ij,ij->i", x, x)
 
@@ -259,12 +265,18 @@ def _leaves(coords: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 def _axes(unit: np.ndarray) -> np.ndarray:
     """Orthonormal directions in which the vectors spread; any such directions would do."""
-    q = np.linalg.qr(np.random.default_rng(1).standard_normal((unit.shape[1], min(AXES, unit.shape[1]))))[0]
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((unit.shape[1], min(FINER, max(1, unit.shape[1] // 2)))))[0]
     for _ in range(4):
         q = np.linalg.qr(unit.T @ (unit @ q))[0]
     return q
 
 
+def _projected(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates by ``axes``, and the length of what they leave out: rows of these are no farther apart, and their products no less, than the vectors'."""
+    on = unit @ axes
+    return np.c_[on, np.sqrt(np.maximum(0, 1 - (on * on).sum(1)))].astype(np.float32)
+
+
 def _compared(least: float):
     """All links between two blocks, or within one."""
 
@@ -280,9 +292,8 @@ def _compared(least: float):
         slack = (dims + 8) * 2.0**-24  # how far a cosine of rounded components may be off
         kind = np.float32 if weight.max() * SLAB < 2**24 else np.float64  # in which sums of weights are exact
         w = weight.astype(kind)
-        # A projection shortens distances, and what it leaves out differs by its length at least.
-        on = unit @ _axes(unit)
-        coords = np.c_[on, np.sqrt(np.maximum(0, 1 - (on * on).sum(1)))].astype(np.float32)
+        axes = _axes(unit)
+        coords, finer = _projected(unit, axes[:, :AXES]), _projected(unit, axes)
         del unit
         across, reach = np.ascontiguousarray(coords[b].T), 2 - 2 * least + 1e-5
         for leaf in _leaves(coords[a], LEAF):
@@ -293,6 +304,8 @@ def _compared(least: float):
                 gap = c - np.clip(c, low[k], high[k])
                 far += gap * gap
             near, mine = b[far <= reach], short[x]
+            lots = [near[i : i + SLAB] for i in range(0, len(near), SLAB)]
+            near = np.concatenate([near[:0], *(y[(finer[x] @ finer[y].T).max(0) >= least - 1e-5] for y in lots)])
             for i in range(0, len(near), SLAB):
                 y = near[i : i + SLAB]
                 cosine = mine @ short[y].T
@@ -330,7 +343,6 @@ LINKS = "dims int, a long, b long, n long"
 
 def _in_blocks(vectors: DataFrame, least: float) -> DataFrame:
     """All links of vectors of the same length, by pairs of blocks of about the same number."""
-    # A length that has any has more than CROWD.
     total = vectors.groupBy("dims").agg(F.count("*").alias("m"))
     blocks = F.greatest(F.ceil(F.col("m") * F.col("dims") / BLOCK), F.least(F.lit(FEWEST), F.ceil(F.col("m") / LEAST_BLOCK))).cast("int")
     put = vectors.join(F.broadcast(total.select("dims", blocks.alias("blocks"))), "dims").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -338,19 +350,9 @@ def _in_blocks(vectors: DataFrame, least: float) -> DataFrame:
     return put.groupBy("dims", "ca", "cb").applyInArrow(_compared(least), LINKS)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", plan: Plan | None = None) -> DataFrame:
-    """A row for each row: the id, n_links, component_id (the smallest id that links reach, itself included), kept."""
-    ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    found = stored(rows.mapInArrow(_marked, "id long, mark binary, vector binary, dims int"), "vectors")
-    sound, total = found.where("id is not null and mark is not null"), found.count()
-    # Equal vectors are reduced within each task before they move. A class has a number of its own: several may have the same least id.
-    whole = sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight"))
-    whole = stored(whole.select(F.monotonically_increasing_id().alias("key"), "mark", "dims", "s.*", "weight"), "classes")
-    classes = whole.select("mark", "key", F.col("id").alias("least"), "weight")
-    count = whole.count()
-    plan = plan or plan_for(count)
-    members = stored(whole.select(F.col("key").alias("id"), "weight", "vector", "dims").mapInArrow(_members(plan), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
+def _by_cells(vectors: DataFrame, least: float, plan: Plan) -> DataFrame:
+    """The links of vectors that share a cell."""
+    members = stored(vectors.mapInArrow(_members(plan), "id long, weight long, vector binary, dims int, keys array<long>"), "members")
     held = members.select("id", "dims", F.explode(F.array_distinct("keys")).alias("cell"))
     sizes = held.groupBy("cell", "dims").agg(F.count("*").alias("m")).where("m > 1")
     put = stored(held.join(sizes, ["cell", "dims"]), "cells")
@@ -363,6 +365,25 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     lot = F.pmod(F.xxhash64("cell"), F.lit(few.count() // MEMBERS + 1)).alias("lot")
     told = stored(told.union(few.join(members, ["id", "dims"]).groupBy(lot, "dims").applyInArrow(_linked(least, plan.tables), LINKS)), "links")
     discard(put, few, members)
+    return told
+
+
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", plan: Plan | None = None, exact: bool = False) -> DataFrame:
+    """A row for each row: the id, n_links, component_id (the smallest id that links reach, itself included), kept.
+
+    With ``exact``, vectors that share no cell are compared too: work grows with the square of the number of different vectors.
+    """
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    found = stored(rows.mapInArrow(_marked, "id long, mark binary, vector binary, dims int"), "vectors")
+    sound, total = found.where("id is not null and mark is not null"), found.count()
+    # Equal vectors are reduced within each task before they move. A class has a number of its own: several may have the same least id.
+    whole = sound.groupBy("mark", "dims").agg(F.min_by(F.struct("id", "vector"), "id").alias("s"), F.count("*").alias("weight"))
+    whole = stored(whole.select(F.monotonically_increasing_id().alias("key"), "mark", "dims", "s.*", "weight"), "classes")
+    classes = whole.select("mark", "key", F.col("id").alias("least"), "weight")
+    count = whole.count()
+    vectors = whole.select(F.col("key").alias("id"), "weight", "vector", "dims")
+    told = stored(_in_blocks(vectors, least), "links") if exact else _by_cells(vectors, least, plan or plan_for(count))
     counts = told.where("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("other"))
     # Classes that an id has in common are in one component, linked or not.
     of = looked_up(sound.select("id", "mark"), classes.select("mark", "key", F.col("weight").alias("copies")), ["mark"], "copies", total).select("id", "key").distinct()
@@ -382,10 +403,13 @@ def op9_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose hash embeddings are near each other: unlike the given vectors, these have links."""
+    """Documents whose hash embeddings are near each other: unlike the given vectors, these have links.
+
+    Most of them lie in crowded cells, so nearly all were compared in blocks anyway; compared all, they lose no link.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Sums as they are: their cosines are those of the embeddings, and integers take half the space.
-    return near_vectors(HashEmbedding(64).sums(docs, "doc_id", "text"), id_col="doc_id", vector_col="sums")
+    return near_vectors(HashEmbedding(64).sums(docs, "doc_id", "text"), id_col="doc_id", vector_col="sums", exact=True)
 
 
 def _linked_sql(rows: str, key: str) -> str:
